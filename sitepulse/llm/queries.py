@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitepulse.llm import quality, sharding
-from sitepulse.llm.common import documents
+from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding
+from sitepulse.llm.common import documents, table
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The same place on all machines, as the vocabulary is installed with Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +23,56 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op5_quality_rules)}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.count_tokens(documents(spark, sf_dir), tokenizer_path())
+
+
+def op7_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = idstore.new_store(spark, "ids")
+    idstore.write_ids(documents(spark, sf_dir), path, tokenizer_path(), end_id=0)
+    return idstore.read_ids(spark, path)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path(), 1024, end_id=2)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_feistel_sharding, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
+}
+
+#: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.
+_OP9 = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j : j + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS j FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (
+  SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, p, n, item_id FROM places JOIN win USING (n, s)),
+per AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
 ORACLE_SQL: dict[str, str] = {}
