@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding
+from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding, simhash
 from sitepulse.llm.common import documents, table
 
 
@@ -19,6 +19,10 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 24)
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("h")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_feistel_sharding, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
+    for f in (op1_feistel_sharding, op2_simhash_pivots, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
 }
 
 #: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.
@@ -75,4 +79,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": _OP9}

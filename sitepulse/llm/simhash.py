@@ -93,15 +93,15 @@ def fit_tree(sample: np.ndarray, total: int, bits: int, leaf: int = LEAF, pool:
         n = len(rows)
         if n * scale > leaf and n >= 8 and depth < 60:
             own = table[rows]
-            counts = np.zeros((pool, 66 + bits), np.int64)
-            np.add.at(counts, (np.broadcast_to(np.arange(pool), own.shape), own), 1)
-            upto = np.cumsum(counts, axis=1)
-            left = upto[:, :65]
-            right = n - np.concatenate([np.zeros((pool, bits), np.int64), upto], axis=1)[:, :65]  # over cut - bits
-            worth = np.log(np.maximum(left, 1) / n) * left + np.log(np.maximum(right, 1) / n) * right  # all to both: 0
-            worth = np.where((left < n) & (right < n), worth / (left + right) / np.log(np.maximum((left + right) / n, 1.02)), 0)
-            pivot, cut = np.unravel_index(np.argmin(worth), worth.shape)
-            if max(left[pivot, cut], right[pivot, cut]) < 0.9 * n:
+            slots = (own.astype(np.int64) + 65 * np.arange(pool)).ravel()
+            upto = np.cumsum(np.bincount(slots, minlength=65 * pool).reshape(pool, 65), axis=1)
+            left = upto / n
+            right = 1 - np.concatenate([np.zeros((pool, bits)), left], axis=1)[:, :65]
+            with np.errstate(divide="ignore", invalid="ignore"):  # copies made, for each step towards smaller nodes
+                gain = -(left * np.log(left) + right * np.log(right)) / (left + right)
+                price = np.where((left < 1) & (right < 1) & (left > 0) & (right > 0), (np.log(left + right) + 0.01) / gain, np.inf)
+            pivot, cut = np.unravel_index(np.argmin(price), price.shape)
+            if price[pivot, cut] < np.inf and max(left[pivot, cut], right[pivot, cut]) < 0.9:
                 d = own[:, pivot]
                 return Node(-1, int(pivot), int(cut), grow(rows[d <= cut], depth + 1), grow(rows[d > int(cut) - bits], depth + 1))
         leaves += 1
