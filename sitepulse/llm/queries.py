@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding, simhash
+from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding, simhash, suffix, toxicity
 from sitepulse.llm.common import documents, table
 
 
@@ -23,6 +23,16 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("h")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(documents(spark, sf_dir), 400)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
@@ -51,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_feistel_sharding, op2_simhash_pivots, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
+    for f in (op1_feistel_sharding, op2_simhash_pivots, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
 }
 
 #: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.
