@@ -25,13 +25,13 @@ SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "#": "h", "%": "x"}
 #: Costs in nats: of a sign read as a letter, of a separator or sign left out, of runs of a letter read as one or two.
-READ, SKIP, DROP, ONCE, DOUBLE = 0.5, 0.3, 4.0, 1.5, 0.5
+READ, SKIP, DROP, ONCE, DOUBLE = 0.5, 0.3, 15.0, 1.5, 0.5
 EDGE = ".,;:!?'\"()[]{}«»…—–-*_~`"
-SPACED = re.compile(r"(?<!\S)[^\W_]?(?:[\w@$!|+(€][ .\-_*]+){3,}[\w@$!|+(€](?!\w)")
+SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+(€][ .\-_*]+){3,}[\w@$!|+(€](?!\w)")
 STRETCHED = re.compile(r"(.)\1\1")
 BEGINNINGS = range(4, 9)
 #: Labelled rows that the weights and the logistic model are fitted on, about, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 30_000
 
 
 def _codes() -> np.ndarray:
@@ -134,7 +134,7 @@ class Restorer:
 class Model:
     counts: np.ndarray
     weights: dict[str, float]
-    logistic: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (0.0,) * 7
 
 
 class Scorer:
@@ -150,7 +150,9 @@ class Scorer:
     def _tokens(text: str) -> set[str]:
         low = text.lower()
         tokens = set(low.split())
-        tokens.update(re.sub(r"\s+", "", m[0]) for m in SPACED.finditer(low))
+        for m in SPACED.finditer(low):  # a word of one letter may stand at either end
+            joined = re.sub(r"\s+", "", m[0])
+            tokens.update((joined, joined[1:], joined[:-1]))
         return tokens
 
     @staticmethod
@@ -166,19 +168,12 @@ class Scorer:
             found = self.seen[token] = max((get(f, 0.0) for w in self.restorer.words(token) if w for f in self.features(w)), default=0.0)
         return found
 
-    def summary(self, text: str) -> tuple[float, float, float]:
-        """The greatest and second greatest weight of the text's words, and log of 1 + how many have one."""
-        first = second = 0.0
-        n = 0
-        for token in self._tokens(text):
-            w = self.weight(token)
-            if w > 0:
-                n += 1
-                if w > first:
-                    first, second = w, first
-                elif w > second:
-                    second = w
-        return first, second, math.log1p(n)
+    def summary(self, text: str) -> tuple[float, ...]:
+        """The three greatest weights of the text's words, the sum of the others, and logs of 1 + its words and those with a weight."""
+        tokens = self._tokens(text)
+        found = sorted((w for w in map(self.weight, tokens) if w), reverse=True)
+        first = [*found[:3], 0.0, 0.0, 0.0][:3]
+        return *first, math.log1p(sum(found[3:])), math.log1p(len(tokens)), math.log1p(len(found))
 
     def score(self, text: str) -> float:
         z = self.logistic[0] + sum(b * x for b, x in zip(self.logistic[1:], self.summary(text)))
@@ -242,14 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
         scorer = Scorer(model)
         for batch in batches:
             found = [scorer.summary(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in range(6))], names=["y", *"abcdef"])
 
-    second = rows.where("not first").select("y", "t").mapInArrow(summaries, "y int, a double, b double, c double").collect()
+    second = rows.where("not first").select("y", "t").mapInArrow(summaries, "y int, a double, b double, c double, d double, e double, f double").collect()
     y = np.array([r.y > 0 for r in second], float)
     if not 0 < y.sum() < len(y):
         share = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
-        return Model(counts, weights, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    return Model(counts, weights, _logistic(np.array([[r.a, r.b, r.c] for r in second]), y))
+        return Model(counts, weights, (math.log(share / (1 - share)), *[0.0] * 6))
+    return Model(counts, weights, _logistic(np.array([list(r)[1:] for r in second]), y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
