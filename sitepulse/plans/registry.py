@@ -1,4 +1,355 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the same in SQL, written independently where an algorithm is ours."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitepulse.config import EngineConfig
+from sitepulse.functions import geo, identity, text, url, useragent
+from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
+from sitepulse.params import parse_steps, site_id_valid
+from sitepulse.plans import sql
+from sitepulse.schema import web_events
+from sitepulse.sources.ingest import enrich, reject_reason
+from sitepulse.sources.sinks import csv_lines
+from sitepulse.streaming import ingest as streaming
+
+SITE, START, END = "site-1.example", "2024-01-08", "2024-01-22"
+RANGE = (SITE, START, END)
+FUNNEL = "page:/p/1,event:signup,event:purchase"
+FUNNEL_SECONDS = 2 * 86_400
+SEQUENCE = "page:/p/1,event:signup,page:/p/2"
+PAGE = "/p/3"
+TODAY = date(2024, 1, 31)
+KEEP_DAYS = 14
+#: A day's salt as the engine would make it for this secret.
+SALT = identity.daily_salt("example-secret", date(2024, 1, 15))
+CONFIG = EngineConfig(allowed_sites=("site-0.example", "site-1.example"))
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+
+
+def query(oracle: str | None = None, source=_events):
+    """Register a function of the source's DataFrame under its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(source(spark, sf_dir))
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# metrics
+
+
+@query(sql.UNIQUE_VISITORS)
+def unique_visitors(e):
+    return metrics.unique_visitors(e, *RANGE)
+
+
+@query(sql.TOTAL_PAGEVIEWS)
+def total_pageviews(e):
+    return metrics.total_pageviews(e, *RANGE)
+
+
+@query(sql.PAGES_PER_VISIT)
+def pages_per_visit(e):
+    return rounded(metrics.pages_per_visit(e, *RANGE), "pages_per_visit")
+
+
+@query(sql.CORE_METRICS)
+def core_metrics(e):
+    return rounded(metrics.core_metrics(e, *RANGE, tie="event_id"), "bounce_rate", "avg_visit_duration_secs", "pages_per_visit")
+
+
+@query(sql.BOUNCE_RATE)
+def bounce_rate(e):
+    return rounded(metrics.bounce_rate(e, *RANGE, tie="event_id"), "bounce_rate")
+
+
+@query(sql.SESSIONS)
+def sessions(e):
+    return rounded(metrics.session_metrics(e, *RANGE, tie="event_id"), "avg_session_duration_secs", "avg_pages_per_session")
+
+
+@query(sql.SESSION_ROWS)
+def session_rows(e):
+    rows = behavior.session_rows(metrics.in_range(e, *RANGE), tie="event_id")
+    return rounded(rows.select("visitor_id", F.col("session").cast("long").alias("session"), "started", "ended", "n_events", "pageviews", "seconds"), "seconds")
+
+
+@query(sql.SESSION_WINDOWS)
+def session_window_sessions(e):
+    return streaming.live_sessions(metrics.in_range(e, *RANGE))
+
+
+@query(sql.timeseries("day"))
+def timeseries_day(e):
+    return metrics.timeseries(e, *RANGE, by="day")
+
+
+@query(sql.timeseries("hour"))
+def timeseries_hour(e):
+    return metrics.timeseries(e, *RANGE, by="hour")
+
+
+for _name in metrics.DIMENSIONS:
+    QUERIES[f"breakdown_{_name}"] = lambda spark, sf_dir, d=_name: metrics.breakdown(_events(spark, sf_dir), d, *RANGE, limit=5)
+    ORACLE_SQL[f"breakdown_{_name}"] = sql.breakdown(metrics.DIMENSIONS[_name], 5)
+
+
+# behaviour
+
+
+@query(sql.FUNNEL)
+def funnel(e):
+    return metrics.funnel(e, parse_steps(FUNNEL), FUNNEL_SECONDS, *RANGE, tie="event_id")
+
+
+@query(sql.FUNNEL_CUMULATIVE)
+def funnel_cumulative(e):
+    return metrics.funnel_cumulative(e, parse_steps(FUNNEL), FUNNEL_SECONDS, *RANGE, tie="event_id")
+
+
+@query(sql.SEQUENCE)
+def sequence_match(e):
+    return rounded(metrics.sequence_match(e, parse_steps(SEQUENCE, 2), *RANGE, tie="event_id"), "conversion_rate")
+
+
+@query(sql.FLOW)
+def flow_next_page(e):
+    return metrics.flow(e, PAGE, *RANGE, tie="event_id")
+
+
+@query(sql.RETENTION)
+def retention(e):
+    kept = metrics.retention(e, SITE, "2024-01-01", "2024-01-29", 4)
+    return kept.select("cohort_week", F.posexplode("retained").alias("week", "retained"))
+
+
+@query(sql.RETENTION_COUNTS)
+def retention_counts(e):
+    return metrics.retention_counts(e, SITE, "2024-01-01", "2024-01-29", 4)
+
+
+# export, storage, lifecycle
+
+
+@query(sql.EXPORT)
+def export_daily(e):
+    return metrics.export_daily(e, *RANGE)
+
+
+@query(sql.EXPORT_CSV)
+def export_csv_escaped(e):
+    return csv_lines(metrics.export_daily(e, *RANGE))
+
+
+@query(sql.CENSUS)
+def partition_census(e):
+    return metrics.partition_census(e).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query(sql.UNION)
+def events_all_union(e):
+    hot, cold = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+    return hot.unionByName(cold).groupBy("site_id", "event_name").agg(F.count("*").alias("n"), F.countDistinct("visitor_id").alias("visitors"))
+
+
+@query(sql.CLEANUP)
+def retention_cleanup(e):
+    day = F.to_date("timestamp")
+    kept = e.where(~lifecycle.expired(day, KEEP_DAYS, TODAY))
+    return metrics.partition_census(kept).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query(sql.ERASE)
+def erase_range(e):
+    gone = (F.col("site_id") == SITE) & F.to_date("timestamp").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))
+    return metrics.partition_census(e.where(~gone)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+# functions over URLs
+
+
+@query(sql.PATHNAME, _pages)
+def url_pathname(p):
+    return p.select("page_id", url.pathname(F.col("url")).alias("pathname"))
+
+
+@query(sql.UTM, _pages)
+def url_utm(p):
+    return p.select("page_id", *(url.utm(F.col("url"), name).alias(name) for name in url.UTM))
+
+
+@query(sql.REFERRER, _pages)
+def referrer_source(p):
+    r = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://www.google.com/q?"), "url")).when(F.col("page_id") % 5 == 1, F.lit("https://t.co:443/x")).when(F.col("page_id") % 5 == 2, F.lit("")).otherwise(F.col("url"))
+    return p.select("page_id", url.referrer_source(r).alias("source"))
+
+
+@query(sql.STRIP, _pages)
+def strip_url(p):
+    return p.select("page_id", url.strip_query(F.col("url")).alias("url"), url.origin_of(F.col("url")).alias("origin"))
+
+
+@query(sql.CLIENT_IP, _pages)
+def client_ip(p):
+    forwarded = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("page_id") % 250, F.lit(", 5.6.7.8")))
+    real = F.when(F.col("page_id") % 3 == 1, F.lit("9.9.9.9"))
+    ip = url.client_ip(forwarded, real)
+    return p.select("page_id", ip.alias("ip"), text.anonymize_ip(ip).alias("anonymous"))
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with a user agent of the corpus, in turn."""
+    corpus = F.array(*map(F.lit, sql.AGENTS))
+    return _raw(spark, sf_dir).select("event_id", F.get(corpus, (F.col("event_id") % len(sql.AGENTS)).cast("int")).alias("ua"))
+
+
+@query(sql.UA_PARSE, _agents)
+def ua_parse(a):
+    return a.select("event_id", useragent.user_agent(F.col("ua")).alias("x")).select("event_id", "x.browser", "x.browser_version", "x.os", "x.os_version")
+
+
+@query(sql.IS_BOT, _agents)
+def is_bot(a):
+    return a.select("event_id", useragent.is_bot(F.col("ua")).alias("is_bot"))
+
+
+@query(sql.DEVICE, _raw)
+def device_class(e):
+    width = F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise((F.col("event_id") * 37 % 2000).cast("int"))
+    return e.select("event_id", useragent.device(width).alias("device_type"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+@query(sql.SANITIZE, _texts)
+def sanitize_string(d):
+    return d.select("doc_id", F.md5(text.sanitize_string(F.col("text"), 256).cast("binary")).alias("h"))
+
+
+@query(sql.CSV_FIELD, _pages)
+def csv_escape(p):
+    field = F.concat(F.get(F.array(*map(F.lit, ("=", "+", "-", "@", '"', ""))), (F.col("page_id") % 6).cast("int")), F.col("url"), F.lit('"x'))
+    return p.select("page_id", text.csv_field(field).alias("field"))
+
+
+@query(sql.ROUND_HOUR, _raw)
+def round_to_hour(e):
+    return e.select("event_id", text.round_to_hour(F.col("ts")).alias("hour"))
+
+
+@query(sql.visitor_hmac(SALT), _raw)
+def visitor_id_hmac(e):
+    ip = F.concat(F.lit("10.0.0."), F.col("user_id") % 250)
+    return e.select("event_id", identity.visitor_id(ip, F.concat(F.lit("agent/"), F.col("user_id") % 7), SALT).alias("visitor_id"))
+
+
+@query(source=_raw)
+def suppressed_visitor_id(e):
+    return e.select("event_id", identity.suppressed_id().alias("visitor_id"))
+
+
+@query(sql.GEO, _raw)
+def geo_range_lookup(e):
+    spark = e.sparkSession
+    ranges = spark.createDataFrame(sql.RANGES, "ip_start long, ip_end long, country_code string, region string, city string")
+    ip = F.concat_ws(".", F.lit("81"), F.col("user_id") % 4, F.col("event_id") % 256, F.lit("7"))
+    return geo.locate(e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("192.168.1.1")).otherwise(ip).alias("ip")), ranges, "ip")
+
+
+# ingestion
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of the events: some that fail each check."""
+    e = _agents(spark, sf_dir).join(_raw(spark, sf_dir), "event_id")
+    n = F.col("event_id")
+    return e.select(
+        "event_id",
+        F.when(n % 13 == 0, "bad site").when(n % 13 == 1, "").otherwise(F.concat(F.lit("site-"), n % 3, F.lit(".example"))).alias("d"),
+        F.when(F.col("event_type") == "view", "pageview").otherwise(F.col("event_type")).alias("n"),
+        F.concat(F.lit("https://h.example/p/"), n % 10, F.lit("?utm_source=s"), n % 4, F.lit("&utm_medium=&x=1#f")).alias("u"),
+        F.when(n % 4 == 0, "https://www.bing.com/search?q=1").when(n % 17 == 0, F.repeat(F.lit("r"), 2049)).alias("r"),
+        F.when(n % 5 != 0, (n * 37 % 2000).cast("int")).alias("w"),
+        F.col("props").alias("p"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("ra"),
+        F.when(F.col("event_type") == "purchase", F.lit("EURO")).alias("rc"),
+        F.when(n % 7 == 0, "https://evil.example").when(n % 7 == 1, "https://site-1.example:8080").when(n % 7 == 2, "http://site-0.example").alias("origin"),
+        F.col("ua").alias("user_agent"),
+        F.concat(F.lit("10.0.0."), F.col("user_id") % 250).alias("x_forwarded_for"),
+        F.lit(None).cast("string").alias("x_real_ip"),
+        F.col("ts").alias("received"),
+    )
+
+
+@query(sql.INGEST_VALIDATE, _requests)
+def ingest_validate(r):
+    return r.select("event_id", reject_reason(CONFIG).alias("reject_reason"))
+
+
+@query(sql.ORIGIN, _requests)
+def origin_allowed(r):
+    return r.select("event_id", url.origin_allowed(F.col("origin"), CONFIG.allowed_sites).alias("allowed"))
+
+
+@query(sql.SITE_VALID, _requests)
+def site_id_is_valid(r):
+    return r.select("event_id", site_id_valid(F.col("d")).alias("valid"))
+
+
+@query(sql.enrich(SALT), _requests)
+def enrich_pipeline(r):
+    taken = r.where(reject_reason(CONFIG).isNull())
+    found = enrich(taken, CONFIG, SALT)
+    kept = "site_id visitor_id timestamp event_name pathname referrer_source utm_source utm_medium browser os device_type screen_size revenue_amount revenue_currency".split()
+    return found.groupBy(*kept).agg(F.count("*").alias("n"))
+
+
+@query()
+def rate_limit(e):
+    return ratelimit.limit(e.select("site_id", "timestamp", "event_id"), 1, tie="event_id")
+
+
+def _stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events through a stream that writes a table by site and date, and the table's census."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitepulse-")
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    source = _raw(spark, sf_dir)
+    arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    streaming.start(web_events(arriving), f"{path}/events", f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
+    stored = spark.read.parquet(f"{path}/events")
+    return metrics.partition_census(stored).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+QUERIES["stream_enrich"] = _stream_enrich
+ORACLE_SQL["stream_enrich"] = sql.CENSUS
