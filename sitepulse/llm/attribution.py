@@ -53,11 +53,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, boundary: str = r"\n+", r
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in COLUMNS)])
 
     def count(batches):
-        encoder, pattern = PieceEncoder.shared(tokenizer_path), re.compile(boundary)
+        encoder, pattern = PieceEncoder.shared(tokenizer_path, offsets=True), re.compile(boundary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             owner, parts = [], []
-            for k, (text, (ids, begins, ends)) in enumerate(zip(texts, encoder.encode(texts, offsets=True))):
+            for k, (text, (ids, begins, ends)) in enumerate(zip(texts, encoder.encode(texts))):
                 edges = section_edges(text, pattern)
                 home, crossing = allocate(begins, ends, edges, rule)
                 n = len(edges)

@@ -52,26 +52,59 @@ class _Grow:
         self.n = need
 
 
+class _Table:
+    """Row numbers by 64-bit code: open addressing, on whole arrays."""
+
+    def __init__(self, bits: int):
+        self.mask = (1 << bits) - 1
+        self.codes, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The row of each code, or -1."""
+        slots = (codes >> np.uint64(24)).astype(np.int64) & self.mask
+        there = self.codes[slots]
+        out = np.where(there == codes, self.rows[slots], -1)
+        left = np.flatnonzero((there != codes) & (there != 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            there = self.codes[slots[left]]
+            same = there == codes[left]
+            out[left[same]] = self.rows[slots[left[same]]]
+            left = left[~same & (there != 0)]
+        return out
+
+    def add(self, codes: np.ndarray, rows: np.ndarray) -> None:
+        """Codes that aren't there yet, each once."""
+        slots = (codes >> np.uint64(24)).astype(np.int64) & self.mask
+        left = np.arange(len(codes))
+        while len(left):
+            free = left[self.codes[slots[left]] == 0]
+            self.codes[slots[free]] = codes[free]
+            self.rows[slots[free]] = rows[free]
+            left = left[self.codes[slots[left]] != codes[left]]
+            slots[left] = (slots[left] + 1) & self.mask
+
+
 class PieceEncoder:
-    """``encode(texts)`` gives flat ids and the number of ids of each text; equal to the library's own output."""
+    """``encode(texts)`` gives the ids of each text; equal to the library's own output."""
 
-    _shared: dict[str, PieceEncoder] = {}
+    _shared: dict[tuple[str, bool], PieceEncoder] = {}
 
     @classmethod
-    def shared(cls, path: str) -> PieceEncoder:
+    def shared(cls, path: str, offsets: bool = False) -> PieceEncoder:
         """One encoder for each vocabulary in a Python worker."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
+        if (path, offsets) not in cls._shared:
+            cls._shared[path, offsets] = cls(path, offsets)
+        return cls._shared[path, offsets]
 
-    def __init__(self, path: str, max_pieces: int = 500_000, batch_chars: int = 1_000_000):
+    def __init__(self, path: str, offsets: bool = False, max_pieces: int = 1_000_000, batch_chars: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.max_pieces, self.batch_chars = max_pieces, batch_chars
+        self.offsets, self.max_pieces, self.batch_chars = offsets, max(max_pieces, batch_chars), batch_chars
         self.classes = _classes()
         power, powers = 1, []
         for _ in range(1 << 12):
@@ -85,52 +118,72 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids, self.begins, self.ends, self.chars = (_Grow(t) for t in (np.uint32, np.int32, np.int32, np.uint32))
-        self.first, self.count, self.char_first, self.char_count = (_Grow(np.int64) for _ in range(4))
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        """Encode new pieces.  Those of a space and letters are encoded as one text, which the library cuts at each space."""
-        joined = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
-        alone = sorted(set(range(len(pieces))) - set(joined))
-        got: list = [None] * len(pieces)
-        for lo in range(0, len(joined), 4096):
-            part = joined[lo : lo + 4096]
-            enc = self.tokenizer.encode("".join(pieces[i] for i in part), add_special_tokens=False)
-            spans, ids = np.array(enc.offsets, np.int64).reshape(-1, 2), np.array(enc.ids, np.uint32)
-            edges = np.cumsum([0] + [len(pieces[i]) for i in part])
-            cuts = np.searchsorted(spans[:, 0], edges)
-            for k, i in enumerate(part):
-                a, b = cuts[k], cuts[k + 1]
-                got[i] = ids[a:b], spans[a:b, 0] - edges[k], spans[a:b, 1] - edges[k]
-        for i, enc in zip(alone, self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False)):
-            spans = np.array(enc.offsets, np.int64).reshape(-1, 2)
-            got[i] = np.array(enc.ids, np.uint32), spans[:, 0], spans[:, 1]
-        base, lens = self.ids.n, np.array([len(g[0]) for g in got], np.int64)
-        self.first.add(base + np.cumsum(lens) - lens)
-        self.count.add(lens)
-        for store, k in ((self.ids, 0), (self.begins, 1), (self.ends, 2)):
-            store.add(np.concatenate([g[k] for g in got]))
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        self.char_first.add(self.chars.n + np.cumsum(sizes) - sizes)
-        self.char_count.add(sizes)
-        self.chars.add(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32))
-        n = len(self.index)
-        self.index.update(zip(hashes, range(n, n + len(hashes))))
+        self.table = _Table(max(10, (2 * self.max_pieces - 1).bit_length()))
+        self.ids, self.begins, self.ends, self.chars = (_Grow(t) for t in (np.uint16, np.uint16, np.uint16, np.uint16))
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            self.ids = _Grow(np.uint32)
+        self.first, self.count, self.char_first, self.char_count = (_Grow(np.int32) for _ in range(4))
+        self.pieces = 0
+
+    def _tokens(self, text: str, pick: np.ndarray | None = None):
+        """(ids, number of ids of each word, begins, ends) of the library's words ``pick`` of a text, or of all."""
+        enc = self.tokenizer.encode(text, add_special_tokens=False)
+        word = np.array(enc.word_ids, np.int64)
+        ids, counts = np.array(enc.ids, np.uint32), np.bincount(word)
+        spans = np.array(enc.offsets, np.int64).reshape(-1, 2) if self.offsets else np.zeros((len(ids), 2), np.int64)
+        if pick is not None:
+            keep = ragged((np.cumsum(counts) - counts)[pick], counts[pick])
+            ids, spans, counts = ids[keep], spans[keep], counts[pick]
+        return ids, counts, spans
+
+    def _learn(self, codes: np.ndarray, cp: np.ndarray, at: np.ndarray, size: np.ndarray, kind: np.ndarray) -> None:
+        """Encode new pieces.  Many make one text, which the library cuts before each: at the space that a piece begins with, or at line feeds put between others."""
+        blank = kind[at] == SPACE
+        lead = blank & (size > 1) & (kind[np.minimum(at + 1, len(kind) - 1)] != SPACE)
+        groups = []
+        for group, apart in ((np.flatnonzero(lead), False), (np.flatnonzero(~blank), True)):
+            for lo in range(0, len(group), 4096):
+                own = group[lo : lo + 4096]
+                length = size[own] + apart
+                edges = np.cumsum(length) - length
+                chars = cp[np.maximum(ragged(at[own] - apart, length), 0)]
+                if apart:
+                    chars[edges] = 10
+                ids, counts, spans = self._tokens(chars.tobytes().decode("utf-32-le"), 2 * np.arange(len(own)) + 1 if apart else None)
+                groups.append((own, ids, counts, spans - np.repeat(edges + apart, counts)[:, None]))
+        for k in np.flatnonzero(blank & ~lead).tolist():
+            enc = self.tokenizer.encode(cp[at[k] : at[k] + size[k]].tobytes().decode("utf-32-le"), add_special_tokens=False)
+            groups.append((np.array([k]), np.array(enc.ids, np.uint32), np.array([len(enc.ids)]), np.array(enc.offsets, np.int64).reshape(-1, 2)))
+        for own, ids, counts, spans in groups:
+            counts = counts.astype(np.int64)
+            self.first.add(self.ids.n + np.cumsum(counts) - counts)
+            self.count.add(counts)
+            self.ids.add(ids)
+            if self.offsets:
+                self.begins.add(spans[:, 0])
+                self.ends.add(spans[:, 1])
+            length = size[own]
+            self.char_first.add(self.chars.n + np.cumsum(length) - length)
+            self.char_count.add(length)
+            self.chars.add(np.minimum(cp[ragged(at[own], length)], 0xFFFF))
+            self.table.add(codes[own], np.arange(self.pieces, self.pieces + len(own), dtype=np.int32))
+            self.pieces += len(own)
 
     def _whole(self, text: str):
         enc = self.tokenizer.encode(text, add_special_tokens=False)
+        if not self.offsets:
+            return (np.array(enc.ids, np.uint32),)
         spans = np.array(enc.offsets, np.int64).reshape(-1, 2)
         return np.array(enc.ids, np.uint32), spans[:, 0], spans[:, 1]
 
-    def _batch(self, texts: list[str], offsets: bool):
+    def _batch(self, texts: list[str]):
         """Ids (and begins, ends) of texts without contractions; None in place of a text that must go to the library."""
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(t) for t in texts], np.int64)
         stops = np.cumsum(sizes)
         begin = stops - sizes
-        kind = self.classes[np.minimum(cp, LIMIT)]
+        plain = np.minimum(cp, LIMIT)
+        kind = self.classes[plain]
         space = kind == SPACE
         blank = cp == 32
         start = np.empty(len(cp), bool)
@@ -145,17 +198,22 @@ class PieceEncoder:
         at = np.flatnonzero(start)
         size = np.diff(at, append=len(cp))
         where = np.arange(len(cp)) - np.repeat(at, size)
-        code = np.add.reduceat(self.values[np.minimum(cp, LIMIT)] * self.powers[where & 0xFFF], at)
-        code = (code ^ (code >> np.uint64(31))) + size.astype(np.uint64)
-        found, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        if len(self.index) + len(found) > self.max_pieces:
-            self._forget()
-        keys = found.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.index]
-        if new:
-            self._learn([keys[k] for k in new], [joined[at[first[k]] : at[first[k]] + size[first[k]]] for k in new])
-        which = np.array([self.index[h] for h in keys], np.int64)[inverse]
+        code = np.add.reduceat(self.values[plain] * self.powers[where & 0xFFF], at)
+        code = ((code ^ (code >> np.uint64(31))) + size.astype(np.uint64)) | np.uint64(1)
+        which = self.table.find(code)
         odd = kind == STRANGE
+        if (which < 0).any():
+            new, first = np.unique(code[which < 0], return_index=True)
+            first = np.flatnonzero(which < 0)[first]
+            if self.pieces + len(new) > self.max_pieces:
+                self._forget()
+                new, first = np.unique(code, return_index=True)
+            usable = ~np.maximum.reduceat(odd, at)[first]
+            new, first = new[usable], first[usable]
+            self._learn(new, cp, at[first], size[first], kind)
+            which = self.table.find(code)
+            odd |= np.repeat(which < 0, size)
+            which = np.maximum(which, 0)
         same = self.char_count.data[which] == size
         if same.all():
             odd |= self.chars.data[ragged(self.char_first.data[which], size)] != cp
@@ -167,35 +225,33 @@ class PieceEncoder:
         counts = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
         cuts = np.cumsum(counts)
         bad = np.add.reduceat(np.append(odd, False).astype(np.int32), begin) > 0
-        ids = self.ids.data[pick]
-        if offsets:
+        parts = (self.ids.data[pick],)
+        if self.offsets:
             shift = np.repeat(at - begin[owner], lengths)
-            parts = ids, self.begins.data[pick] + shift, self.ends.data[pick] + shift
-        else:
-            parts = (ids,)
-        return [None if b and n else tuple(p[c - k : c] for p in parts) for b, n, c, k in zip(bad, sizes, cuts, counts)]
+            parts = *parts, self.begins.data[pick] + shift, self.ends.data[pick] + shift
+        return [None if b and n else tuple(p[c - k : c] for p in parts) for b, n, c, k in zip(bad.tolist(), sizes.tolist(), cuts.tolist(), counts.tolist())]
 
-    def encode(self, texts: list[str], offsets: bool = False) -> list[tuple]:
+    def encode(self, texts: list[str]) -> list[tuple]:
         """A tuple (ids,) for each text, or (ids, begins, ends) with offsets in code points."""
         out: list = [None] * len(texts)
-        empty = (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * (2 * offsets))
+        empty = (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * (2 * self.offsets))
         batch, room = [], 0
         for i, text in enumerate(texts):
             if not text:
                 out[i] = empty
                 continue
-            if "'" in text and CONTRACTION.search(text):
-                out[i] = self._whole(text)[: len(empty)]
+            if len(text) > self.batch_chars or "'" in text and CONTRACTION.search(text):
+                out[i] = self._whole(text)
                 continue
+            if room + len(text) > self.batch_chars:  # so a batch has no more pieces than the table takes
+                self._fill(out, texts, batch)
+                batch, room = [], 0
             batch.append(i)
             room += len(text)
-            if room >= self.batch_chars:
-                self._fill(out, texts, batch, offsets)
-                batch, room = [], 0
         if batch:
-            self._fill(out, texts, batch, offsets)
+            self._fill(out, texts, batch)
         return out
 
-    def _fill(self, out: list, texts: list[str], batch: list[int], offsets: bool) -> None:
-        for i, got in zip(batch, self._batch([texts[i] for i in batch], offsets)):
-            out[i] = self._whole(texts[i])[: 3 if offsets else 1] if got is None else got
+    def _fill(self, out: list, texts: list[str], batch: list[int]) -> None:
+        for i, got in zip(batch, self._batch([texts[i] for i in batch])):
+            out[i] = self._whole(texts[i]) if got is None else got
