@@ -368,7 +368,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST) -> DataFrame:
 
     anchors = written(keyed.select("k1", "k2", "t").mapInArrow(find, "k1 long, k2 int, places array<int>, grams array<long>"), "anchors")
     each = anchors.select("k1", "k2", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("k1", "k2", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
-    twice = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    twice = written(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")  # so that the join can split a gram of very many places
     chosen = each.join(twice, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
     chosen = written(chosen, "chosen")
     total = chosen.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
