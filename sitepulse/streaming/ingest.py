@@ -72,8 +72,8 @@ def deduplicated(events: DataFrame, keys: list[str], within: str = "1 hour") ->
     return events.withColumn("at", F.col("timestamp").cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark(keys).drop("at")
 
 
-def rate_limited(requests: DataFrame, capacity: int) -> DataFrame:
-    """site_id, event_id, timestamp and ``allowed`` of a stream; buckets idle for five minutes are forgotten."""
+def rate_limited(requests: DataFrame, capacity: int, late: str = "1 minute") -> DataFrame:
+    """site_id, event_id, timestamp and ``allowed`` of a stream; buckets idle for five minutes of event time are forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,8 +88,9 @@ def rate_limited(requests: DataFrame, capacity: int) -> DataFrame:
             refilled = max(now, refilled)
             allowed.append(ok)
         state.update((tokens, refilled))
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
+        state.setTimeoutTimestamp(max(int(refilled * 1000), state.getCurrentWatermarkMs()) + IDLE_SECONDS * 1000)
         yield rows.assign(site_id=key[0], allowed=allowed)[["site_id", "event_id", "timestamp", "allowed"]]
 
-    grouped = requests.select("site_id", "event_id", "timestamp").groupBy("site_id")
-    return grouped.applyInPandasWithState(run, "site_id string, event_id long, timestamp timestamp_ntz, allowed boolean", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    stamped = requests.withColumn("at", F.col("timestamp").cast("timestamp")).withWatermark("at", late)
+    grouped = stamped.select("site_id", "event_id", "timestamp", "at").groupBy("site_id")
+    return grouped.applyInPandasWithState(run, "site_id string, event_id long, timestamp timestamp_ntz, allowed boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
