@@ -226,7 +226,7 @@ def client_ip(p):
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with a user agent of the corpus, in turn."""
     corpus = F.array(*map(F.lit, sql.AGENTS))
-    return _raw(spark, sf_dir).select("event_id", F.get(corpus, (F.col("event_id") % len(sql.AGENTS)).cast("int")).alias("ua"))
+    return _raw(spark, sf_dir).withColumn("ua", F.get(corpus, (F.col("event_id") % len(sql.AGENTS)).cast("int")))
 
 
 @query(sql.UA_PARSE, _agents)
@@ -289,7 +289,7 @@ def geo_range_lookup(e):
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests made of the events: some that fail each check."""
-    e = _agents(spark, sf_dir).join(_raw(spark, sf_dir), "event_id")
+    e = _agents(spark, sf_dir)
     n = F.col("event_id")
     return e.select(
         "event_id",
