@@ -24,8 +24,8 @@ from sitepulse.llm.components import connected_components
 SEED = 42
 #: Leaves aim at so many fingerprints; a leaf of more than CHUNK is compared in parts.
 LEAF, CHUNK = 2000, 8192
-#: The tree is fitted on about so many fingerprints at most.
-SAMPLE = 50_000
+#: The tree is fitted on a quarter of the fingerprints, or about so many of more, or one in SHARE of still more, but not over the second number.
+SAMPLE, SHARE = (50_000, 1_000_000), 250
 
 
 def fingerprint(text: str, size: int = 3) -> int:
@@ -99,9 +99,9 @@ def fit_tree(sample: np.ndarray, total: int, bits: int, leaf: int = LEAF, pool:
             right = 1 - np.concatenate([np.zeros((pool, bits)), left], axis=1)[:, :65]
             with np.errstate(divide="ignore", invalid="ignore"):  # copies made, for each step towards smaller nodes
                 gain = -(left * np.log(left) + right * np.log(right)) / (left + right)
-                price = np.where((left < 1) & (right < 1) & (left > 0) & (right > 0), (np.log(left + right) + 0.01) / gain, np.inf)
+                price = np.where(np.maximum(left, right) < 0.9, (np.log(left + right) + 0.01) / gain, np.inf)
             pivot, cut = np.unravel_index(np.argmin(price), price.shape)
-            if price[pivot, cut] < np.inf and max(left[pivot, cut], right[pivot, cut]) < 0.9:
+            if price[pivot, cut] < np.inf:
                 d = own[:, pivot]
                 return Node(-1, int(pivot), int(cut), grow(rows[d <= cut], depth + 1), grow(rows[d > int(cut) - bits], depth + 1))
         leaves += 1
@@ -178,10 +178,10 @@ def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray |
     return signed[signed != out], out[signed != out]
 
 
-def links(fps: DataFrame, bits: int = 2, leaf: int = LEAF, sample_rows: int = SAMPLE, pivots_checked: int = 16) -> DataFrame:
+def links(fps: DataFrame, bits: int = 2, leaf: int = LEAF, sample_rows: tuple[int, int] = SAMPLE, pivots_checked: int = 16) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs within ``bits``."""
     total = fps.count()
-    every = max(1, -(-total // sample_rows))
+    every = max(4, -(-total // min(max(sample_rows[0], total // SHARE), sample_rows[1])))
     sample = np.array([r.fp for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).collect()], np.int64).view(np.uint64)
     pivots, tree, leaves = fit_tree(np.sort(sample), total, bits, leaf)
 
