@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,17 +31,24 @@ SYSTEMS = (
 
 
 def _has(ua: Column, *words: str) -> Column:
-    return ua.rlike("|".join(map(re.escape, words)))
+    found = ua.contains(words[0])
+    for word in words[1:]:
+        found = found | ua.contains(word)
+    return found
 
 
 def _after(ua: Column, prefix: str, signs: str) -> Column:
     """What follows the first ``prefix``, of ``signs`` only; null if nothing."""
-    return F.nullif(F.regexp_extract(ua, f"^(?s).*?{re.escape(prefix)}([{signs}]*)", 1), F.lit(""))
+    rest = F.substring(ua, F.locate(prefix, ua) + len(prefix), 1 << 30)
+    return F.when(ua.contains(prefix), F.nullif(F.regexp_extract(rest, f"^[{signs}]*", 0), F.lit("")))
 
 
 def is_bot(ua: Column) -> Column:
-    starts = "|".join(f"^{re.escape(s)}" for s in BOT_STARTS)
-    return F.coalesce(F.lower(ua).rlike(starts + "|" + "|".join(map(re.escape, BOT_WORDS))), F.lit(False))
+    low = F.lower(ua)
+    found = _has(low, *BOT_WORDS)
+    for start in BOT_STARTS:
+        found = found | low.startswith(start)
+    return F.coalesce(found, F.lit(False))
 
 
 def browser(ua: Column) -> Column:

@@ -225,8 +225,8 @@ def client_ip(p):
 
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with a user agent of the corpus, in turn."""
-    corpus = F.array(*map(F.lit, sql.AGENTS))
-    return _raw(spark, sf_dir).withColumn("ua", F.get(corpus, (F.col("event_id") % len(sql.AGENTS)).cast("int")))
+    corpus = F.broadcast(spark.createDataFrame(list(enumerate(sql.AGENTS)), "i int, ua string"))  # a fixed few
+    return _raw(spark, sf_dir).join(corpus, F.col("event_id") % len(sql.AGENTS) == F.col("i")).drop("i")
 
 
 @query(sql.UA_PARSE, _agents)
