@@ -45,7 +45,9 @@ def drop_written(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; if it's so small that it has fewer partitions than there are cores, dealt out to all."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
