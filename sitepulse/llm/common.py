@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitepulse.session import shared_dir
+
 #: White space between words, as in ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of words for phrase search: lower-case letters, digits and all of UTF-8's higher bytes; others become spaces.
@@ -16,20 +17,6 @@ LOWER_WORDS = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        base = context.getCheckpointDir()
-        if not base:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="sitepulse-")
-            context.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage, and outlives executors."""
     spark = df.sparkSession

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.llm.bpe import PieceEncoder
-from sitepulse.llm.common import shared_dir, text_or_empty
+from sitepulse.llm.common import text_or_empty
+from sitepulse.session import shared_dir
 
 SELECT_EVERY = 256
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
 from sitepulse.params import parse_steps, site_id_valid
 from sitepulse.plans import sql
 from sitepulse.schema import web_events
+from sitepulse.session import shared_dir
 from sitepulse.sources.ingest import enrich, reject_reason
 from sitepulse.sources.sinks import csv_lines
 from sitepulse.streaming import ingest as streaming
@@ -339,11 +341,7 @@ def rate_limit(e):
 
 def _stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events through a stream that writes a table by site and date, and the table's census."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitepulse-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sitepulse/stream-{uuid.uuid4().hex}"
     source = _raw(spark, sf_dir)
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     streaming.start(web_events(arriving), f"{path}/events", f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
