@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,11 @@ class NoticeSearch:
         return sorted(out)
 
 
+def _spaces(text: bytes, unit) -> np.ndarray:
+    """Places of the spaces in units of the encoding: how many come before a place is its word's number."""
+    return np.flatnonzero(np.frombuffer(text, unit) == 0x20)
+
+
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start_word:long,end_word:long,edits:int>>"
 
 
@@ -118,18 +124,22 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices=NOTICES, id
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode().translate(LOWER_WORDS).split()
                 joined = b" " + b" ".join(words) + b" "
-                starts, base = [], set()
+                places, base = [], set()
                 for phrase, label in exact:
                     at = joined.find(phrase)
                     while at >= 0:
-                        starts.append(joined.count(b" ", 0, at))
+                        places.append(at)
                         base.add(label)
                         at = joined.find(phrase, at + 1)
+                starts = np.searchsorted(_spaces(joined, np.uint8), places).tolist() if places else []
                 plain = joined[1:-1].decode()
-                spans = []
-                for a, b, number, edits in search.spans(plain):
-                    notice = search.notices[number]
-                    spans.append({"label": notice.label, "start_word": plain.count(" ", 0, a), "end_word": plain.count(" ", 0, b) + 1, "edits": edits, "share": 1 - edits / len(notice.text)})
+                found, spans = search.spans(plain), []
+                if found:
+                    gaps = _spaces(plain.encode("utf-32-le"), np.uint32)
+                    ends = np.searchsorted(gaps, [x[:2] for x in found]).tolist()
+                    for (_, _, number, edits), (first, last) in zip(found, ends):
+                        notice = search.notices[number]
+                        spans.append({"label": notice.label, "start_word": first, "end_word": last + 1, "edits": edits, "share": 1 - edits / len(notice.text)})
                 score = 1.0 if starts else max((s["share"] for s in spans), default=0.0)
                 labels = base | {s["label"] for s in spans}
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [{k: s[k] for k in ("label", "start_word", "end_word", "edits")} for s in spans]))
