@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(documents(spark, sf_dir))
+    return quality.report(documents(spark, sf_dir)).drop("rejected_by")  # which of several rules was first depends on their measured cost
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": _OP9}
+
+#: A document is kept if no rule rejects it, in whatever order they run.
+_OP5 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+win AS (
+  SELECT r, p, count(*) OVER (PARTITION BY r, s) AS n
+  FROM (SELECT r, p, array_to_string(w[p : p + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) > 8))),
+rep AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM win WHERE n > 1) GROUP BY r),
+f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
+      - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(list_zip(w[2:], w[:-2]), lambda x: x[1] = x[2])) AS n_adjacent
+  FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_adjacent > 30 * n_words OR 2 * n_dup_lines > n_lines
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM b
+"""
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op9_decontamination": _OP9}

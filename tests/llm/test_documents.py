@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding, simhash, suffix, toxicity
+from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, queries, sharding, simhash, suffix, toxicity
 from sitepulse.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, k1 string, shard string, length string, found string"
@@ -93,6 +93,18 @@ def test_quality(spark):
     assert quality.report(frame(spark, [])).count() == quality.keep(frame(spark, [])).count() == 0
 
 
+def test_quality_sql(spark, tmp_path):
+    import duckdb
+
+    frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = db.execute(queries.ORACLE_SQL["op5_quality_rules"])
+        assert [c[0] for c in want.description] == names
+        assert Counter(want.fetchall()) == Counter(tuple(r) for r in queries.op5_quality_rules(spark, str(tmp_path)).select(names).collect())
+
+
 def test_quality_is_native(spark):
     plan = quality.report(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
