@@ -243,9 +243,14 @@ def keep_one(docs: DataFrame, bits: int = 2, size: int = 3, id_col: str = "doc_i
     A component without any id keeps its row of the least hash.
     """
     found = written(near_duplicates(docs, bits, size, id_col, text_col), "components")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     alone = F.col("component_id").isNull()  # then told apart by fingerprint
-    groups = found.groupBy("component_id", F.when(alone, F.col("fingerprint")).alias("f")).agg(F.min(order).alias("k"))
+    return rows_of(docs, found, [F.col("component_id"), F.when(alone, F.col("fingerprint")).alias("f")], id_col, text_col)
+
+
+def rows_of(docs: DataFrame, found: DataFrame, group: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``docs`` that has the least doc_id, then the least h, of each ``group`` of ``found`` (doc_id, h, ...)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = found.groupBy(*group).agg(F.min(order).alias("k"))
     kept = groups.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"))
     marked = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text_col).cast("string")))
     one = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_semi")
