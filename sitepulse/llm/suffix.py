@@ -25,6 +25,8 @@ from sitepulse.llm.common import text_or_empty, written
 LEAST = 400
 #: Suffixes for which one bucket of the exchange is laid out, and bytes that a task sorts into a run.
 BUCKET, RUN_BYTES = 30_000, 24 << 20
+#: A gram of more places is hot: its suffixes don't go to one bucket, their windows are counted.
+HOT = 30_000
 #: Groups of more suffixes are resolved by classes at each offset, not in pairs.
 PAIRS = 96
 BASE = 0x9E3779B97F4A7C15
@@ -353,6 +355,77 @@ def _merged(least: int):
     return run
 
 
+def _hot(least: int, step: int, cores: bool):
+    """Tasks' side of hot grams: parts of the text around each place, by a 128-bit hash; spans of equal suffixes without.
+
+    Any window of ``least`` bytes around a gram's place holds one of the cores, which are ``step`` bytes shorter and
+    start at multiples of ``step`` before the place.  cores: give these; else the windows of each core in ``places``.
+    """
+    gram = gram_size(least)
+    back = least - gram
+    names = ["h", "k1", "k2", "start", "stop", "core"]
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+
+    def batch_of(rows):
+        columns = [list(c) for c in zip(*rows)] or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        seen: dict[bytes, list] = {}
+        size = 0
+        for batch in batches:
+            rows = []
+            for k1, k2, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if not cores:
+                    starts = {s for p, at in ((x["start"], x["core"]) for x in places) for s in range(max(0, p - min(at + step, back)), min(p - at, len(text) - least) + 1)}
+                    rows += [(xxh3_128_digest(text[s : s + least]), k1, k2, s, s + least, None) for s in starts]
+                    places = ()
+                for p in places:
+                    low, high = max(0, p - back), min(len(text), p + least)
+                    if high - low < least:
+                        continue
+                    suffix = p - low, text[low:high]  # an equal one of this task reaches as far as it goes, and one stands for all
+                    known = seen.get(suffix)
+                    if known is None:
+                        seen[suffix] = [(k1, k2, low, high)]
+                        size += high - low
+                        for at in range(0, back, step):
+                            start, stop = max(0, p - min(at + step, back)), p - at
+                            if start <= min(stop, len(text) - least):
+                                rows.append((xxh3_128_digest(text[p - at : p - at + least - step]), k1, k2, p, None, at))
+                    else:
+                        if len(known) == 1:
+                            rows.append((None, *known[0], None))
+                            known.append(None)
+                        rows.append((None, k1, k2, low, high, None))
+                if len(rows) > 50_000:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
+            if size > RUN_BYTES:
+                seen, size = {}, 0
+
+    return run
+
+
+def _hot_spans(keyed: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, start, stop) of all repeats around ``places`` (k1, k2, place); no task holds all of a gram."""
+    step = max(1, least // 8)
+    kinds = "h binary, k1 long, k2 int, start int, stop int, core int"
+
+    def twice(found: DataFrame) -> DataFrame:
+        often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+        return found.join(often, "h", "left_semi")
+
+    own = places.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    parts = written(keyed.join(own, ["k1", "k2"]).select("k1", "k2", "t", "places").mapInArrow(_hot(least, step, True), kinds), "cores")
+    again = twice(parts.where("h is not null")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "core")).alias("places"))
+    windows = written(keyed.join(again, ["k1", "k2"]).select("k1", "k2", "t", "places").mapInArrow(_hot(least, step, False), kinds), "windows")
+    return parts.where("h is null").select("k1", "k2", "start", "stop").union(twice(windows).select("k1", "k2", "start", "stop"))
+
+
 def repeated_spans(keyed: DataFrame, least: int = LEAST) -> DataFrame:
     """(k1, k2, spans) of the texts of ``keyed`` (doc_id, k1, k2, t) with repeats; spans: array of (start, stop) in bytes, not yet united."""
     spark = keyed.sparkSession
@@ -368,13 +441,16 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST) -> DataFrame:
 
     anchors = written(keyed.select("k1", "k2", "t").mapInArrow(find, "k1 long, k2 int, places array<int>, grams array<long>"), "anchors")
     each = anchors.select("k1", "k2", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("k1", "k2", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
-    twice = written(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")  # so that the join can split a gram of very many places
-    chosen = each.join(twice, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    twice = written(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")  # so that the join can split a gram of very many places
+    hot = twice.where(F.col("n") > HOT).select("gram")
+    chosen = each.join(twice.where(F.col("n") <= HOT), "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
     chosen = written(chosen, "chosen")
     total = chosen.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     runs = keyed.join(chosen, ["k1", "k2"]).select("doc_id", "k1", "k2", "t", "places").mapInArrow(_sorted_runs(least, buckets), EXCHANGED)
     merged = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(least), SPANS)
+    if not hot.isEmpty():
+        merged = merged.union(_hot_spans(keyed, written(each.join(hot, "gram", "left_semi").select("k1", "k2", "place"), "hot"), least))
     return merged.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
