@@ -28,6 +28,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 READ, SKIP, DROP, ONCE, DOUBLE = 0.5, 0.3, 15.0, 1.5, 0.5
 EDGE = ".,;:!?'\"()[]{}«»…—–-*_~`"
 SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+(€][ .\-_*]+){3,}[\w@$!|+(€](?!\w)")
+#: Single letters whatever parts them, and short parts of words between white space.
+LETTER_RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(€][\s.\-_*]+){2,}[\w@$!|+(€](?!\w)")
+CHUNKS = re.compile(r"(?<!\S)(?:\w{1,5}\s+)+\w{1,5}(?!\w)")
+APART = re.compile(r"[\s.\-_*]+")
+#: Letters of the longest word that parts are put together to.
+JOINED = 24
 STRETCHED = re.compile(r"(.)\1\1")
 BEGINNINGS = range(4, 9)
 #: Labelled rows that the weights and the logistic model are fitted on, about, at most.
@@ -112,6 +118,35 @@ class Restorer:
             states = after
         return min((cost + (self._row(state)[0] if word else 0), word) for state, (cost, word) in states.items())[1]
 
+    def segment(self, run: str) -> list[str]:
+        """The likeliest words behind a run of letters, where each separator is nothing or the end of a word."""
+        states: dict = {(0, 0): (0.0, None)}
+        for k, part in enumerate(APART.split(run)):
+            if k:
+                ended = [(cost + self._row(state)[0], (back, " ")) for state, (cost, back) in states.items() if state != (0, 0)]
+                if ended:
+                    best = min(ended, key=lambda x: x[0])
+                    if (0, 0) not in states or best[0] < states[0, 0][0]:
+                        states[0, 0] = best
+            for ways in self.lattice(part):
+                after: dict = {}
+                for state, (cost, back) in states.items():
+                    for price, letters in ways:
+                        now, total = state, cost + price
+                        for letter in letters:
+                            symbol = SYMBOL[letter]
+                            total += self._row(now)[symbol]
+                            now = now[1], symbol
+                        if now not in after or total < after[now][0]:
+                            after[now] = total, (back, letters) if letters else back
+                states = after
+        _, back = min(((cost + (self._row(state)[0] if state != (0, 0) else 0), back) for state, (cost, back) in states.items()), key=lambda x: x[0])
+        found = []
+        while back:
+            back, letters = back
+            found.append(letters)
+        return "".join(reversed(found)).split()
+
     def words(self, token: str) -> list[str]:
         """The words that a token without white space may be: without its edges, and restored if it looks disguised."""
         plain = token.strip(EDGE)
@@ -144,7 +179,27 @@ class Scorer:
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text, its disguises among them."""
-        return {w for token in self._tokens(text) for w in self.restorer.words(token) if w}
+        return {w for token in self._tokens(text) | self._segments(text.lower()) for w in self.restorer.words(token) if w}
+
+    def _segments(self, low: str) -> set[str]:
+        """Words of the runs of single letters of a text in lower case."""
+        return {w for m in LETTER_RUN.finditer(low) for w in self.restorer.segment(m[0])}
+
+    def _joined(self, low: str) -> set[str]:
+        """Words with a weight that consecutive short parts of a text in lower case make, wherever they start."""
+        found = set()
+        for pattern in (LETTER_RUN, CHUNKS):
+            for m in pattern.finditer(low):
+                parts = APART.split(m[0])
+                for i in range(len(parts) - 1):
+                    word = parts[i]
+                    for part in parts[i + 1 : i + JOINED]:
+                        word += part
+                        if len(word) > JOINED:
+                            break
+                        if "=" + word in self.weights:
+                            found.add(word)
+        return found
 
     @staticmethod
     def _tokens(text: str) -> set[str]:
@@ -170,7 +225,8 @@ class Scorer:
 
     def summary(self, text: str) -> tuple[float, ...]:
         """The three greatest weights of the text's words, the sum of the others, and logs of 1 + its words and those with a weight."""
-        tokens = self._tokens(text)
+        low = text.lower()
+        tokens = self._tokens(text) | self._segments(low) | self._joined(low)
         found = sorted((w for w in map(self.weight, tokens) if w), reverse=True)
         first = [*found[:3], 0.0, 0.0, 0.0][:3]
         return *first, math.log1p(sum(found[3:])), math.log1p(len(tokens)), math.log1p(len(found))
