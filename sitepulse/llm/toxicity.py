@@ -32,8 +32,6 @@ SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+(€][ .\-_*]+){3,}[\w@$!|+(€](?!\w)")
 LETTER_RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(€][\s.\-_*]+){2,}[\w@$!|+(€](?!\w)")
 CHUNKS = re.compile(r"(?<!\S)(?:\w{1,5}\s+)+\w{1,5}(?!\w)")
 APART = re.compile(r"[\s.\-_*]+")
-#: Letters of the longest word that parts are put together to.
-JOINED = 24
 STRETCHED = re.compile(r"(.)\1\1")
 BEGINNINGS = range(4, 9)
 #: Labelled rows that the weights and the logistic model are fitted on, about, at most.
@@ -176,6 +174,7 @@ class Scorer:
     def __init__(self, model: Model, memory: int = 400_000):
         self.restorer, self.weights, self.logistic = Restorer(model.counts), model.weights, model.logistic
         self.memory, self.seen = memory, {}
+        self.starts = {f[1:n] for f in self.weights if f[0] == "=" for n in range(2, len(f) + 1)}
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text, its disguises among them."""
@@ -193,9 +192,11 @@ class Scorer:
                 parts = APART.split(m[0])
                 for i in range(len(parts) - 1):
                     word = parts[i]
-                    for part in parts[i + 1 : i + JOINED]:
+                    if word not in self.starts:
+                        continue
+                    for part in parts[i + 1 :]:
                         word += part
-                        if len(word) > JOINED:
+                        if word not in self.starts:
                             break
                         if "=" + word in self.weights:
                             found.add(word)
