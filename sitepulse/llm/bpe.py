@@ -119,7 +119,7 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.table = _Table(max(10, (2 * self.max_pieces - 1).bit_length()))
-        self.ids, self.begins, self.ends, self.chars = (_Grow(t) for t in (np.uint16, np.uint16, np.uint16, np.uint16))
+        self.ids, self.begins, self.ends, self.chars = (_Grow(t) for t in (np.uint16, np.int32, np.int32, np.uint16))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             self.ids = _Grow(np.uint32)
         self.first, self.count, self.char_first, self.char_count = (_Grow(np.int32) for _ in range(4))
