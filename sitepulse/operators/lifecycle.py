@@ -21,23 +21,30 @@ def cleanup(store: EventStore, days: int, today: date | None = None) -> int:
     if days <= 0:
         return 0
     limit = ((today or date.today()) - timedelta(days)).isoformat()
-    return sum(store.drop_partition(site, day) for site, day in store.partitions() if day < limit)
+    return sum(store.delete(path) for (_, day), path in store.partition_paths().items() if day < limit)
 
 
 def erase(store: EventStore, site_id: str, start: str, end: str) -> dict:
     """Drop one site's days from start to end, both included; what was dropped.
 
     Whole partitions go, so other sites and days aren't read.  Streams that write the table
-    must be stopped meanwhile, and results kept elsewhere be forgotten.
+    must be stopped meanwhile, and results kept elsewhere be forgotten.  Rows that are there
+    afterwards are an error.
     """
     check_site_id(site_id)
     first, last = date.fromisoformat(start), date.fromisoformat(end)
     if last < first or (last - first).days > MAX_DAYS:
         raise ParameterError(f"0 to {MAX_DAYS} days")
-    mine = [(s, d) for s, d in store.partitions() if s == site_id and start <= d <= end]
-    rows = store.read().where((F.col("site_id") == site_id) & F.col("date").between(F.lit(first), F.lit(last))).count() if mine else 0
-    dropped = sum(store.drop_partition(s, d) for s, d in mine)
-    return {"status": "erased", "site_id": site_id, "start_date": start, "end_date": end, "records_deleted": rows, "partitions_deleted": dropped}
+    mine = [path for (s, d), path in store.partition_paths().items() if s == site_id and first.isoformat() <= d <= last.isoformat()]
+
+    def rows() -> int:
+        return store.read().where((F.col("site_id") == site_id) & F.col("date").between(F.lit(first), F.lit(last))).count()
+
+    before = rows()
+    dropped = sum(store.delete(path) for path in mine)
+    if before and (left := rows()):
+        raise RuntimeError(f"{left} of {before} rows of {site_id} are still there")
+    return {"status": "erased", "site_id": site_id, "start_date": start, "end_date": end, "records_deleted": before, "partitions_deleted": dropped}
 
 
 def compact(store: EventStore, site_id: str, day: str, rows_per_file: int = 5_000_000) -> int:

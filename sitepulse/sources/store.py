@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitepulse.config import EngineConfig
 from sitepulse.operators.filters import in_range
 from sitepulse.schema import EVENT, conform
 
@@ -40,11 +45,17 @@ class EventStore:
         names = [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()]
         return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
 
+    def partition_paths(self) -> dict[tuple[str, str], str]:
+        """The folder of each (site, day).  Spark escapes some characters of a value in the folder's name, such as a port's colon."""
+        return {(unquote(s), unquote(d)): f"{self.path}/site_id={s}/date={d}" for s in self._children(self.path, "site_id=") for d in self._children(f"{self.path}/site_id={s}", "date=")}
+
     def partitions(self) -> list[tuple[str, str]]:
-        return [(s, d) for s in self._children(self.path, "site_id=") for d in self._children(f"{self.path}/site_id={s}", "date=")]
+        return sorted(self.partition_paths())
 
     def drop_partition(self, site_id: str, day: str) -> int:
-        return int(self.delete(f"{self.path}/site_id={site_id}/date={day}"))
+        """1 if there was such a partition, else 0."""
+        path = self.partition_paths().get((site_id, day))
+        return int(path is not None and self.delete(path))
 
     def append(self, events: DataFrame) -> DataFrame:
         """Write events into their partitions; the rows whose site can't name a folder aren't written but returned.
@@ -76,5 +87,84 @@ class EventStore:
     def create_table(self, name: str) -> None:
         """The table for SQL users, with its schema's version."""
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.SCHEMA)
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (site_id, date) LOCATION '{self.path}' TBLPROPERTIES ('schema_version' = '{VERSION}')")
+        version = self.schema_version() or VERSION
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (site_id, date) LOCATION '{self.path}' TBLPROPERTIES ('schema_version' = '{version}')")
         self.spark.sql(f"MSCK REPAIR TABLE {name}")
+
+    def schema_version(self) -> int:
+        """The version that the store was brought to last; 0 for none."""
+        return max((int(v) for v in self._children(self.path, "_schema_version-")), default=0)
+
+    def migrate(self, steps: dict[int, object] | None = None) -> list[int]:
+        """Run the steps (version to function of the store) above the store's version, in order; their versions.
+
+        Each is recorded once it has run, so a run that broke off goes on where it stopped.
+        """
+        done = []
+        for version, step in sorted((MIGRATIONS if steps is None else steps).items()):
+            if version > self.schema_version():
+                step(self)
+                fs, place = self._fs(f"{self.path}/_schema_version-{version}")
+                fs.mkdirs(place)
+                done.append(version)
+        return done
+
+
+def _make_folder(store: EventStore) -> None:
+    fs, place = store._fs(store.path)
+    fs.mkdirs(place)
+
+
+#: Version 1: the folder; files carry the schema themselves.
+MIGRATIONS = {VERSION: _make_folder}
+
+
+class HotTier:
+    """Events that aren't in their partitions yet, in one folder of the store, until there are ``flush_event_count`` or the oldest is ``flush_interval_secs`` old.
+
+    Events whose site can't name a folder stay here.  What a flush has read is deleted after its
+    partitions are written: a driver that dies in between flushes these events again.
+    """
+
+    def __init__(self, store: EventStore, config: EngineConfig, clock=time.monotonic):
+        self.store, self.config, self.clock = store, config, clock
+        self.path = f"{store.path}/_hot"
+        self.since, self.pending = clock(), self._flushable(self.read()).count()
+
+    @staticmethod
+    def _flushable(events: DataFrame) -> DataFrame:
+        return events.where(is_safe_site_id(F.col("site_id")))
+
+    def read(self) -> DataFrame:
+        fs, place = self.store._fs(self.path)
+        if not fs.exists(place):
+            return self.store.spark.createDataFrame([], EVENT)
+        return self.store.spark.read.schema(EVENT).option("recursiveFileLookup", "true").parquet(self.path)
+
+    def push(self, events: DataFrame) -> int:
+        """Take events in; how many were flushed."""
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        conform(events).write.parquet(path)
+        if not self.pending:
+            self.since = self.clock()
+        self.pending += self._flushable(self.store.spark.read.schema(EVENT).parquet(path)).count()
+        due = self.pending >= self.config.flush_event_count or self.clock() - self.since >= self.config.flush_interval_secs
+        return self.flush() if due and self.pending else 0
+
+    def flush(self) -> int:
+        """Write all events into their partitions; how many they were."""
+        taken = self.store._children(self.path, "")
+        if not taken:
+            return 0
+        paths = [f"{self.path}/{name}" for name in taken]
+        rows = self.store.spark.read.schema(EVENT).parquet(*paths)
+        unsafe = self.store.append(rows)
+        unsafe.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        for path in paths:
+            self.store.delete(path)
+        flushed, self.pending = self.pending, 0
+        return flushed
+
+    def view(self, name: str = "events_all") -> DataFrame:
+        """Hot and stored events as one, also as a temporary view."""
+        return self.store.view(self.read(), name)

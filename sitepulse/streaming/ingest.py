@@ -13,7 +13,7 @@ from sitepulse.config import EngineConfig
 from sitepulse.operators.behavior import GAP_SECONDS
 from sitepulse.operators.ratelimit import IDLE_SECONDS, STATE, take
 from sitepulse.schema import REQUEST
-from sitepulse.sources.ingest import enrich, parse_json, split
+from sitepulse.sources.ingest import REASONS, enrich, parse_json, reject_reason, split
 from sitepulse.sources.store import is_safe_site_id
 
 
@@ -28,15 +28,40 @@ def enriched(requests: DataFrame, config: EngineConfig, salt: str, ranges: DataF
     return enrich(taken, config, salt, ranges)
 
 
-def start(events: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool = False):
-    """Write events into a partitioned table, exactly once, every ``flush_interval_secs``, or what there is and stop."""
-    rows = events.where(is_safe_site_id(F.col("site_id"))).withColumn("date", F.to_date("timestamp"))
-    counted = rows.observe("ingested", F.count("*").alias("events"))
-    writer = counted.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd").partitionBy("site_id", "date")
+def refused(requests: DataFrame, config: EngineConfig) -> DataFrame:
+    """The other requests: received, the payload's site, name and URL, and ``reject_reason``; 'path' if only the site can't name a folder."""
+    reason = F.coalesce(reject_reason(config), F.when(~is_safe_site_id(F.col("d")), "path"))
+    judged = parse_json(requests).withColumn("reject_reason", reason)
+    return judged.where("reject_reason IS NOT NULL").select("received", F.col("d").alias("site_id"), F.col("n").alias("event_name"), F.col("u").alias("url"), "reject_reason")
+
+
+def _started(rows: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool, *by: str):
+    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd").partitionBy(*by)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.flush_interval_secs} seconds")
     return writer.start()
 
 
+def start(events: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool = False):
+    """Write events into a partitioned table, exactly once, every ``flush_interval_secs``, or what there is and stop.
+
+    Events whose site can't name a folder aren't written: ``start_refused`` keeps them.
+    """
+    rows = events.where(is_safe_site_id(F.col("site_id"))).withColumn("date", F.to_date("timestamp"))
+    return _started(rows.observe("ingested", F.count("*").alias("events")), path, checkpoint, config, once, "site_id", "date")
+
+
+def start_refused(rows: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool = False):
+    """Write what ``refused`` gives into a table by reason, likewise."""
+    counts = [F.count_if(F.col("reject_reason") == r).alias(r) for r in (*REASONS, "path")]
+    return _started(rows.observe("refused", *counts), path, checkpoint, config, once, "reject_reason")
+
+
+def start_all(requests: DataFrame, path: str, refused_path: str, checkpoint: str, config: EngineConfig, salt: str, ranges: DataFrame | None = None, once: bool = False) -> list:
+    """Both streams of one source, so that each request is in one of the two tables."""
+    kept = start(enriched(requests, config, salt, ranges), path, f"{checkpoint}/events", config, once)
+    return [kept, start_refused(refused(requests, config), refused_path, f"{checkpoint}/refused", config, once)]
+
+
 def stop(query, timeout: float | None = None) -> None:
     """Take in what has arrived, then stop."""
     query.processAllAvailable()
@@ -93,4 +118,5 @@ def rate_limited(requests: DataFrame, capacity: int, late: str = "1 minute") ->
 
     stamped = requests.withColumn("at", F.col("timestamp").cast("timestamp")).withWatermark("at", late)
     grouped = stamped.select("site_id", "event_id", "timestamp", "at").groupBy("site_id")
-    return grouped.applyInPandasWithState(run, "site_id string, event_id long, timestamp timestamp_ntz, allowed boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    judged = grouped.applyInPandasWithState(run, "site_id string, event_id long, timestamp timestamp_ntz, allowed boolean", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return judged.observe("limited", F.count_if(~F.col("allowed")).alias("requests"))

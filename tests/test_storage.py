@@ -10,7 +10,7 @@ from sitepulse.operators.cache import QueryCache, QueryGate, TooBusy
 from sitepulse.operators.ratelimit import limit, take
 from sitepulse.schema import EVENT, conform
 from sitepulse.sources import ingest, sinks
-from sitepulse.sources.store import EventStore
+from sitepulse.sources.store import EventStore, HotTier
 
 PV = "pageview"
 
@@ -69,6 +69,59 @@ def test_erase_and_compact(spark, tmp_path):
     assert store.read().where("date = DATE '2024-01-15'").count() == 2 and store.read().count() == 5
 
 
+def test_erase_site_with_port(spark, tmp_path):
+    """Spark escapes some characters of a site in the folder's name."""
+    store = EventStore(spark, str(tmp_path / "t"))
+    rows = [("v1", "2024-01-15 10:00", PV, "/"), ("v2", "2024-01-16 10:00", PV, "/")]
+    store.append(events(spark, rows, "localhost:8080").unionByName(events(spark, rows, "localhost%3A8080")).unionByName(events(spark, rows, "a#b=c")))
+    assert ("localhost:8080", "2024-01-15") in store.partitions()
+    done = lifecycle.erase(store, "localhost:8080", "2024-01-15", "2024-01-15")
+    assert (done["records_deleted"], done["partitions_deleted"]) == (1, 1)
+    assert sorted((r.site_id, str(r.date)) for r in store.read().collect()) == [("a#b=c", "2024-01-15"), ("a#b=c", "2024-01-16"), ("localhost%3A8080", "2024-01-15"), ("localhost%3A8080", "2024-01-16"), ("localhost:8080", "2024-01-16")]
+    assert lifecycle.erase(store, "localhost:8080", "2024-01-15", "2024-01-15")["records_deleted"] == 0
+    assert lifecycle.cleanup(store, 1, date(2024, 1, 17)) == 2
+    assert store.drop_partition("localhost:8080", "2024-01-16") == 1 and store.drop_partition("localhost:8080", "2024-01-16") == 0
+
+
+def test_erase_says_what_is_left(spark, tmp_path, monkeypatch):
+    store, _ = filled(spark, tmp_path / "t")
+    monkeypatch.setattr(store, "delete", lambda path: True)
+    with pytest.raises(RuntimeError):
+        lifecycle.erase(store, "001", "2024-01-15", "2024-01-16")
+
+
+def test_hot_tier(spark, tmp_path):
+    now = [0.0]
+    store = EventStore(spark, str(tmp_path / "t"))
+    config = EngineConfig(flush_event_count=3, flush_interval_secs=60)
+    hot = HotTier(store, config, lambda: now[0])
+    one = events(spark, [("v", "2024-01-15 10:00", PV, "/")], "s")
+    assert hot.flush() == 0 and hot.push(one) == 0 and hot.push(one) == 0 and store.read().count() == 0 and hot.view().count() == 2
+    assert HotTier(store, config).pending == 2  # another driver finds them
+    assert hot.push(one.unionByName(events(spark, [("v", "2024-01-15 10:00", PV, "/")], "../x"))) == 3
+    assert store.read().count() == 3 and hot.read().count() == 1 and hot.view().count() == 4  # the unsafe one stays
+    assert hot.push(one) == 0
+    now[0] = 61.0
+    assert hot.push(one) == 2 and store.read().count() == 5 and hot.view().count() == 6
+
+
+def test_migrations(spark, tmp_path):
+    store, ran = EventStore(spark, str(tmp_path / "t")), []
+    assert store.schema_version() == 0 and store.migrate() == [1] and store.migrate() == [] and store.schema_version() == 1
+
+    def broken(s):
+        raise OSError
+
+    with pytest.raises(OSError):
+        store.migrate({1: broken, 2: ran.append, 3: broken})
+    assert ran == [store] and store.schema_version() == 2 and store.migrate({3: ran.append}) == [3]
+    store.append(events(spark, [("v", "2024-01-15 10:00", PV, "/")], "s"))
+    assert store.read().count() == 1
+    store.create_table("stored_events")
+    assert spark.table("stored_events").count() == 1 and "3" in {r.value for r in spark.sql("SHOW TBLPROPERTIES stored_events('schema_version')").collect()}
+    spark.sql("DROP TABLE stored_events")
+
+
 def request(**over):
     row = {"d": "site.example", "n": PV, "u": "https://h/p", "r": None, "w": None, "p": None, "ra": None, "rc": None, "origin": None, "user_agent": "Firefox/121.0", "x_forwarded_for": None, "x_real_ip": None, "received": datetime(2024, 1, 15, 10, 30, 5)}
     return row | over

@@ -31,6 +31,36 @@ def test_requests_to_stored_events(spark, tmp_path):
     assert {r.pathname for r in stored.collect()} == {f"/p/{i}" for i in (0, 1, 2, 3, 5)}
 
 
+def test_refused_requests_are_kept_and_counted(spark, tmp_path):
+    import time
+
+    from sitepulse.streaming.counters import Counters, write_text
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [body(1), body(2, d="a..b"), body(3, d=""), body(4, d="x y"), body(5) | {"user_agent": "Googlebot"}, body(6, d="localhost:8080")]
+    (folder / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    counters = Counters()
+    spark.streams.addListener(counters)
+    try:
+        for query in ingest.start_all(ingest.json_source(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/refused", f"{tmp_path}/ck", EngineConfig(), "0" * 64, once=True):
+            query.awaitTermination()
+        for _ in range(100):
+            if counters.totals["events_ingested_total"] and any("refused" in k for k in counters.totals):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    assert {r.site_id for r in EventStore(spark, f"{tmp_path}/out").read().collect()} == {"s.example", "localhost:8080"}
+    kept = {(r.reject_reason, r.site_id) for r in spark.read.parquet(f"{tmp_path}/refused").collect()}
+    assert kept == {("path", "a..b"), ("empty", None), ("site_id", "x y"), ("bot", "s.example")} or kept == {("path", "a..b"), ("empty", ""), ("site_id", "x y"), ("bot", "s.example")}
+    assert counters.totals["events_ingested_total"] == 2 and counters.totals['requests_refused_total{reason="path"}'] == 1
+    text = counters.text({"cache_entries": 3})
+    assert "# TYPE sitepulse_events_ingested_total counter\nsitepulse_events_ingested_total 2\n" in text and "sitepulse_cache_entries 3\n" in text
+    write_text(spark, text, f"{tmp_path}/metrics")
+    assert "\n".join(r.value for r in spark.read.text(f"{tmp_path}/metrics").collect()) + "\n" == text
+
+
 def streamed(spark, sf_dir):
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     return web_events(source), web_events(spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*"))
