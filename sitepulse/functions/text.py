@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sanitize_string(text: Column, longest: int = 256) -> Column:
     """Without control characters, then the first ``longest`` characters."""
     return F.substring(F.regexp_replace(text, r"\p{Cc}", ""), 1, longest)

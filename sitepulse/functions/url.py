@@ -34,10 +34,8 @@ def pathname(url: Column) -> Column:
 
 def utm(url: Column, name: str) -> Column:
     """The last non-empty value of a query parameter, as it stands; the query runs to the end, fragments included."""
-    query = F.regexp_extract(url, r"(?s)\?(.*)$", 1)
-    mine = F.filter(F.split(query, "&", -1), lambda p: p.startswith(f"{name}=") & (F.length(p) > len(name) + 1))
-    value = F.get(F.reverse(mine), F.lit(0))
-    return sanitize_string(F.substring(value, len(name) + 2, 1 << 30), 256)
+    value = F.regexp_extract(url, rf"(?s)^[^?]*\?(?:.*&)?{name}=([^&]+)", 1)
+    return F.when(url.contains(f"{name}=") & (value != ""), sanitize_string(value, 256))
 
 
 def utm_struct(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,15 +42,16 @@ def _has(ua: Column, *words: str) -> Column:
 def _after(ua: Column, prefix: str, signs: str) -> Column:
     """What follows the first ``prefix``, of ``signs`` only; null if nothing."""
     rest = F.substring(ua, F.locate(prefix, ua) + len(prefix), 1 << 30)
-    return F.when(ua.contains(prefix), F.nullif(F.regexp_extract(rest, f"^[{signs}]*", 0), F.lit("")))
+    found = F.left(rest, F.length(rest) - F.length(F.ltrim(rest, F.lit(signs))))
+    return F.when(ua.contains(prefix), F.when(found != "", found))
+
+
+#: One pass over the lower-case text; asking for each word in turn would lower it for each.
+BOTS = "|".join([re.escape(w) for w in BOT_WORDS] + [f"^{w}" for w in BOT_STARTS])
 
 
 def is_bot(ua: Column) -> Column:
-    low = F.lower(ua)
-    found = _has(low, *BOT_WORDS)
-    for start in BOT_STARTS:
-        found = found | low.startswith(start)
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(F.lower(ua).rlike(BOTS), F.lit(False))
 
 
 def browser(ua: Column) -> Column:
@@ -63,7 +66,7 @@ def browser(ua: Column) -> Column:
 
 
 def browser_version(ua: Column) -> Column:
-    return F.coalesce(*(_after(ua, prefix, "0-9.") for prefix in VERSIONS))
+    return F.coalesce(*(_after(ua, prefix, "0123456789.") for prefix in VERSIONS))
 
 
 def system(ua: Column) -> Column:
@@ -74,7 +77,7 @@ def system(ua: Column) -> Column:
 
 
 def system_version(ua: Column) -> Column:
-    signs = "0-9._"
+    signs = "0123456789._"
     return (
         F.when(_has(ua, "Windows NT"), _after(ua, "Windows NT ", signs))
         .when(_has(ua, "iPhone OS"), F.replace(_after(ua, "iPhone OS ", signs), F.lit("_"), F.lit(".")))

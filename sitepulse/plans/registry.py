@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +12,26 @@ from pyspark.sql import functions as F
 from sitepulse.config import EngineConfig
 from sitepulse.functions import geo, identity, text, url, useragent
 from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
-from sitepulse.params import parse_steps, site_id_valid
+from sitepulse.params import parse_interval, parse_steps, resolve_period, site_id_valid
 from sitepulse.plans import sql
 from sitepulse.schema import web_events
 from sitepulse.session import shared_dir
-from sitepulse.sources.ingest import enrich, reject_reason
-from sitepulse.sources.sinks import csv_lines
+from sitepulse.sources.ingest import enrich, parse_pixel, reject_reason
+from sitepulse.sources.sinks import csv_lines, json_rows
+from sitepulse.sources.store import EventStore, HotTier
 from sitepulse.streaming import ingest as streaming
 
 SITE, START, END = "site-1.example", "2024-01-08", "2024-01-22"
 RANGE = (SITE, START, END)
 FUNNEL = "page:/p/1,event:signup,event:purchase"
-FUNNEL_SECONDS = 2 * 86_400
+FUNNEL_SECONDS = parse_interval("2 days")
 SEQUENCE = "page:/p/1,event:signup,page:/p/2"
 PAGE = "/p/3"
 TODAY = date(2024, 1, 31)
 KEEP_DAYS = 14
+SALT_SECRET, SALT_DAYS = "example-secret", [date(2024, 1, 15), date(2024, 1, 16)]
+#: Of the stored sites: a character that Spark escapes in a folder's name.
+PORT = ":8080"
 #: A day's salt as the engine would make it for this secret.
 SALT = identity.daily_salt("example-secret", date(2024, 1, 15))
 CONFIG = EngineConfig(allowed_sites=("site-0.example", "site-1.example"))
@@ -43,6 +48,27 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, dealt out to all; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/sitepulse/{name}-{uuid.uuid4().hex}"
+
+
+def _store(e: DataFrame) -> EventStore:
+    """The events in a store of their own, under sites with a port."""
+    store = EventStore(e.sparkSession, _folder(e.sparkSession, "store"))
+    store.append(e.withColumn("site_id", F.concat("site_id", F.lit(PORT))))
+    return store
+
+
+def _census(e: DataFrame) -> DataFrame:
+    return metrics.partition_census(e).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
 
@@ -169,28 +195,68 @@ def export_csv_escaped(e):
     return csv_lines(metrics.export_daily(e, *RANGE))
 
 
+@query(sql.EXPORT_JSON)
+def export_json(e):
+    return json_rows(metrics.timeseries(e, *RANGE, by="day"))
+
+
 @query(sql.CENSUS)
 def partition_census(e):
-    return metrics.partition_census(e).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return _census(e)
 
 
 @query(sql.UNION)
 def events_all_union(e):
-    hot, cold = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    return hot.unionByName(cold).groupBy("site_id", "event_name").agg(F.count("*").alias("n"), F.countDistinct("visitor_id").alias("visitors"))
+    """Three pushes into the hot tier, of which the second makes it flush, and both tiers as one."""
+    store = EventStore(e.sparkSession, _folder(e.sparkSession, "store"))
+    first, second = e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1")
+    hot = HotTier(store, EngineConfig(flush_event_count=first.count() + 1, flush_interval_secs=86_400))
+    for part in (first, second, e.where("event_id % 3 = 2")):
+        hot.push(part)
+    both = hot.view().withColumn("tier", F.lit("all")).unionByName(hot.read().withColumn("tier", F.lit("hot")))
+    return both.groupBy("tier", "site_id", "event_name").agg(F.count("*").alias("n"), F.countDistinct("visitor_id").alias("visitors"))
+
+
+@query(sql.SCAN)
+def store_scan(e):
+    """One site's range of stored events, through the partitions of both; the period's dates are worked out."""
+    start, end = resolve_period("7d", today=date(2024, 1, 20))
+    found = _store(e).scan(SITE + PORT, start, end)
+    return found.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), "event_name").agg(F.count("*").alias("n"))
+
+
+@query(sql.UNSAFE)
+def path_guard(e):
+    """Events whose site can't name a folder are given back, the others stored."""
+    odd = F.when(F.col("event_id") % 10 == 0, "a/../b").when(F.col("event_id") % 10 == 1, "").when(F.col("event_id") % 10 == 2, F.repeat(F.lit("é"), 129)).when(F.col("event_id") % 10 == 3, "a\\b")
+    store = EventStore(e.sparkSession, _folder(e.sparkSession, "store"))
+    back = store.append(e.withColumn("site_id", F.coalesce(odd, "site_id")))
+    each = store.read().select("site_id", F.lit(True).alias("stored")).unionByName(back.select("site_id", F.lit(False).alias("stored")))
+    return each.groupBy("site_id", "stored").agg(F.count("*").alias("n"))
 
 
 @query(sql.CLEANUP)
 def retention_cleanup(e):
-    day = F.to_date("timestamp")
-    kept = e.where(~lifecycle.expired(day, KEEP_DAYS, TODAY))
-    return metrics.partition_census(kept).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    store = _store(e)
+    lifecycle.cleanup(store, KEEP_DAYS, TODAY)
+    return _census(store.read())
 
 
 @query(sql.ERASE)
 def erase_range(e):
-    gone = (F.col("site_id") == SITE) & F.to_date("timestamp").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))
-    return metrics.partition_census(e.where(~gone)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    store = _store(e)
+    lifecycle.erase(store, SITE + PORT, "2024-01-10", "2024-01-12")
+    return _census(store.read())
+
+
+@query(sql.COMPACTED)
+def compact_partition(e):
+    """A partition of several files, before and after: the rows are the same, in one file."""
+    store = _store(e.where("event_id % 2 = 0"))
+    store.append(e.where("event_id % 2 = 1").withColumn("site_id", F.concat("site_id", F.lit(PORT))))
+    lifecycle.compact(store, SITE + PORT, "2024-01-10")
+    day = store.read().where((F.col("site_id") == SITE + PORT) & (F.col("date") == F.lit("2024-01-10").cast("date"))).withColumn("file", F.input_file_name())
+    return day.agg(F.count("*").alias("n"), F.countDistinct("visitor_id").alias("visitors"), F.countDistinct("file").alias("files"))
 
 
 # functions over URLs
@@ -228,7 +294,7 @@ def client_ip(p):
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with a user agent of the corpus, in turn."""
     corpus = F.broadcast(spark.createDataFrame(list(enumerate(sql.AGENTS)), "i int, ua string"))  # a fixed few
-    return _raw(spark, sf_dir).join(corpus, F.col("event_id") % len(sql.AGENTS) == F.col("i")).drop("i")
+    return _dealt(_raw(spark, sf_dir)).join(corpus, F.col("event_id") % len(sql.AGENTS) == F.col("i")).drop("i")
 
 
 @query(sql.UA_PARSE, _agents)
@@ -273,9 +339,26 @@ def visitor_id_hmac(e):
     return e.select("event_id", identity.visitor_id(ip, F.concat(F.lit("agent/"), F.col("user_id") % 7), SALT).alias("visitor_id"))
 
 
-@query(source=_raw)
+@query(sql.SUPPRESSED, _raw)
 def suppressed_visitor_id(e):
-    return e.select("event_id", identity.suppressed_id().alias("visitor_id"))
+    """Random ids can't equal SQL's: how many there are, how many differ, and how many have the form of a UUID."""
+    ids = e.select(identity.suppressed_id().alias("v"))
+    shape = F.col("v").rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("v").alias("n_distinct"), F.count_if(shape).alias("n_shaped"))
+
+
+@query(sql.KEY_HASH, _raw)
+def api_key_hash(e):
+    return e.select("event_id", text.hash_api_key(F.concat(F.lit("key-"), "user_id")).alias("h"))
+
+
+@query(sql.daily_salts(SALT_DAYS, SALT_SECRET), _raw)
+def daily_salt(e):
+    """Visitor ids under each day's salt: they last a day."""
+    day = F.to_date("ts")
+    ids = [identity.visitor_id(F.lit("10.0.0.1"), F.concat(F.lit("agent/"), F.col("user_id") % 7), identity.daily_salt(SALT_SECRET, d)) for d in SALT_DAYS]
+    found = e.where(day.isin(SALT_DAYS)).select("user_id", day.alias("d"), F.coalesce(*(F.when(day == F.lit(d), v) for d, v in zip(SALT_DAYS, ids))).alias("visitor_id"))
+    return found.groupBy(F.date_format("d", "yyyy-MM-dd").alias("date"), "visitor_id").agg(F.count("*").alias("n"))
 
 
 @query(sql.GEO, _raw)
@@ -286,6 +369,18 @@ def geo_range_lookup(e):
     return geo.locate(e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("192.168.1.1")).otherwise(ip).alias("ip")), ranges, "ip")
 
 
+@query(sql.GEO6, _raw)
+def geo_network_lookup(e):
+    """IPv6 and IPv4 addresses in the networks of an address database that was exported as CSV."""
+    spark, path = e.sparkSession, _folder(e.sparkSession, "places")
+    spark.createDataFrame(sql.NETWORKS, "network string, country_code string, region string, city string").coalesce(1).write.option("header", True).csv(path)
+    n = F.col("event_id")
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(n % 4)), F.lit("::"), F.lower(F.hex(n % 7)))
+    wide = F.concat(F.lit("2A0"), n % 3, F.lit(":0:0:0:0:0:0:"), F.lower(F.hex(n % 500)))
+    ip = F.when(n % 5 == 0, six).when(n % 5 == 1, wide).when(n % 5 == 2, F.lit("fe80::1")).when(n % 5 == 3, F.concat(F.lit("::ffff:81.2."), n % 256, F.lit(".9"))).otherwise(F.lit("not an address"))
+    return geo.locate(e.select("event_id", ip.alias("ip")), geo.read_ranges(spark, path), "ip")
+
+
 # ingestion
 
 
@@ -326,28 +421,72 @@ def site_id_is_valid(r):
     return r.select("event_id", site_id_valid(F.col("d")).alias("valid"))
 
 
+KEPT = "site_id visitor_id timestamp event_name pathname referrer_source utm_source utm_medium browser os device_type screen_size revenue_amount revenue_currency".split()
+
+
 @query(sql.enrich(SALT), _requests)
 def enrich_pipeline(r):
     taken = r.where(reject_reason(CONFIG).isNull())
-    found = enrich(taken, CONFIG, SALT)
-    kept = "site_id visitor_id timestamp event_name pathname referrer_source utm_source utm_medium browser os device_type screen_size revenue_amount revenue_currency".split()
-    return found.groupBy(*kept).agg(F.count("*").alias("n"))
+    return enrich(taken, CONFIG, SALT).groupBy(*KEPT).agg(F.count("*").alias("n"))
+
+
+@query(sql.enrich_private(SALT), _requests)
+def enrich_private(r):
+    """The same under the privacy bundle."""
+    private = replace(CONFIG, gdpr_mode=True).resolved()
+    found = enrich(r.where(reject_reason(private).isNull()), private, SALT)
+    return found.groupBy("site_id", "visitor_id", "timestamp", "referrer", "browser", "browser_version", "os", "os_version", "device_type", "screen_size").agg(F.count("*").alias("n"))
+
+
+@query(sql.PIXEL, _raw)
+def pixel_requests(e):
+    n = F.col("event_id")
+    text_of = F.concat(F.lit("d=site-"), n % 3, F.lit(".example"), F.when(n % 2 == 0, F.lit("&n=sign%20up")).otherwise(""), F.lit("&u=https%3A%2F%2Fh.example%2Fp%2F"), n % 10, F.lit("&w="), F.when(n % 4 == 0, F.lit("x")).otherwise((n % 2000).cast("string")))
+    return parse_pixel(e.select("event_id", text_of.alias("query"))).select("event_id", "d", "n", "u", "w")
 
 
-@query()
+@query(sql.RATE_LIMIT)
 def rate_limit(e):
-    return ratelimit.limit(e.select("site_id", "timestamp", "event_id"), 1, tie="event_id")
+    return ratelimit.limit(e.select("site_id", "timestamp", "event_id"), 1, tie="event_id").select("event_id", "allowed")
+
+
+def _json_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The requests as JSON bodies in a folder of files, and that folder's stream."""
+    path = _folder(spark, "requests")
+    r = _requests(spark, sf_dir)
+    body = F.to_json(F.struct("d", "n", "u", "r", "w", "p", "ra", "rc"))
+    r.select(body.alias("body"), "origin", "user_agent", "x_forwarded_for", "x_real_ip", "received").write.json(path)
+    return streaming.json_source(spark, path), path
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The requests through the streams, to the end; the folder of both tables."""
+    source, path = _json_requests(spark, sf_dir)
+    for started in streaming.start_all(source, f"{path}-events", f"{path}-refused", f"{path}-checkpoint", CONFIG, SALT, once=True):
+        started.awaitTermination()
+    return path
 
 
 def _stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events through a stream that writes a table by site and date, and the table's census."""
-    path = f"{shared_dir(spark)}/sitepulse/stream-{uuid.uuid4().hex}"
+    """Requests as JSON files, streamed into stored events."""
+    stored = EventStore(spark, f"{_streamed(spark, sf_dir)}-events").read()
+    return stored.groupBy(*KEPT).agg(F.count("*").alias("n"))
+
+
+def _stream_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that the same streams refuse, by reason."""
+    refused = spark.read.parquet(f"{_streamed(spark, sf_dir)}-refused")
+    return refused.groupBy("reject_reason", "site_id").agg(F.count("*").alias("n"))
+
+
+def _stream_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished events through a stream that writes a table by site and date, and the table's census."""
+    path = _folder(spark, "stream")
     source = _raw(spark, sf_dir)
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     streaming.start(web_events(arriving), f"{path}/events", f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
-    stored = spark.read.parquet(f"{path}/events")
-    return metrics.partition_census(stored).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return _census(EventStore(spark, f"{path}/events").read())
 
 
-QUERIES["stream_enrich"] = _stream_enrich
-ORACLE_SQL["stream_enrich"] = sql.CENSUS
+QUERIES |= {"stream_enrich": _stream_enrich, "stream_refused": _stream_refused, "stream_census": _stream_census}
+ORACLE_SQL |= {"stream_enrich": sql.enrich(SALT), "stream_refused": sql.REFUSED, "stream_census": sql.CENSUS}

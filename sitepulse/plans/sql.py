@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from sitepulse.functions.identity import BLOCK
 from sitepulse.schema import web_events_sql
 
@@ -106,14 +108,21 @@ EXPORT = _EXPORT + " SELECT d.*, top_page, top_source FROM d, p, q ORDER BY date
 EXPORT_CSV = _EXPORT + """ SELECT '"' || date || '",' || visitors || ',' || pageviews || ',"' || top_page || '","' || top_source || '"' AS line FROM d, p, q"""
 
 
-def _census(where: str = "true") -> str:
-    return f"WITH {_WEB} SELECT site_id, strftime(\"timestamp\", '%Y-%m-%d') AS date, count(*) AS n FROM web WHERE {where} GROUP BY 1, 2 ORDER BY 1, 2"
+EXPORT_JSON = f"{_E}, d AS (SELECT strftime(\"timestamp\", '%Y-%m-%d') AS bucket, count(DISTINCT visitor_id) AS visitors, {_PV} AS pageviews FROM e GROUP BY 1) SELECT '{{\"bucket\":\"' || bucket || '\",\"visitors\":' || visitors || ',\"pageviews\":' || pageviews || '}}' AS json FROM d"
+
+
+def _census(where: str = "true", port: str = "") -> str:
+    return f"WITH {_WEB} SELECT site_id || '{port}' AS site_id, strftime(\"timestamp\", '%Y-%m-%d') AS date, count(*) AS n FROM web WHERE {where} GROUP BY 1, 2 ORDER BY 1, 2"
 
 
 CENSUS = _census()
-CLEANUP = _census("CAST(\"timestamp\" AS DATE) >= DATE '2024-01-17'")
-ERASE = _census("NOT (site_id = 'site-1.example' AND CAST(\"timestamp\" AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12')")
-UNION = f"WITH {_WEB} SELECT site_id, event_name, count(*) AS n, count(DISTINCT visitor_id) AS visitors FROM web GROUP BY 1, 2"
+CLEANUP = _census("CAST(\"timestamp\" AS DATE) >= DATE '2024-01-17'", ":8080")
+ERASE = _census("NOT (site_id = 'site-1.example' AND CAST(\"timestamp\" AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12')", ":8080")
+UNION = f"""WITH {_WEB}, t AS (SELECT 'all' AS tier, * FROM web UNION ALL SELECT 'hot', * FROM web WHERE event_id % 3 = 2)
+SELECT tier, site_id, event_name, count(*) AS n, count(DISTINCT visitor_id) AS visitors FROM t GROUP BY 1, 2, 3"""
+SCAN = f"WITH {_WEB} SELECT strftime(\"timestamp\", '%Y-%m-%d') AS date, event_name, count(*) AS n FROM web WHERE site_id = 'site-1.example' AND \"timestamp\" >= TIMESTAMP '2024-01-13' AND \"timestamp\" < TIMESTAMP '2024-01-21' GROUP BY 1, 2"
+UNSAFE = f"WITH {_WEB} SELECT CASE event_id % 10 WHEN 0 THEN 'a/../b' WHEN 1 THEN '' WHEN 2 THEN repeat('é', 129) WHEN 3 THEN 'a\\b' ELSE site_id END AS site_id, event_id % 10 > 3 AS stored, count(*) AS n FROM web GROUP BY 1, 2"
+COMPACTED = f"WITH {_WEB} SELECT count(*) AS n, count(DISTINCT visitor_id) AS visitors, CAST(1 AS BIGINT) AS files FROM web WHERE site_id = 'site-1.example' AND CAST(\"timestamp\" AS DATE) = DATE '2024-01-10'"
 
 _BARE = "regexp_replace(url, '^https?://', '')"
 PATHNAME = f"SELECT page_id, '/' || regexp_extract(substr({_BARE}, CASE WHEN strpos({_BARE}, '/') = 0 THEN length({_BARE}) + 1 ELSE strpos({_BARE}, '/') + 1 END), '^[^?#]*') AS pathname FROM pages"
@@ -173,6 +182,25 @@ def visitor_hmac(salt: str) -> str:
     return f"SELECT event_id, {_hmac(message, salt)} AS visitor_id FROM events"
 
 
+SUPPRESSED = "SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_shaped FROM events"
+KEY_HASH = "SELECT event_id, sha256('key-' || user_id) AS h FROM events"
+
+
+def daily_salts(days: list, secret: str) -> str:
+    """The salt is an HMAC of secret and day under a fixed key, the id one under the salt."""
+    salts = {d: hmac.new(b"sitepulse-visitor-salt", f"{secret}:{d}".encode(), "sha256").hexdigest() for d in days}
+    message = "'10.0.0.1|agent/' || (user_id % 7)"
+    each = " ".join(f"WHEN DATE '{d}' THEN {_hmac(message, salt)}" for d, salt in salts.items())
+    return f"SELECT strftime(ts, '%Y-%m-%d') AS date, CASE CAST(ts AS DATE) {each} END AS visitor_id, count(*) AS n FROM events WHERE CAST(ts AS DATE) IN ({', '.join(f"DATE '{d}'" for d in days)}) GROUP BY 1, 2"
+
+
+#: (network, country, region, city); the second is wider than 32 bits.
+NETWORKS = [("2001:db8:1::/48", "DE", "Bavaria", "Munich"), ("2a00::/15", "NL", "", ""), ("2001:db8:8::/46", "SE", "", ""), ("81.2.0.0/17", "GB", "England", "London")]
+GEO6 = """WITH i AS (SELECT event_id, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN '2001:db8:' || (event_id % 4) || '::' || (event_id % 7)
+  WHEN 1 THEN '2A0' || (event_id % 3) || ':0:0:0:0:0:0:' || printf('%x', event_id % 500) WHEN 2 THEN 'fe80::1' WHEN 3 THEN '::ffff:81.2.' || (event_id % 256) || '.9' ELSE 'not an address' END AS ip FROM events),
+c AS (SELECT event_id, ip, CASE WHEN k = 0 AND event_id % 4 = 1 THEN 'DE' WHEN k = 1 AND event_id % 3 < 2 THEN 'NL' WHEN k = 3 AND event_id % 256 < 128 THEN 'GB' END AS country_code FROM i)
+SELECT event_id, ip, country_code, CASE country_code WHEN 'DE' THEN 'Bavaria' WHEN 'GB' THEN 'England' END AS region, CASE country_code WHEN 'DE' THEN 'Munich' WHEN 'GB' THEN 'London' END AS city FROM c"""
+
 _RANGE_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in RANGES)
 GEO = f"""WITH g AS (SELECT * FROM (VALUES {_RANGE_ROWS}) AS t(a, b, country_code, region, city)),
 i AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '192.168.1.1' ELSE '81.' || (user_id % 4) || '.' || (event_id % 256) || '.7' END AS ip,
@@ -198,3 +226,21 @@ CASE WHEN r_len = 31 THEN 'Bing' END AS referrer_source, 's' || src AS utm_sourc
 CASE WHEN w < 768 THEN 'mobile' WHEN w < 1024 THEN 'tablet' WHEN w IS NOT NULL THEN 'desktop' END AS device_type, CAST(w AS VARCHAR) AS screen_size,
 CAST(ra AS DECIMAL(12, 2)) AS revenue_amount, CASE WHEN ra IS NOT NULL THEN 'EUR' END AS revenue_currency"""
     return f"{_REQUESTS}, x AS (SELECT {columns} FROM j WHERE reject_reason IS NULL) SELECT *, count(*) AS n FROM x GROUP BY ALL"
+
+
+def enrich_private(salt: str) -> str:
+    """Times by the hour, no versions, widths and queries of referrers; systems and browsers stay."""
+    columns = f"""d AS site_id, {_hmac("ip || '|' || ua", salt)} AS visitor_id, date_trunc('hour', ts) AS "timestamp", CASE WHEN r_len = 31 THEN 'https://www.bing.com/search' END AS referrer,
+{_BROWSER} AS browser, CAST(NULL AS VARCHAR) AS browser_version, {_OS} AS os, CAST(NULL AS VARCHAR) AS os_version, CAST(NULL AS VARCHAR) AS device_type, CAST(NULL AS VARCHAR) AS screen_size"""
+    return f"{_REQUESTS}, x AS (SELECT {columns} FROM j WHERE reject_reason IS NULL) SELECT *, count(*) AS n FROM x GROUP BY ALL"
+
+
+REFUSED = _REQUESTS + " SELECT reject_reason, d AS site_id, count(*) AS n FROM j WHERE reject_reason IS NOT NULL GROUP BY 1, 2"
+PIXEL = """SELECT event_id, 'site-' || (event_id % 3) || '.example' AS d, CASE WHEN event_id % 2 = 0 THEN 'sign up' ELSE 'pageview' END AS n, 'https://h.example/p/' || (event_id % 10) AS u,
+CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 2000 AS INT) END AS w FROM events"""
+#: A site's requests one after the other: what was left, filled up at one token a second, up to one.
+RATE_LIMIT = f"""WITH RECURSIVE {_WEB}, o AS (SELECT site_id, event_id, epoch_us("timestamp") / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY site_id ORDER BY "timestamp", event_id) AS r FROM web),
+f AS (SELECT site_id, event_id, r, t, CAST(0 AS DOUBLE) AS tokens, TRUE AS allowed FROM o WHERE r = 1
+  UNION ALL SELECT site_id, event_id, r, t, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
+  FROM (SELECT o.*, least(CAST(1 AS DOUBLE), f.tokens + (o.t - f.t)) AS filled FROM f JOIN o ON o.site_id = f.site_id AND o.r = f.r + 1))
+SELECT event_id, allowed FROM f"""

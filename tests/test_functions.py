@@ -125,3 +125,33 @@ def test_steps(spark):
     for bad in ("invalid", "sql:DROP TABLE", "page:", "", "page:" + "x" * 257):
         with pytest.raises(ParameterError):
             parse_steps(bad)
+
+
+def test_addresses_of_both_kinds(spark):
+    import ipaddress
+
+    from sitepulse.functions import geo
+
+    ips = "1.2.3.4 255.255.255.255 256.1.1.1 ::1 :: 2001:db8::1 2001:DB8:0:0:0:0:2:1 ::ffff:1.2.3.4 1:: 1:2:3:4:5:6:7:8 1:2:3:4:5:6:7 1:2:3:4:5:6:7:8:9 abc 1:2:3:4:5:6:7:: 1:2:3:4:5:6:7:8:: a:::b 1::2::3 g::1 12345::1 64:ff9b::8.8.8.8 1.2.3 :1:2:3:4:5:6:7 ::256.1.1.1".split()
+    networks = "81.2.0.0/16 2001:db8::/32 2001:db8::/29 2a00::/12 1.2.3.4 ::/0 0.0.0.0/0 2001:db8::1/128 bad/3 1.2.3.0/33".split()
+    key = lambda a: f"{int(a) if a.version == 6 else int(a) + (0xFFFF << 32):032x}"
+
+    def want(make, text):
+        try:
+            return make(text)
+        except ValueError:
+            return None
+
+    found = spark.createDataFrame([(x,) for x in ips], "x string").select("x", geo.ip_key(F.col("x")).alias("k")).collect()
+    assert [(r.x, r.k) for r in found] == [(x, want(lambda t: key(ipaddress.ip_address(t)), x)) for x in ips]
+    found = spark.createDataFrame([(x,) for x in networks], "x string").select("x", geo.network_range(F.col("x")).alias("k")).collect()
+    assert [(r.x, r.k) for r in found] == [(x, want(lambda t: [key(ipaddress.ip_network(t)[0]), key(ipaddress.ip_network(t)[-1])], x)) for x in networks]
+
+
+def test_place_of_missing_database(spark, tmp_path):
+    from sitepulse.functions import geo
+
+    assert geo.read_ranges(spark, str(tmp_path / "none")) is None
+    none = spark.createDataFrame([], "ip_start string, ip_end string, country_code string, region string, city string")
+    row = geo.locate(spark.createDataFrame([("2001:db8::1",)], "ip string"), none).first()
+    assert row.ip == "2001:db8::1" and row.country_code is None
