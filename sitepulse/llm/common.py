@@ -11,6 +11,8 @@ from sitepulse.session import shared_dir
 
 #: White space between words, as in ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that a task's writer of such a table gathers in memory at most.
+ROW_GROUP_BYTES = 32 << 20
 #: Bytes of words for phrase search: lower-case letters, digits and all of UTF-8's higher bytes; others become spaces.
 LOWER_WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -21,7 +23,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage, and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitepulse/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,15 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitepulse.llm.common import text_or_empty, written
 
 LEAST = 400
+#: A repeated passage: so many bytes at least, and so many words (fewer words if it has LEAST bytes).
+PASSAGE_BYTES, PASSAGE_WORDS = 250, 50
 #: Suffixes for which one bucket of the exchange is laid out, and bytes that a task sorts into a run.
 BUCKET, RUN_BYTES = 30_000, 24 << 20
-#: A gram of more places is hot: its suffixes don't go to one bucket, their windows are counted.
-HOT = 30_000
+#: A gram of more places is hot: its suffixes don't go to one bucket, whose task would hold so many times 750 bytes; their windows are counted.
+HOT = 100_000
 #: Groups of more suffixes are resolved by classes at each offset, not in pairs.
 PAIRS = 96
 BASE = 0x9E3779B97F4A7C15
@@ -34,15 +35,17 @@ MASK = (1 << 64) - 1
 
 
 def gram_size(least: int) -> int:
-    return max(1, least // 4)
+    return max(1, min(100, least // 5))
 
 
 class Anchors:
-    """Anchors of texts: places of the least gram hash in any ``least`` bytes."""
+    """Anchors of texts: places of the least gram hash in any so many bytes, for each of some lengths, ascending.
 
-    def __init__(self, least: int, chunk: int = 1 << 18):
-        self.least, self.gram = least, gram_size(least)
-        self.width = least - self.gram + 1
+    An anchor of a greater length is one of the lesser ones too.
+    """
+
+    def __init__(self, lengths: list[int], chunk: int = 1 << 18):
+        self.lengths, self.gram = lengths, gram_size(lengths[0])
         self.chunk = chunk
         rng = np.random.default_rng(7)
         self.values = rng.integers(1, 1 << 63, 256, np.uint64)
@@ -54,8 +57,8 @@ class Anchors:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, hashes) of each text."""
+    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, hashes, levels) of each text; level: the number of the greatest length whose anchor it is."""
         out, batch, size = [], [], 0
         for text in texts:
             if batch and size + len(text) > self.chunk:
@@ -65,13 +68,12 @@ class Anchors:
             size += len(text)
         return out + (self._batch(batch) if batch else [])
 
-    def _batch(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _batch(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         sizes = np.array([len(t) for t in texts], np.int64)
         stops = np.cumsum(sizes)
-        n, gram, width = int(stops[-1]), self.gram, self.width
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if n < self.least:
-            return [none] * len(texts)
+        n, gram = int(stops[-1]), self.gram
+        if n < self.lengths[0]:
+            return [(np.zeros(0, np.int64),) * 3] * len(texts)
         if n + 1 > len(self.powers):
             self.powers, self.inverse = self._powers(BASE, 2 * n), self._powers(pow(BASE, -1, 1 << 64), 2 * n)
         text = np.frombuffer(b"".join(texts), np.uint8)
@@ -81,7 +83,22 @@ class Anchors:
         code ^= code >> np.uint64(32)
         code *= np.uint64(0xD6E8FEB86659FD93)
         code ^= code >> np.uint64(32)
-        places = len(code)  # a gram starts here
+        at = self._least(code, self.lengths[0], stops, n)
+        level = np.zeros(len(at), np.int64)
+        for number, least in enumerate(self.lengths[1:], 1):
+            level[np.searchsorted(at, self._least(code, least, stops, n))] = number
+        owner = np.searchsorted(stops, at, "right")
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        codes = code[at].view(np.int64)
+        begin = stops - sizes
+        return [(at[a:b] - begin[k], codes[a:b], level[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
+
+    def _least(self, code: np.ndarray, least: int, stops: np.ndarray, n: int) -> np.ndarray:
+        """Places of the least codes in all windows of ``least`` bytes within one text, ascending."""
+        width, places = least - self.gram + 1, len(code)  # of the grams that start in a window
+        windows = places - width + 1
+        if windows < 1:
+            return np.zeros(0, np.int64)
         shift = np.uint64(max(24, n.bit_length()))
         blocks = -(-places // width) + 1
         key = np.full(blocks * width, MASK, np.uint64)
@@ -89,19 +106,12 @@ class Anchors:
         grid = key.reshape(blocks, width)
         upto = np.minimum.accumulate(grid, axis=1).ravel()
         onward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = places - width + 1
-        least = np.minimum(onward[:windows], upto[width - 1 : width - 1 + windows]) & np.uint64((1 << int(shift)) - 1)
-        start = np.arange(windows)
+        found = np.minimum(onward[:windows], upto[width - 1 : width - 1 + windows]) & np.uint64((1 << int(shift)) - 1)
         inside = np.ones(windows, bool)  # a window within one text
         for stop in stops[:-1].tolist():
-            inside[max(0, stop - self.least + 1) : min(stop, windows)] = False
-        at = least[start[inside]].astype(np.int64)
-        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-        owner = np.searchsorted(stops, at, "right")
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        codes = code[at].view(np.int64)
-        begin = stops - sizes
-        return [(at[a:b] - begin[k], codes[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
+            inside[max(0, stop - least + 1) : min(stop, windows)] = False
+        at = found[inside].astype(np.int64)
+        return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -256,14 +266,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"), text.cast("binary").alias("t"))
 
 
-EXCHANGED = "bucket int, k1 long, k2 int, start int, stop int, run binary"
-SPANS = "k1 long, k2 int, start int, stop int"
+EXCHANGED = "bucket int, k1 long, k2 int, start int, stop int, least int, run binary"
+SPANS = "k1 long, k2 int, start int, stop int, least int"
 
 
-def _sorted_runs(least: int, buckets: int):
-    """Tasks' side of the sort: suffixes at the given places of each text into runs, one for each bucket."""
-    gram = gram_size(least)
-    back = least - gram
+def _sorted_runs(lengths: list[int], buckets: int):
+    """Tasks' side of the sort: suffixes at the given places of each text into runs, one for each bucket.  Each length has its own buckets."""
+    gram = gram_size(lengths[0])
     names = [f.split()[0] for f in EXCHANGED.split(", ")]
 
     def flush(rows: list[tuple]):
@@ -274,24 +283,27 @@ def _sorted_runs(least: int, buckets: int):
             while j < len(rows) and rows[j][:3] == rows[i][:3]:
                 j += 1
             bucket, text, right, k1, k2, place = rows[i]
+            least = lengths[bucket // buckets]
             if j - i > 1 and len(text) >= least:  # equal suffixes of one task: their reach is known, and one stands for all
-                spans += [(r[3] % buckets, r[3], r[4], r[5] - (len(text) - right), r[5] + right) for r in rows[i:j]]
+                spans += [(r[3] % buckets, r[3], r[4], r[5] - (len(text) - right), r[5] + right, least) for r in rows[i:j]]
             runs.setdefault(bucket, []).append((text, right, j - i > 1, k1, k2, place))
             i = j
-        columns = [list(c) for c in zip(*spans)] or [[]] * 5
+        columns = [list(c) for c in zip(*spans)] or [[]] * 6
         made = [(b, Run.pack(r[a : a + 4096])) for b, r in runs.items() for a in range(0, len(r), 4096)]
-        columns = [c + x for c, x in zip(columns, ([b for b, _ in made], *[[None] * len(made)] * 4))]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        columns = [c + x for c, x in zip(columns, ([b for b, _ in made], *[[None] * len(made)] * 5))]
+        kinds = (pa.int32(), pa.int64(), *[pa.int32()] * 4)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([None] * len(spans) + [r for _, r in made], pa.binary())], names=names)
 
     def run(batches):
         rows, size = [], 0
         for batch in batches:
             for k1, k2, text, places in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                for p in places:
-                    right = text[p : p + least]
-                    rows.append((zlib.crc32(right[:gram]) % buckets, right + text[max(0, p - back) : p][::-1], len(right), k1, k2, p))
-                    size += len(rows[-1][1])
+                for p, level in ((x["place"], x["level"]) for x in places):
+                    bucket = zlib.crc32(text[p : p + gram]) % buckets
+                    for number, least in enumerate(lengths[: level + 1]):
+                        right = text[p : p + least]
+                        rows.append((number * buckets + bucket, right + text[max(0, p - least + gram) : p][::-1], len(right), k1, k2, p))
+                        size += len(rows[-1][1])
                 if size > RUN_BYTES:
                     yield from flush(rows)
                     rows, size = [], 0
@@ -301,12 +313,12 @@ def _sorted_runs(least: int, buckets: int):
     return run
 
 
-def _merged(least: int):
+def _merged(lengths: list[int], buckets: int):
     """The other side: merge the runs of each bucket and give what repeats as spans; finished spans pass."""
-    gram = gram_size(least)
+    gram = gram_size(lengths[0])
     names = [f.split()[0] for f in SPANS.split(", ")]
 
-    def resolve(runs: list[Run]):
+    def resolve(runs: list[Run], least: int):
         spans: list[tuple] = []
         group: list[list] = []  # text, right, twice, holders, shared
 
@@ -315,7 +327,7 @@ def _merged(least: int):
                 found = reaches([g[0] for g in group], [g[1] for g in group], [g[4] for g in group], [g[2] for g in group], least)
                 for (_, _, _, holders, _), (before, after) in zip(group, found):
                     if after:
-                        spans.extend((k1, k2, place - before, place + after) for k1, k2, place in holders)
+                        spans.extend((k1, k2, place - before, place + after, least) for k1, k2, place in holders)
 
         for shared, run in merge(runs):
             row, text = run.row, run.text
@@ -334,34 +346,33 @@ def _merged(least: int):
         return spans
 
     def rows(spans):
-        columns = zip(*spans) if spans else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=names)
+        columns = zip(*spans) if spans else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), *[pa.int32()] * 4))], names=names)
 
     def run(batches):
         bucket, held = None, []
         for batch in batches:
-            done = batch.filter(batch.column(5).is_null())
-            yield pa.RecordBatch.from_arrays([done.column(i) for i in range(1, 5)], names=names)
-            coded = batch.filter(batch.column(5).is_valid())
-            for b, data in zip(coded.column(0).to_pylist(), coded.column(5)):
+            done = batch.filter(batch.column(6).is_null())
+            yield pa.RecordBatch.from_arrays([done.column(i) for i in range(1, 6)], names=names)
+            coded = batch.filter(batch.column(6).is_valid())
+            for b, data in zip(coded.column(0).to_pylist(), coded.column(6)):
                 if b != bucket:
                     if held:
-                        yield rows(resolve(held))
+                        yield rows(resolve(held, lengths[bucket // buckets]))
                     bucket, held = b, []
                 held.append(Run(data.as_py()))
         if held:
-            yield rows(resolve(held))
+            yield rows(resolve(held, lengths[bucket // buckets]))
 
     return run
 
 
-def _hot(least: int, step: int, cores: bool):
+def _hot(least: int, gram: int, step: int, cores: bool):
     """Tasks' side of hot grams: parts of the text around each place, by a 128-bit hash; spans of equal suffixes without.
 
     Any window of ``least`` bytes around a gram's place holds one of the cores, which are ``step`` bytes shorter and
     start at multiples of ``step`` before the place.  cores: give these; else the windows of each core in ``places``.
     """
-    gram = gram_size(least)
     back = least - gram
     names = ["h", "k1", "k2", "start", "stop", "core"]
     kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
@@ -410,48 +421,62 @@ def _hot(least: int, step: int, cores: bool):
     return run
 
 
-def _hot_spans(keyed: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, start, stop) of all repeats around ``places`` (k1, k2, place); no task holds all of a gram."""
-    step = max(1, least // 8)
+def _hot_spans(keyed: DataFrame, places: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """(k1, k2, start, stop, least) of all repeats around the grams at ``places`` (k1, k2, place, level); no task holds all of a gram.
+
+    The texts that have such a gram are written once, with its places.
+    """
     kinds = "h binary, k1 long, k2 int, start int, stop int, core int"
+    own = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "level")).alias("places"))
+    texts = written(keyed.join(own, ["k1", "k2"]).select("k1", "k2", "t", "places"), "hot")
 
     def twice(found: DataFrame) -> DataFrame:
         often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
         return found.join(often, "h", "left_semi")
 
-    own = places.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
-    parts = written(keyed.join(own, ["k1", "k2"]).select("k1", "k2", "t", "places").mapInArrow(_hot(least, step, True), kinds), "cores")
-    again = twice(parts.where("h is not null")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "core")).alias("places"))
-    windows = written(keyed.join(again, ["k1", "k2"]).select("k1", "k2", "t", "places").mapInArrow(_hot(least, step, False), kinds), "windows")
-    return parts.where("h is null").select("k1", "k2", "start", "stop").union(twice(windows).select("k1", "k2", "start", "stop"))
+    out = None
+    for number, least in enumerate(lengths):
+        step = max(1, least // 8)
+        mine = F.transform(F.filter("places", lambda x: x["level"] >= number), lambda x: x["place"])  # noqa: B023
+        parts = written(texts.select("k1", "k2", "t", mine.alias("places")).mapInArrow(_hot(least, gram, step, True), kinds), "cores")
+        again = twice(parts.where("h is not null")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "core")).alias("places"))
+        windows = written(texts.select("k1", "k2", "t").join(again, ["k1", "k2"]).mapInArrow(_hot(least, gram, step, False), kinds), "windows")
+        spans = parts.where("h is null").select("k1", "k2", "start", "stop").union(twice(windows).select("k1", "k2", "start", "stop"))
+        spans = spans.withColumn("least", F.lit(least))
+        out = spans if out is None else out.union(spans)
+    return out
 
 
-def repeated_spans(keyed: DataFrame, least: int = LEAST) -> DataFrame:
-    """(k1, k2, spans) of the texts of ``keyed`` (doc_id, k1, k2, t) with repeats; spans: array of (start, stop) in bytes, not yet united."""
-    spark = keyed.sparkSession
+def repeated_spans(keyed: DataFrame, *lengths: int) -> DataFrame:
+    """(k1, k2, spans) of the texts of ``keyed`` (doc_id, k1, k2, t) with repeats of any of ``lengths`` bytes.
+
+    spans: array of (start, stop, least) in bytes, not yet united: what repeats of ``least`` bytes or more cover.
+    """
+    spark, lengths = keyed.sparkSession, sorted(lengths)
+    gram = gram_size(lengths[0])
 
     def find(batches):
-        anchors = Anchors(least)
+        anchors = Anchors(lengths)
+        kinds = (np.int32, np.int64, np.int32)
         for batch in batches:
             found = anchors.of(batch.column(2).to_pylist())
-            offsets = pa.array(np.cumsum([0] + [len(p) for p, _ in found]), pa.int32())
-            flat = [np.concatenate([f[i] for f in found] or [np.zeros(0)]) for i in range(2)]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["k1", "k2", "places", "grams"])
+            offsets = pa.array(np.cumsum([0] + [len(f[0]) for f in found]), pa.int32())
+            flat = [np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat)], names=["k1", "k2", "places", "grams", "levels"])
 
-    anchors = written(keyed.select("k1", "k2", "t").mapInArrow(find, "k1 long, k2 int, places array<int>, grams array<long>"), "anchors")
-    each = anchors.select("k1", "k2", F.explode(F.arrays_zip("places", "grams")).alias("a")).select("k1", "k2", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"))
+    anchors = written(keyed.select("k1", "k2", "t").mapInArrow(find, "k1 long, k2 int, places array<int>, grams array<long>, levels array<int>"), "anchors")
+    each = anchors.select("k1", "k2", F.explode(F.arrays_zip("places", "grams", "levels")).alias("a")).select("k1", "k2", F.col("a.places").alias("place"), F.col("a.grams").alias("gram"), F.col("a.levels").alias("level"))
     twice = written(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")  # so that the join can split a gram of very many places
     hot = twice.where(F.col("n") > HOT).select("gram")
-    chosen = each.join(twice.where(F.col("n") <= HOT), "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    chosen = each.join(twice.where(F.col("n") <= HOT), "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "level")).alias("places"))
     chosen = written(chosen, "chosen")
     total = chosen.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    runs = keyed.join(chosen, ["k1", "k2"]).select("doc_id", "k1", "k2", "t", "places").mapInArrow(_sorted_runs(least, buckets), EXCHANGED)
-    merged = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(least), SPANS)
+    runs = keyed.join(chosen, ["k1", "k2"]).select("doc_id", "k1", "k2", "t", "places").mapInArrow(_sorted_runs(lengths, buckets), EXCHANGED)
+    merged = runs.repartition(buckets * len(lengths), "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(lengths, buckets), SPANS)
     if not hot.isEmpty():
-        merged = merged.union(_hot_spans(keyed, written(each.join(hot, "gram", "left_semi").select("k1", "k2", "place"), "hot"), least))
-    return merged.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        merged = merged.union(_hot_spans(keyed, each.join(hot, "gram", "left_semi").select("k1", "k2", "place", "level"), lengths, gram))
+    return merged.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "least")).alias("spans"))
 
 
 def unite(spans) -> list[tuple[int, int]]:
@@ -487,48 +512,72 @@ def inward(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _spans_of(batch, column: int) -> list[list[tuple[int, int]]]:
-    return [unite((s["start"], s["stop"]) for s in spans or ()) for spans in batch.column(column).to_pylist()]
+def _united(spans, least: int = 0) -> list[tuple[int, int]]:
+    return unite((s["start"], s["stop"]) for s in spans if s["least"] >= least)
 
 
-def digest(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the text without its repeats.
+def passages(text: bytes, spans: list[tuple[int, int]], words: int, least: int) -> list[tuple[int, int]]:
+    """The united spans with so many words, or so many bytes."""
+    return [(a, b) for a, b in spans if b - a >= least or len(text[a:b].split()) >= words]
 
-    A byte goes if it's inside ``least`` bytes that also start anywhere else, in any row, the
-    same included.  Null text counts as empty; shorter texts have no repeats; repeated rows
-    are repeats of each other; null ids are kept; an empty table gives no rows; further
-    columns are ignored.
-    """
-    keyed = _keyed(docs, id_col, text_col)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)])
-    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())):
-        schema.add(name, kind)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(3).to_pylist(), _spans_of(batch, 4)):
-                kept = cut(text, spans)
-                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            columns = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()]))], names=schema.names)
 
-    joined = keyed.join(repeated_spans(keyed, least), ["k1", "k2"], "left")
-    return joined.select("doc_id", "k1", "k2", "t", "spans").mapInArrow(run, schema)
+def digest(docs: DataFrame, least: int = LEAST, passage: tuple[int, int] = (PASSAGE_BYTES, PASSAGE_WORDS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the text without its repeats, and n_passage_bytes.
 
+    A byte goes if it's inside ``least`` bytes that also start anywhere else, in any row, the
+    same included.  ``n_passage_bytes`` counts what stands in repeated passages, though it isn't
+    removed: maximal runs covered by repeats of ``passage[0]`` bytes or more, that have
+    ``passage[1]`` words or ``least`` bytes.
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeats cut out of the text, whole characters only; all rows and other columns as they are."""
-    spans = repeated_spans(_keyed(docs, id_col, text_col), least)
+    Null text counts as empty; shorter texts have no repeats; very long texts are taken whole;
+    repeated rows are repeats of each other; null ids are kept; an empty table gives no rows;
+    further columns, of any name, are ignored.
+    """
+    short, words = passage
+    keyed = _keyed(docs, id_col, text_col)
+    found = "struct<n_removed:bigint,n_spans:bigint,kept_sha256:string,n_passage_bytes:bigint>"
+
+    @F.arrow_udf(found)
+    def measure(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            row = None
+            if own is not None:
+                gone = _united(own, least)
+                kept = cut(text, gone)
+                near = passages(text, _united(own), words, least)
+                row = {"n_removed": len(text) - len(kept), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_passage_bytes": sum(b - a for a, b in near)}
+            out.append(row)
+        return pa.array(out, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64())]))
+
+    joined = keyed.join(repeated_spans(keyed, least, short), ["k1", "k2"], "left")
+    measured = joined.withColumn("m", measure(F.when(F.col("spans").isNotNull(), F.col("t")), F.col("spans")))  # texts without repeats needn't go to Python
+    or_zero = lambda name: F.coalesce(F.col(f"m.{name}"), F.lit(0)).cast("long").alias(name)
+    sha = F.when(F.col("spans").isNull(), F.sha2("t", 256)).otherwise(F.col("m.kept_sha256"))
+    return measured.select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), or_zero("n_removed"), or_zero("n_spans"), sha.alias("kept_sha256"), or_zero("n_passage_bytes"))
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, passage: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeats cut out of the text, whole characters only; all rows and other columns as they are.
+
+    Repeats are those of ``digest``; with ``passage`` its passages, which hold these, are cut.
+    All copies of a repeat go.  Null texts stay null and empty ones empty, very long ones are
+    taken whole, repeated rows lose what they share, null ids are kept, an empty table stays
+    empty, and columns may have any name.
+    """
+    short, words = passage or (least, 0)
+    spans = repeated_spans(_keyed(docs, id_col, text_col), short)
     text = text_or_empty(text_col).cast("string")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"))
-    joined = rows.join(spans, ["k1", "k2"], "left").select("row", F.col(f"row.{text_col}").cast("binary").alias("t"), "spans")
-    schema = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType), T.StructField("kept", T.StringType())])
 
-    def run(batches):
-        for batch in batches:
-            kept = [t if t is None or not s else cut(t, inward(t, s)) for t, s in zip(batch.column(1).to_pylist(), _spans_of(batch, 2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if k is None else k.decode() for k in kept], pa.string())], names=schema.names)
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), found.to_pylist()):
+            out.append(None if own is None or text is None else cut(text, inward(text, passages(text, _united(own), words, least))).decode())
+        return pa.array(out, pa.string())
 
-    found = joined.mapInArrow(run, schema)
-    return found.select(*(F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"))
+    joined = rows.join(spans, ["k1", "k2"], "left")
+    whole = F.col(f"row.`{text_col}`")
+    kept = joined.withColumn("kept", without(F.when(F.col("spans").isNotNull(), whole.cast("binary")), F.col("spans")))  # texts without repeats needn't go to Python
+    return kept.select(*(F.coalesce("kept", whole).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -182,12 +182,12 @@ def test_links_of_crowded_leaves(spark, monkeypatch):
 
 
 def removed(texts, least):
-    counts = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+    counts = Counter(hash(t[i : i + least]) for t in texts for i in range(len(t) - least + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - least + 1):
-            if counts[t[i : i + least]] > 1:
+            if counts[hash(t[i : i + least])] > 1:
                 gone[i : i + least] = b"\1" * least
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
@@ -207,14 +207,31 @@ def test_suffix(spark, monkeypatch, least, pairs):
             at = int(rng.integers(len(b)))
             text += b[at : at + int(rng.integers(1, 60))] + "xyz" * int(rng.integers(0, 9))
         texts.append((1000 + i, text))
-    found = suffix.digest(frame(spark, texts), least).collect()
-    want = removed([(t or "").encode() for _, t in texts], least)
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter((i, *w) for (i, _), w in zip(texts, want))
+    short = 2 * least // 3
+    found = suffix.digest(frame(spark, texts), least, (short, 0)).collect()
+    own = [(t or "").encode() for _, t in texts]
+    want = [(*w, x[1]) for w, x in zip(removed(own, least), removed(own, short))]
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in found) == Counter((i, *w) for (i, _), w in zip(texts, want))
     cut = suffix.remove_repeats(frame(spark, texts), least)
+    assert [r.text for r in cut.collect() if r.doc_id == 2] == [None]
     assert cut.columns == frame(spark).columns and cut.count() == len(texts)
     assert suffix.digest(frame(spark, []), least).count() == 0
 
 
+def test_suffix_of_documents(spark, sf_dir):
+    """The query over its table: repeats of 400 bytes, and passages of 50 words, by brute force."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    own = [(r.text or "").encode() for r in docs]
+    found = {r.doc_id: r for r in queries.op3_suffix_dedup(spark, sf_dir).collect()}
+    for r, want in zip(docs, removed(own, 400)):
+        assert tuple(found[r.doc_id])[:5] == (r.doc_id, *want)
+    counts = Counter(hash(t[i : i + 250]) for t in own for i in range(len(t) - 249))
+    for r, t in zip(docs, own):
+        spans = suffix.unite([(i, i + 250) for i in range(len(t) - 249) if counts[hash(t[i : i + 250])] > 1])
+        assert found[r.doc_id].n_passage_bytes == sum(b - a for a, b in spans if len(t[a:b].split()) >= 50 or b - a >= 400)
+    assert sum(r.n_removed > 0 for r in found.values()) > 10
+
+
 def test_merge_never_compares_known_prefixes():
     rng = np.random.default_rng(1)
     strings = [bytes(rng.choice([97, 98], rng.integers(30, 60)).astype(np.uint8)) for _ in range(200)]

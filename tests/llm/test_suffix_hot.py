@@ -22,8 +22,9 @@ def test_hot_grams(spark, monkeypatch, least, hot):
         texts.append((1000 + i, around[0] + passage[at:stop] + around[1] + b[int(rng.integers(len(b))) :]))
     sizes = []
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "_hot_spans", lambda keyed, places, n, f=suffix._hot_spans: sizes.append(places.count()) or f(keyed, places, n))
-    found = suffix.digest(frame(spark, texts), least).collect()
-    want = removed([(t or "").encode() for _, t in texts], least)
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter((i, *w) for (i, _), w in zip(texts, want))
+    monkeypatch.setattr(suffix, "_hot_spans", lambda keyed, places, n, g, f=suffix._hot_spans: sizes.append(places.count()) or f(keyed, places, n, g))
+    found = suffix.digest(frame(spark, texts), least, (least // 2, 0)).collect()
+    own = [(t or "").encode() for _, t in texts]
+    want = [(*w, x[1]) for w, x in zip(removed(own, least), removed(own, least // 2))]
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in found) == Counter((i, *w) for (i, _), w in zip(texts, want))
     assert sizes and sizes[0] > hot
