@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitepulse.llm.common import WORD
+from sitepulse.llm.common import WORD, written
 
 WINDOW = 8
 
@@ -38,11 +38,23 @@ def n_dup_lines(text: Column) -> Column:
     return let(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), repeated)
 
 
+def window_hashes(word_array: Column) -> Column:
+    """A 64-bit hash of the eight words from each word on: each word is hashed once, then pairs of hashes, fours and eights."""
+
+    def doubled(hashes: Column, apart: int) -> Column:  # past the end the pairs are junk, which the last slice leaves out
+        return let(hashes, lambda h: F.zip_with(h, F.slice(h, F.lit(apart + 1), F.size(h)), lambda a, b: F.xxhash64(a, b)))
+
+    eights = doubled(doubled(doubled(F.transform(word_array, lambda w: F.xxhash64(w)), 1), 2), 4)
+    return let(eights, lambda h: F.slice(h, F.lit(1), F.size(h) - (WINDOW - 1)))
+
+
 def n_repeat_words(word_array: Column) -> Column:
     """Words inside 8-word windows that occur twice or more.
 
-    Windows are compared by a 64-bit hash and the 32-bit hash beside it.
+    Windows are sorted by 40 bits of their hash, with their start in the 24 bits below.  Those with a neighbour's hash
+    are compared by their words; if one differs, or starts need more bits, windows are sorted by the words themselves.
     """
+    index = (1 << 24) - 1
 
     def covered(places):
         """places: sorted starts of repeated windows."""
@@ -53,25 +65,34 @@ def n_repeat_words(word_array: Column) -> Column:
 
         return F.aggregate(F.transform(places, gain), F.lit(0), lambda total, x: total + x).cast("long")
 
-    def places(pairs):
-        """pairs: sorted (hash, start); a window is repeated if a neighbour has its hash."""
+    def repeated(keys, of):
+        """The keys, which are sorted, of which a neighbour has the same ``of``."""
 
-        def repeated(pair, i):
-            same = lambda other: F.coalesce((other["h"] == pair["h"]) & (other["g"] == pair["g"]), F.lit(False))
-            return same(F.get(pairs, i + 1)) | ((i > 0) & same(F.get(pairs, F.greatest(i - 1, F.lit(0)))))
+        def same(x, i):
+            return F.coalesce(of(F.get(keys, i + 1)) == of(x), F.lit(False)) | ((i > 0) & (of(F.get(keys, F.greatest(i - 1, F.lit(0)))) == of(x)))
 
-        return F.sort_array(F.transform(F.filter(pairs, repeated), lambda pair: pair["i"]))
+        return F.filter(keys, same)
 
-    def of(ws):
-        starts = F.sequence(F.lit(0), F.size(ws) - WINDOW)
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i + 1, WINDOW)))
+    def by_hash(h, ws):
+        start = lambda x: x.bitwiseAND(F.lit(index)).cast("int")
+        code = lambda x: F.shiftright(x, 24)
+        window = lambda x: F.slice(ws, start(x) + 1, WINDOW)
+        keys = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 24).bitwiseOR(i.cast("long"))))
+
+        def checked(found):
+            clash = F.filter(found, lambda x, i: F.coalesce((code(F.get(found, i + 1)) == code(x)) & (window(F.get(found, i + 1)) != window(x)), F.lit(False)))
+            return F.when(F.size(clash) > 0, by_words(ws)).otherwise(let(F.sort_array(F.transform(found, start)), covered))
 
-        def both(h):
-            window = lambda i: F.struct(F.get(h, i).alias("h"), F.hash(F.slice(ws, i + 1, WINDOW)).alias("g"), i.alias("i"))
-            exact = let(F.sort_array(F.transform(starts, window)), lambda pairs: let(places(pairs), covered))
-            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(exact)
+        return let(keys, lambda k: let(repeated(k, code), checked))
 
-        return F.when(F.size(ws) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, both))
+    def by_words(ws):
+        windows = F.transform(F.sequence(F.lit(0), F.size(ws) - WINDOW), lambda i: F.struct(F.slice(ws, i + 1, WINDOW).alias("w"), i.alias("i")))
+        return let(F.sort_array(windows), lambda k: let(F.sort_array(F.transform(repeated(k, lambda x: x["w"]), lambda x: x["i"])), covered))
+
+    def of(ws):
+        exact = lambda h: F.when(F.size(ws) > index, by_words(ws)).otherwise(by_hash(h, ws))
+        counted = let(window_hashes(ws), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(exact(h)))
+        return F.when(F.size(ws) <= WINDOW, F.lit(0).cast("long")).otherwise(counted)
 
     return let(word_array, of)
 
@@ -112,30 +133,38 @@ RULES = (
 )
 
 
-def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = 300, text_col: str = "text") -> list[tuple[Rule, float, float]]:
-    """Rules with their rejected share and seconds on ``sample_rows`` rows at most, most rejections per cost first.
+#: Rows on which rules are timed, about; each rule is run on so many copies of them, once more if it took less than so many seconds.
+SAMPLE_ROWS, COPIES, SURE = 200, 4, 0.4
+
 
-    Rows are taken from as few partitions as hold a 5 % sample of that size; only booleans
-    come to the driver.  Ties, and an empty sample, keep the given order.
+def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[tuple[Rule, float, float]]:
+    """Rules with their rejected share and seconds on a sample of about ``sample_rows`` rows, most rejections per cost first.
+
+    The sample is drawn evenly from all of ``docs`` and written once.  Each rule is run by itself
+    over copies of it, so that it outweighs the job around, whose own time is that of a rule which
+    costs nothing.  Ties, and an empty sample, keep the given order.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(text.alias("t")).sample(0.05, seed=5)
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).sample(share, seed=5).repartition(1), "sample")
+    copies = sample.select("t", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
 
-    def seconds(condition: Column) -> tuple[float, float]:
-        best, share = None, 0.0
-        for _ in range(2):  # the first run compiles
+    def run(condition: Column) -> tuple[float, int, int]:
+        least = None
+        while True:  # the first run compiles
             began = time.perf_counter()
-            rows = sample.select(condition.alias("c")).take(sample_rows)
+            row = copies.agg(F.count("*").alias("rows"), F.count_if(condition).alias("rejected")).first()
             took = time.perf_counter() - began
-            best = took if best is None else min(best, took)
-            share = sum(bool(r.c) for r in rows) / max(len(rows), 1)
-        return best, share
+            if least is not None or took > SURE:
+                return min(took, least or took), row["rejected"], row["rows"]
+            least = took
 
-    floor, _ = seconds(F.length("t") < 0)
+    floor, _, rows = run(F.length("t") < 0)
+    if not rows:
+        return [(rule, 0.0, 0.0) for rule in rules]
     found = []
     for rule in rules:
-        took, share = seconds(rule.of(F.col("t"), words(F.col("t"))))
-        found.append((rule, share, max(took - floor, 1e-4)))
+        took, rejected, _ = run(let(words(F.col("t")), lambda ws: rule.of(F.col("t"), ws)))  # noqa: B023
+        found.append((rule, rejected / rows, max(took - floor, 1e-4) / COPIES))
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
@@ -148,7 +177,7 @@ def cascade(rules, text: Column, word_array: Column) -> Column:
     return chain
 
 
-def keep(docs: DataFrame, rules=RULES, sample_rows: int = 300, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that no rule rejects.
 
     Null and empty texts have no words and are rejected as short; repeated rows are judged
@@ -156,10 +185,10 @@ def keep(docs: DataFrame, rules=RULES, sample_rows: int = 300, text_col: str = "
     """
     ordered = [rule for rule, _, _ in order_rules(docs, rules, sample_rows, text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.where(cascade(ordered, text, words(text)).isNull())
+    return docs.where(let(words(text), lambda ws: cascade(ordered, text, ws)).isNull())
 
 
-def report(docs: DataFrame, rules=RULES, sample_rows: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Figures and verdict for every row: see the columns.  Base figures are given for all rows, so base rules read
     these; the cascade runs the others, and only for rows that the base rules keep.
     """
