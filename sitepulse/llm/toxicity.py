@@ -27,10 +27,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Costs in nats: of a sign read as a letter, of a separator or sign left out, of runs of a letter read as one or two.
 READ, SKIP, DROP, ONCE, DOUBLE = 0.5, 0.3, 15.0, 1.5, 0.5
 EDGE = ".,;:!?'\"()[]{}«»…—–-*_~`"
-SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+(€][ .\-_*]+){3,}[\w@$!|+(€](?!\w)")
+#: Letters and separators have no sign in common and separators are possessive, so that no text is tried in more than one way.
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[ .\-_*]++){3,}(?:[^\W_]|[@$!|+(€])(?!\w)")
 #: Single letters whatever parts them, and short parts of words between white space.
-LETTER_RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(€][\s.\-_*]+){2,}[\w@$!|+(€](?!\w)")
-CHUNKS = re.compile(r"(?<!\S)(?:\w{1,5}\s+)+\w{1,5}(?!\w)")
+LETTER_RUN = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[\s.\-_*]++){2,}(?:[^\W_]|[@$!|+(€])(?!\w)")
+CHUNKS = re.compile(r"(?<!\S)(?:\w{1,5}\s++)+\w{1,5}(?!\w)")
 APART = re.compile(r"[\s.\-_*]+")
 STRETCHED = re.compile(r"(.)\1\1")
 BEGINNINGS = range(4, 9)
@@ -101,25 +102,16 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The likeliest word behind ``text`` (lower case)."""
-        states = {(0, 0): (0.0, "")}
-        for ways in self.lattice(text):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for state, (cost, word) in states.items():
-                for price, letters in ways:
-                    now, total = state, cost + price
-                    for letter in letters:
-                        symbol = SYMBOL[letter]
-                        total += self._row(now)[symbol]
-                        now = now[1], symbol
-                    if now not in after or total < after[now][0]:
-                        after[now] = total, word + letters
-            states = after
-        return min((cost + (self._row(state)[0] if word else 0), word) for state, (cost, word) in states.items())[1]
+        return self._decoded([text])
 
     def segment(self, run: str) -> list[str]:
         """The likeliest words behind a run of letters, where each separator is nothing or the end of a word."""
+        return self._decoded(APART.split(run)).split()
+
+    def _decoded(self, parts: list[str]) -> str:
+        """Viterbi over the parts' lattices; between parts, a space or nothing.  Paths are kept as links to what came before."""
         states: dict = {(0, 0): (0.0, None)}
-        for k, part in enumerate(APART.split(run)):
+        for k, part in enumerate(parts):
             if k:
                 ended = [(cost + self._row(state)[0], (back, " ")) for state, (cost, back) in states.items() if state != (0, 0)]
                 if ended:
@@ -143,7 +135,7 @@ class Restorer:
         while back:
             back, letters = back
             found.append(letters)
-        return "".join(reversed(found)).split()
+        return "".join(reversed(found))
 
     def words(self, token: str) -> list[str]:
         """The words that a token without white space may be: without its edges, and restored if it looks disguised."""
@@ -307,9 +299,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every row.
 
-    Null text counts as empty, and empty texts score the model's base rate.  Null ids count as
-    not held out; repeated rows are scored alike; an empty table gives no rows; further
-    columns are ignored.
+    Null text counts as empty, and empty texts score the model's base rate.  Very long texts and
+    words are decoded whole, in time in proportion to their length.  Null ids count as not held
+    out; repeated rows are scored alike; an empty table gives no rows; further columns, of any
+    name, are ignored.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 

@@ -1,5 +1,8 @@
 """Toxic words in runs of spaced letters and in chunks."""
 
+import itertools
+import time
+
 import numpy as np
 import pytest
 
@@ -26,3 +29,38 @@ def test_spaced_words(scorer, text, weight):
 
 def test_letters_are_segmented_into_words(scorer):
     assert scorer.restorer.segment("y o u a r e a n i d i o t") == ["you", "are", "an", "idiot"]
+
+
+def test_viterbi_equals_enumeration():
+    """The decoded word has the least cost of all ways through the lattice."""
+    rng = np.random.default_rng(4)
+    restorer = toxicity.Restorer(rng.integers(0, 50, (toxicity.N,) * 3).astype(float))
+    signs = list("abeglostz013457@$!|(.-")
+    for _ in range(150):
+        text = "".join(rng.choice(signs, rng.integers(1, 6)))
+
+        def cost(ways):
+            total, state = 0.0, (0, 0)
+            for price, letters in ways:
+                total += price
+                for letter in letters:
+                    symbol = toxicity.SYMBOL[letter]
+                    total += float(restorer.cost[state][symbol])
+                    state = state[1], symbol
+            return total + (float(restorer.cost[state][0]) if state != (0, 0) else 0.0)
+
+        every = {}
+        for ways in itertools.product(*restorer.lattice(text)):
+            word = "".join(letters for _, letters in ways)
+            every[word] = min(every.get(word, 1e9), cost(ways))
+        assert every[restorer.restore(text)] == pytest.approx(min(every.values()), abs=1e-4)
+
+
+def test_long_runs_take_no_time():
+    """Signs that were letter and separator at once made the search exponential; long words were copied for each letter."""
+    restorer = toxicity.Scorer(toxicity.Model(np.ones((toxicity.N,) * 3), {"=idiot": 3.0}))
+    for text in ("_" * 5000 + "ab", "_ " * 5000 + "ab", "a_" * 5000 + "bc", "- " * 5000, "a " * 20_000 + "bc", "x" + "-" * 50_000 + "y", "1a" * 100_000, "ab " * 20_000 + "longerword"):
+        began = time.perf_counter()
+        restorer.summary(text)
+        assert time.perf_counter() - began < 20
+    assert restorer.weight("1d10t") == 3.0 and restorer.summary("y o u\ti\nd i o t")[0] == 3.0
