@@ -61,7 +61,7 @@ class NoticeSearch:
         import regex
 
         self.notices = notices
-        self.patterns = [regex.compile(rf"\b(?:{regex.escape(x.text)}){{e<={x.edits}}}\b", regex.BESTMATCH) for x in notices]
+        self.patterns = [regex.compile(rf"(?<![^ ])(?:{regex.escape(x.text)}){{e<={x.edits}}}(?![^ ])", regex.BESTMATCH) for x in notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for number, notice in enumerate(notices):
             for start, seed in seeds(notice):
@@ -72,14 +72,16 @@ class NoticeSearch:
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice number, edits), in order; of one notice's overlapping matches the best, then first."""
+        """(start, end, notice number, edits), in order; of one notice's overlapping matches the one of fewest edits, then the first."""
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, found) in self.automaton.iter(text):
             begin = last + 1 - size
             for number, start in found:
                 notice = self.notices[number]
                 low, high = begin - start - notice.edits, begin - start + len(notice.text) + notice.edits
-                windows.setdefault(number, []).append((max(0, low - 1), min(len(text), high + 1)))
+                first = text.rfind(" ", 0, max(0, low)) + 1  # a window begins and ends with a word, so that neither is a boundary inside one
+                stop = text.find(" ", min(len(text), high))
+                windows.setdefault(number, []).append((first, len(text) if stop < 0 else stop))
         out = []
         for number, around in windows.items():
             merged: list[list[int]] = []
@@ -88,9 +90,13 @@ class NoticeSearch:
                     merged[-1][1] = max(merged[-1][1], high)
                 else:
                     merged.append([low, high])
-            for low, high in merged:
-                for m in self.patterns[number].finditer(text, low, high):
+            todo = merged
+            while todo:  # the best match of a window, then those of what is before and after it
+                low, high = todo.pop()
+                m = self.patterns[number].search(text, low, high)
+                if m:
                     out.append((m.start(), m.end(), number, sum(m.fuzzy_counts)))
+                    todo += [[low, m.start()], [m.end(), high]]
         return sorted(out)
 
 
@@ -110,8 +116,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices=NOTICES, id
     ``spans`` are the fuzzy matches in words.  ``score`` is 1 with a phrase, else the best
     match's share of unedited characters, else 0.
 
-    Null and empty texts have no words, no labels and score 0.  Null ids and repeated rows are
-    scanned each for itself; an empty table gives no rows; further columns are ignored.
+    Null and empty texts have no words, no labels and score 0.  Very long texts are scanned
+    whole.  Null ids and repeated rows are scanned each for itself; an empty table gives no
+    rows; further columns, of any name, are ignored.
     """
     columns = T.StructType.fromDDL(SCAN)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *columns.fields])
