@@ -1,22 +1,25 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each batch of documents is a shard.  Its suffix array holds, in the order of their words,
-the suffixes that can hold a window: those whose first words are, pair by pair, adjacent
-somewhere in the benchmark.  Every window of every test suffix is binary-searched in every
-shard; places that follow each other along one item make up the longest verbatim matches.
+Each batch of documents is a shard.  Its suffix array holds, in the order of their first
+``size`` words, the suffixes that can hold a window: those whose first words are, pair by
+pair, adjacent somewhere in the benchmark.  Every window of every test suffix is
+binary-searched in every shard; the longest verbatim matches, and where they stand, are made
+up of places that follow each other along one item, as the array is sorted no deeper.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sitepulse.llm.common import LOWER_WORDS
+from sitepulse.llm.common import LOWER_WORDS, written
+
+#: The words that ``words_of`` gives, before they are lowered.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -101,74 +104,89 @@ def search(test: TestSuffixes, docs: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def longest_match(test: TestSuffixes, words: list[int], windows: list[int]) -> tuple[int, int, str | None]:
-    """(words, start, item) of the longest verbatim match through the given places of one document."""
-    best, before, at = (0, -1, None), {}, None
+    """(words, start, item) of the longest verbatim match through the given places of one document; of equals the first, then of the least item, without an id last."""
+    best, before, at = None, {}, None
     for word, window in zip(words, windows):
         if word != at:
             before, now, at = (now if at is not None and word == at + 1 else {}), {}, word
         n = len(test.windows[window])
-        for item, j in test.places[window]:
-            run = max(before.get((item, j), 0) + 1, n)
-            now[item, j + 1] = run
-            if run > best[0]:
-                best = run, word + n - run, test.items[item]
-    return best
+        for number, j in test.places[window]:
+            run = max(before.get((number, j), 0) + 1, n)
+            now[number, j + 1] = run
+            item = test.items[number]
+            rank = -run, word + n - run, item is None, item or ""
+            if best is None or rank < best[0]:
+                best = rank, (run, word + n - run, item)
+    return best[1]
 
 
-COLUMNS = "n_words long, covered array<long>, items array<string>, longest_words long, longest_start long, longest_item string"
+FOUND = "covered array<struct<start:long,stop:long>>, items array<string>, longest_words long, longest_start long, longest_item string"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """Benchmark items in lists of about ``block_bytes`` bytes; one is at the driver and on the workers at a time."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, object]:
+    """(number of blocks, function that gives one's items): each has about ``block_bytes`` bytes."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r.i, r.t) for r in part.toLocalIterator()]
 
+    def block(k: int) -> list[tuple[str, str]]:
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        return [(r.i, r.t) for r in part.collect()]
 
-def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, carry=("*",)) -> DataFrame:
-    """Every row of ``docs`` as struct ``row`` (its columns ``carry``), with what it shares with the benchmark as struct ``found``.
-
-    n_words; covered: starts and ends of the runs of words inside windows; items: ids of the
-    items with a window; the longest verbatim match of them: words, start, item.  A benchmark
-    of over ``block_bytes`` bytes is searched in blocks, one after the other.
-    """
-    nothing = F.from_json(F.lit(None).cast("string"), COLUMNS)
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("t"), nothing.alias("found"))
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        rows = rows.mapInArrow(_search_block(rows, items, size), rows.schema)
-    return rows.select("row", "found")
+    return blocks, block
 
 
-def _search_block(rows: DataFrame, items: list, size: int):
-    names = rows.schema.names
-    fields = rows.schema["found"].dataType.names
+def _search_block(items: list, size: int):
+    """A function of text columns: what each text shares with the items."""
 
-    def run(batches):
+    @F.arrow_udf(f"struct<{FOUND.replace(' array', ':array').replace(' long', ':long').replace(' string', ':string')}>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         test = TestSuffixes(items, size)
         get = test.ids.get
+        kind = pa.struct([("covered", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_start", pa.int64()), ("longest_item", pa.string())])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            docs = [np.array([get(w, 0) for w in words_of(t)], np.int64) for t in texts]
-            earlier = batch.column(2).to_pylist()
-            found = [e or {"n_words": len(d), "covered": [], "items": [], "longest_words": 0, "longest_start": None, "longest_item": None} for e, d in zip(earlier, docs)]
+            docs = [np.array([get(w, 0) for w in words_of(t)], np.int64) for t in batch.to_pylist()]
+            found = [{"covered": [], "items": [], "longest_words": 0, "longest_start": None, "longest_item": None} for _ in docs]
             doc, word, window = search(test, docs)
             for d, first, last in zip(*(x.tolist() for x in _runs(doc))):
                 own, which = word[first:last].tolist(), window[first:last].tolist()
-                spans = [(a, b) for a, b in zip(found[d]["covered"][::2], found[d]["covered"][1::2])]
-                spans += [(w, w + len(test.windows[k])) for w, k in zip(own, which)]
-                found[d]["covered"] = [x for span in _union(spans) for x in span]
-                found[d]["items"] = sorted({*found[d]["items"], *(test.items[i] for k in set(which) for i, _ in test.places[k] if test.items[i] is not None)})
+                spans = _union([(w, w + len(test.windows[k])) for w, k in zip(own, which)])
                 n, start, item = longest_match(test, own, which)
-                if n > found[d]["longest_words"]:
-                    found[d] |= {"longest_words": n, "longest_start": start, "longest_item": item}
-            kind = pa.struct([("n_words", pa.int64()), ("covered", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_start", pa.int64()), ("longest_item", pa.string())])
-            assert [f.name for f in kind] == fields
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=names)
+                found[d] = {
+                    "covered": [{"start": a, "stop": b} for a, b in spans],
+                    "items": sorted({test.items[i] for k in set(which) for i, _ in test.places[k] if test.items[i] is not None}),
+                    "longest_words": n,
+                    "longest_start": start,
+                    "longest_item": item,
+                }
+            yield pa.array(found, kind)
 
-    return run
+    return find
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, carry=("*",)) -> DataFrame:
+    """Every row of ``docs`` as struct ``row`` (its columns ``carry``), with what it shares with the benchmark as struct ``found``.
+
+    covered: runs of words inside windows; items: ids of the items with a window; the longest
+    verbatim match of them: words, start, item.  A benchmark of over ``block_bytes`` bytes is
+    searched in blocks, one after the other: what a block finds is written before the next is
+    read, so that one is at the driver and on the workers at a time.
+    """
+    blocks, block = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    text = F.col(text_col).cast("string")
+    if blocks == 1:
+        return docs.select(F.struct(*carry).alias("row"), _search_block(block(0), size)(text).alias("found"))
+    keys = [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
+    hits = None
+    for k in range(blocks):
+        found = written(docs.select(*keys, _search_block(block(k), size)(text).alias("f")).where("size(f.covered) > 0"), "block")
+        hits = found if hits is None else hits.union(found)
+    order = F.struct((-F.col("f.longest_words")).alias("n"), F.col("f.longest_start").alias("s"), F.col("f.longest_item").isNull().alias("none"), F.col("f.longest_item").alias("i"))
+    one = hits.groupBy("k1", "k2").agg(F.collect_set("f.covered").alias("c"), F.collect_set("f.items").alias("i"), F.min(order).alias("l"))
+    found = F.struct(F.flatten("c").alias("covered"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), (-F.col("l.n")).alias("longest_words"), F.col("l.s").alias("longest_start"), F.col("l.i").alias("longest_item"))
+    none = F.from_json(F.lit('{"covered": [], "items": [], "longest_words": 0}'), FOUND)
+    rows = docs.select(F.struct(*carry).alias("row"), *keys).join(one.select("k1", "k2", found.alias("f")), ["k1", "k2"], "left")
+    return rows.select("row", F.coalesce("f", none).alias("found"))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,23 +205,23 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit (words inside a window), n_items, items_sha256, contaminated, and the longest match.
 
     A window is ``size`` consecutive words of an item, or a whole shorter item that has words.
     Null and empty texts have no words, null and empty items no windows; items without an id
-    count as hits but not as items.  Null ids and repeated rows are kept; an empty table gives
-    no rows, an empty benchmark no hits; further columns are ignored.
+    count as hits but not as items.  Very long texts are searched whole.  Null ids and repeated
+    rows are kept; an empty table gives no rows, an empty benchmark no hits; further columns,
+    of any name, are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = annotate(own, benchmark, size, "text", item_col, item_text_col, carry=("doc_id",))
-    ends = F.filter("found.covered", lambda x, i: i % 2 == 1)
-    starts = F.filter("found.covered", lambda x, i: i % 2 == 0)
-    hit = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a), F.lit(0).cast("long"), lambda total, n: total + n)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    found = annotate(own, benchmark, size, "text", item_col, item_text_col, block_bytes, ("doc_id", "n_words"))
+    step = lambda done, x: F.struct((done["n"] + F.greatest(x["stop"] - F.greatest(x["start"], done["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(x["stop"], done["to"]).alias("to"))
+    hit = F.aggregate(F.array_sort("found.covered"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("to")), step, lambda done: done["n"])
     items = F.col("found.items")
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
-        F.col("found.n_words").alias("n_words"),
+        F.col("row.n_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
@@ -215,6 +233,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark."""
+    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark.
+
+    Null and empty texts hold none and stay, as do repeated rows without one; very long texts
+    are searched whole; an empty table stays empty; columns may have any name.
+    """
     found = annotate(docs, benchmark, size, text_col, item_col, item_text_col)
-    return found.where(F.size("found.covered") == 0).select("row.*")
+    return found.where(F.size("found.covered") == 0).select(*(F.col("row")[c].alias(c) for c in docs.columns))

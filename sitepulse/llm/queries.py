@@ -42,7 +42,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_notice_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices.scan(documents(spark, sf_dir)).drop("spans")
+    return notices.scan(documents(spark, sf_dir))
 
 
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
-    return found.drop("longest_words", "longest_start", "longest_item")  # as in its SQL
+    return decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,30 +64,37 @@ QUERIES = {
     for f in (op1_feistel_sharding, op2_simhash_pivots, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
 }
 
-#: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.
+#: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.  Places of an item's
+#: windows that follow each other are a longer match; of the longest ones the first counts, then the least item.
 _OP9 = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS b, CAST(item_id AS VARCHAR) AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 win AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j : j + least(len(w), 10) - 1], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS j FROM b WHERE len(w) > 0)),
+  SELECT b, i, j, least(len(w), 10) AS n, array_to_string(w[j : j + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT b, i, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS j FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 places AS (
   SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, p, n, item_id FROM places JOIN win USING (n, s)),
+hits AS (SELECT doc_id, p, n, b, i, j FROM places JOIN win USING (n, s)),
 per AS (
-  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hits)) GROUP BY doc_id),
 its AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, i FROM hits WHERE i IS NOT NULL) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, i, min(p) - 1 AS start, count(*) - 1 + max(n) AS words
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, b, p - j ORDER BY p) AS g FROM hits) GROUP BY doc_id, b, i, p - j, g),
+longest AS (
+  SELECT doc_id, words, start, i FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, start, i NULLS LAST) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(words, 0) AS BIGINT) AS longest_words, CAST(start AS BIGINT) AS longest_start, longest.i AS longest_item
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 #: A document is kept if no rule rejects it, in whatever order they run.
