@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
 def distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The table of distances: a row for each fingerprint, a column for each pivot."""
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :])
+    return np.stack([np.bitwise_count(fps ^ p) for p in pivots], axis=1)  # by pivot, so that no table is wider than 8 bits
 
 
 @dataclass
@@ -93,8 +93,7 @@ def fit_tree(sample: np.ndarray, total: int, bits: int, leaf: int = LEAF, pool:
         n = len(rows)
         if n * scale > leaf and n >= 8 and depth < 60:
             own = table[rows]
-            slots = (own.astype(np.int64) + 65 * np.arange(pool)).ravel()
-            upto = np.cumsum(np.bincount(slots, minlength=65 * pool).reshape(pool, 65), axis=1)
+            upto = np.cumsum([np.bincount(own[:, k], minlength=65) for k in range(pool)], axis=1)
             left = upto / n
             right = 1 - np.concatenate([np.zeros((pool, bits)), left], axis=1)[:, :65]
             with np.errstate(divide="ignore", invalid="ignore"):  # copies made, for each step towards smaller nodes
@@ -240,7 +239,8 @@ def near_duplicates(docs: DataFrame, bits: int = 2, size: int = 3, id_col: str =
 def keep_one(docs: DataFrame, bits: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns as they are: of the least id, then the least hash of the text.
 
-    A component without any id keeps its row of the least hash.
+    A component without any id keeps its row of the least hash.  Null and empty texts are one
+    component; of equal rows one stays; an empty table stays empty; columns may have any name.
     """
     found = written(near_duplicates(docs, bits, size, id_col, text_col), "components")
     alone = F.col("component_id").isNull()  # then told apart by fingerprint
@@ -248,13 +248,13 @@ def keep_one(docs: DataFrame, bits: int = 2, size: int = 3, id_col: str = "doc_i
 
 
 def rows_of(docs: DataFrame, found: DataFrame, group: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``docs`` that has the least doc_id, then the least h, of each ``group`` of ``found`` (doc_id, h, ...)."""
+    """The row of ``docs`` that has the least doc_id, then the least h, of each ``group`` of ``found`` (doc_id, h, ...); its columns may have any name."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     groups = found.groupBy(*group).agg(F.min(order).alias("k"))
-    kept = groups.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text_col).cast("string")))
-    one = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_semi")
-    repeated = found.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
+    kept = groups.select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_or_empty(text_col).cast("string")).alias("own_h"))
+    one = marked.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_h") == F.col("kept_h")), "left_semi")
+    repeated = found.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1")
     if not repeated.isEmpty():  # equal rows of one id: any of them
-        one = one.dropDuplicates([id_col, "__text_hash"])
-    return one.drop("__text_hash")
+        one = one.dropDuplicates(["own_id", "own_h"])
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
