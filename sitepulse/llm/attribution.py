@@ -45,8 +45,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, boundary: str = r"\n+", r
     (code points), n_tokens, n_crossing (of these, tokens that reach into another section),
     doc_tokens (tokens of the whole text; the sum of its sections' n_tokens).
 
-    Null and empty texts have one section without tokens.  Null ids and repeated rows are
-    counted each for itself; an empty table gives no rows; further columns are ignored.
+    Null and empty texts have one section without tokens.  Very long texts and words are encoded
+    whole.  Null ids and repeated rows are counted each for itself; an empty table gives no
+    rows; further columns, of any name, are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")

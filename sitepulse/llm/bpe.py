@@ -4,11 +4,13 @@ Texts are cut into the pre-tokenizer's pieces with numpy, each distinct piece is
 encoded by the library once and remembered, and the ids of whole texts are then
 gathered from the remembered pieces.  The remembered code points are compared with
 the text, so a hash collision can't change a result: such a text, and any text with
-code points outside the plain range below, goes to the library whole.
+code points outside the plain range below, goes to the library whole.  So does every text if
+the vocabulary's pre-tokenizer isn't the one whose cuts are made here.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -105,6 +107,9 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.offsets, self.max_pieces, self.batch_chars = offsets, max(max_pieces, batch_chars), batch_chars
+        known = json.loads(self.tokenizer.to_str())
+        cutter = known.get("pre_tokenizer") or {}
+        self.cuts = known.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and known["model"]["type"] == "BPE"
         self.classes = _classes()
         power, powers = 1, []
         for _ in range(1 << 12):
@@ -240,7 +245,7 @@ class PieceEncoder:
             if not text:
                 out[i] = empty
                 continue
-            if len(text) > self.batch_chars or "'" in text and CONTRACTION.search(text):
+            if not self.cuts or len(text) > self.batch_chars or "'" in text and CONTRACTION.search(text):
                 out[i] = self._whole(text)
                 continue
             if room + len(text) > self.batch_chars:  # so a batch has no more pieces than the table takes

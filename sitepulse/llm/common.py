@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +21,47 @@ LOWER_WORDS = bytes(
 )
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sitepulse/{spark.sparkContext.applicationId}{_RUN.get()}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage, and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sitepulse/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``written``, outside of any ``scratch``."""
+    before = _RUN.set("")
+    try:
+        return written(df, name)
+    finally:
+        _RUN.reset(before)
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete what ``written`` has left, once no result that reads it is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sitepulse")
+    """Delete what ``written`` has left in this application, or in the ``scratch`` around, once no result that reads it is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is ``written`` inside is deleted at the end."""
+    before = _RUN.set(f"{_RUN.get()}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        drop_written(spark)
+        _RUN.reset(before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; if it's so small that it has fewer partitions than there are cores, dealt out to all."""
     docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism

@@ -120,8 +120,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Documents of more than ``capacity`` ids are cut into pieces of ``capacity``; the first
-    may be shorter.  Null text counts as empty: one piece of one id.  Null ids and repeated
-    rows are packed like any other; an empty table gives no rows; further columns are ignored.
+    may be shorter.  Null text counts as empty: one piece of one id.  Very long texts are encoded
+    whole before they are cut.  Null ids and repeated rows are packed like any other; an empty
+    table gives no rows; further columns, of any name, are ignored.
     """
     pieces = written(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -260,6 +260,11 @@ def test_ids_in_files(spark, tmp_path):
         ids = np.array([*tokens.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == want
+    some = idstore.ids_of(spark, path, spark.createDataFrame([(6,), (1,), (99,), (1,)], "doc_id long")).collect()
+    assert Counter(r.doc_id for r in some) == Counter({6: 2, 1: 1})
+    for r in some:
+        assert r.ids == [*tokens.encode(dict(TEXTS)[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens) in {(x.start, x.n_tokens) for x in found if x.doc_id == r.doc_id}
     idstore.write_ids(frame(spark, []), str(tmp_path / "none"), tokenizer_path())
     assert idstore.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -267,7 +272,30 @@ def test_ids_in_files(spark, tmp_path):
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 7], list(range(0, 3000, 3)), [1 << 33, 1 << 34], sorted(np.random.default_rng(2).integers(0, 1 << 20, 1500).tolist())])
 def test_elias_fano(values):
     code = idstore.EliasFano.from_bytes(idstore.EliasFano.of(values).to_bytes())
-    assert code.values().tolist() == values and [code.select(i) for i in range(len(values))] == values
+    assert code.select(np.arange(len(values))).tolist() == values
+    some = np.random.default_rng(3).integers(0, max(len(values), 1), 40) if values else []
+    assert code.select(some).tolist() == [values[i] for i in some]
+
+
+@pytest.mark.parametrize("each", [3, 700, 60_000])
+def test_elias_fano_takes_few_bits(each):
+    """2 + log2(ids a document) bits a document, and 32 for every 256th as a sample."""
+    lengths = np.random.default_rng(4).integers(1, 2 * each, 5000)
+    code = idstore.EliasFano.of(np.cumsum(lengths))
+    assert code.n_bits / 5000 <= 2 + np.log2(lengths.mean()) + 1 + 32 / 256
+    assert code.select(np.arange(5000)).tolist() == np.cumsum(lengths).tolist()
+
+
+def test_scratch_tables_go(spark):
+    from sitepulse.llm import common
+
+    with common.scratch(spark):
+        inside = common.written(spark.range(5), "inside")
+        outside = common.kept(inside, "outside")
+        assert inside.count() == 5
+    assert outside.count() == 5
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(inside.inputFiles()[0]).count()
 
 
 def test_pack(spark):
@@ -379,6 +407,61 @@ def test_notice_edits_within_the_bound():
             assert any(n == number for *_, n, _ in search.spans("some words before " + "".join(text) + " and after"))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def fuzzy(text, notice):
+    """All runs of whole words within the notice's edits; of overlapping ones the fewest edits, then the first."""
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == " ")]
+    stops = [*(i for i, c in enumerate(text) if c == " "), len(text)]
+    every = [(edits(text[a:b], notice.text), a, b) for a in starts for b in stops if abs(b - a - len(notice.text)) <= notice.edits]
+    out = []
+    for n, a, b in sorted(x for x in every if x[0] <= notice.edits):
+        if all(b <= x or a >= y for _, x, y in out):
+            out.append((n, a, b))
+    return sorted((a, n) for n, a, b in out)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "released under the mit licence released under the mit license",
+        "all rights reserved all rihts reserved all rights reserved",
+        "all right reserved all rights reserved",
+        "x all rights reservd y all rights reserved z all rights reserved",
+        "licensed under cc by licensed under cc bx licenced under cc by and more",
+        "apache license version 2 0 licensed under the apache licence version 2 0 and apache lisense version 2 0",
+    ],
+)
+def test_notices_in_a_row(text):
+    search = notices.NoticeSearch()
+    found = search.spans(text)
+    for number, notice in enumerate(search.notices):
+        assert [(a, e) for a, _, n, e in found if n == number] == fuzzy(text, notice)
+
+
+def test_notices_equal_brute_force():
+    rng = np.random.default_rng(21)
+    search = notices.NoticeSearch()
+    for _ in range(150):
+        text = []
+        for _ in range(rng.integers(1, 5)):
+            notice = list(search.notices[rng.integers(len(search.notices))].text)
+            for at in rng.integers(0, len(notice), rng.integers(0, 4)):
+                notice[at] = str(rng.choice(["", "q", "e", "ra"]))
+            text += ["".join(notice), *rng.choice(["the", "and", "license", "under"], rng.integers(0, 3))]
+        text = " ".join(" ".join(text).split())
+        found = search.spans(text)
+        for number, notice in enumerate(search.notices):
+            assert sum(n == number for *_, n, _ in found) == len(fuzzy(text, notice)), (text, notice)
+
+
 ITEMS = [
     (1, "the quick brown fox jumps over the lazy dog and then"),
     (2, "same text here"),
@@ -390,14 +473,16 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40, 3])
 def test_contamination(spark, block_bytes):
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, row string")
-    annotated = decontam.annotate(frame(spark).select("doc_id", "text"), bench, block_bytes=block_bytes)
-    lengths = {(r.row.doc_id, r.found.n_words): r.found for r in annotated.collect()}
+    annotated = decontam.contamination(frame(spark).select("doc_id", "text"), bench, block_bytes=block_bytes)
+    plan = annotated._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1  # blocks that are done are read from their tables
+    lengths = {(r.doc_id, r.n_words): r for r in annotated.collect()}
     want = Counter()
     for i, t in TEXTS:
-        ws, hit, items, longest = low_words(t), set(), set(), 0
+        ws, hit, items, longest = low_words(t), set(), set(), (0, 0, True, "")
         for item, s in ITEMS:
             q = low_words(s)
             n = min(10, len(q))
@@ -409,10 +494,11 @@ def test_contamination(spark, block_bytes):
                         run = n
                         while p + run < len(ws) and j + run < len(q) and ws[p + run] == q[j + run]:
                             run += 1
-                        longest = max(longest, run)
+                        longest = min(longest, (-run, p, item is None, str(item)))
         want[i, len(ws), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)] += 1
-        assert lengths[i, len(ws)].longest_words == longest
-    found = decontam.contamination(frame(spark), bench)
+        got = lengths[i, len(ws)]
+        assert (got.longest_words, got.longest_start, got.longest_item) == ((-longest[0], longest[1], None if longest[2] else longest[3]) if hit else (0, None, None))
+    found = decontam.contamination(frame(spark), bench, block_bytes=block_bytes)
     assert Counter(tuple(r)[:6] for r in found.collect()) == want
     clean = decontam.remove_contaminated(frame(spark), bench)
     assert clean.columns == frame(spark).columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
