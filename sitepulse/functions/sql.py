@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from sitepulse.functions.identity import BLOCK
 from sitepulse.functions.url import SOURCES, UTM
-from sitepulse.functions.useragent import BOTS, BROWSERS, SYSTEMS, VERSIONS
+from sitepulse.functions.useragent import BOT_STARTS, BOT_WORDS, BROWSERS, SYSTEMS, VERSIONS
 from sitepulse.params import SITE_ID
 
 _NO_SCHEME = "regexp_replace({0}, r'^(?:https://|http://)', '')"
@@ -61,7 +61,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "strip_query": ("url STRING", "STRING", "regexp_replace(url, r'(?s)[?#].*$', '')"),
     "origin_of": ("referrer STRING", "STRING", "nullif(regexp_extract(referrer, r'^(https?://[^/]*)', 1), '')"),
     "client_ip": ("forwarded_for STRING, real_ip STRING", "STRING", "coalesce(trim(substring_index(forwarded_for, ',', 1)), real_ip, 'unknown')"),
-    "is_bot": ("ua STRING", "BOOLEAN", f"coalesce(lower(ua) RLIKE r'{BOTS}', false)"),
+    "is_bot": ("ua STRING", "BOOLEAN", f"coalesce({_has(BOT_WORDS, 'lower(ua)')} OR {' OR '.join(f"startswith(lower(ua), '{w}')" for w in BOT_STARTS)}, false)"),
     "ua_browser": (
         "ua STRING",
         "STRING",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitepulse.functions.text import let
+
 # What names a bot, a browser, a version and a system, in the order they are tried.
 BOT_WORDS = (
     "bot crawler spider slurp fetch headless phantom lighthouse pingdom python-requests python-urllib go-http-client java/ wget "
@@ -39,19 +39,21 @@ def _has(ua: Column, *words: str) -> Column:
     return found
 
 
-def _after(ua: Column, prefix: str, signs: str) -> Column:
+def _after(ua: Column, prefix: Column, signs: str) -> Column:
     """What follows the first ``prefix``, of ``signs`` only; null if nothing."""
-    rest = F.substring(ua, F.locate(prefix, ua) + len(prefix), 1 << 30)
-    found = F.left(rest, F.length(rest) - F.length(F.ltrim(rest, F.lit(signs))))
-    return F.when(ua.contains(prefix), F.when(found != "", found))
-
-
-#: One pass over the lower-case text; asking for each word in turn would lower it for each.
-BOTS = "|".join([re.escape(w) for w in BOT_WORDS] + [f"^{w}" for w in BOT_STARTS])
+    rest = F.substring(ua, F.position(prefix, ua) + F.length(prefix), F.lit(1 << 30))
+    found = let(rest, lambda r: F.left(r, F.length(r) - F.length(F.ltrim(r, F.lit(signs)))))
+    return F.when(F.contains(ua, prefix), F.nullif(found, F.lit("")))
 
 
 def is_bot(ua: Column) -> Column:
-    return F.coalesce(F.lower(ua).rlike(BOTS), F.lit(False))
+    def any_of(low):
+        found = _has(low, *BOT_WORDS)
+        for start in BOT_STARTS:
+            found = found | low.startswith(start)
+        return found
+
+    return F.coalesce(let(F.lower(ua), any_of), F.lit(False))
 
 
 def browser(ua: Column) -> Column:
@@ -66,7 +68,9 @@ def browser(ua: Column) -> Column:
 
 
 def browser_version(ua: Column) -> Column:
-    return F.coalesce(*(_after(ua, prefix, "0123456789.") for prefix in VERSIONS))
+    """A loop over the prefixes: nine branches would make the generated code too long to be compiled."""
+    found = F.transform(F.array(*map(F.lit, VERSIONS)), lambda prefix: _after(ua, prefix, "0123456789."))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 def system(ua: Column) -> Column:
@@ -77,13 +81,13 @@ def system(ua: Column) -> Column:
 
 
 def system_version(ua: Column) -> Column:
-    signs = "0123456789._"
-    return (
-        F.when(_has(ua, "Windows NT"), _after(ua, "Windows NT ", signs))
-        .when(_has(ua, "iPhone OS"), F.replace(_after(ua, "iPhone OS ", signs), F.lit("_"), F.lit(".")))
-        .when(_has(ua, "Mac OS X"), F.replace(_after(ua, "Mac OS X ", signs), F.lit("_"), F.lit(".")))
-        .when(_has(ua, "Android"), _after(ua, "Android ", signs))
-    )
+    prefix = F.when(_has(ua, "Windows NT"), "Windows NT ").when(_has(ua, "iPhone OS"), "iPhone OS ").when(_has(ua, "Mac OS X"), "Mac OS X ").when(_has(ua, "Android"), "Android ")
+
+    def version(p):
+        found = _after(ua, p, "0123456789._")
+        return F.when(p.isin("iPhone OS ", "Mac OS X "), F.replace(found, F.lit("_"), F.lit("."))).otherwise(found)
+
+    return let(prefix, version)
 
 
 def user_agent(ua: Column) -> Column:
