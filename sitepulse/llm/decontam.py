@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitepulse.llm.common import LOWER_WORDS, written
 
@@ -139,7 +140,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 def _search_block(items: list, size: int):
     """A function of text columns: what each text shares with the items."""
 
-    @F.arrow_udf(f"struct<{FOUND.replace(' array', ':array').replace(' long', ':long').replace(' string', ':string')}>")
+    @F.arrow_udf(T.StructType.fromDDL(FOUND))
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         test = TestSuffixes(items, size)
         get = test.ids.get
