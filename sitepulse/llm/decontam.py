@@ -121,7 +121,7 @@ def longest_match(test: TestSuffixes, words: list[int], windows: list[int]) -> t
     return best[1]
 
 
-FOUND = "covered array<struct<start:long,stop:long>>, items array<string>, longest_words long, longest_start long, longest_item string"
+FOUND = "n_words long, covered array<struct<start:long,stop:long>>, items array<string>, longest_words long, longest_start long, longest_item string"
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, object]:
@@ -144,16 +144,16 @@ def _search_block(items: list, size: int):
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         test = TestSuffixes(items, size)
         get = test.ids.get
-        kind = pa.struct([("covered", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_start", pa.int64()), ("longest_item", pa.string())])
+        kind = pa.struct([("n_words", pa.int64()), ("covered", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_start", pa.int64()), ("longest_item", pa.string())])
         for batch in batches:
             docs = [np.array([get(w, 0) for w in words_of(t)], np.int64) for t in batch.to_pylist()]
-            found = [{"covered": [], "items": [], "longest_words": 0, "longest_start": None, "longest_item": None} for _ in docs]
+            found = [{"n_words": len(d), "covered": [], "items": [], "longest_words": 0, "longest_start": None, "longest_item": None} for d in docs]
             doc, word, window = search(test, docs)
             for d, first, last in zip(*(x.tolist() for x in _runs(doc))):
                 own, which = word[first:last].tolist(), window[first:last].tolist()
                 spans = _union([(w, w + len(test.windows[k])) for w, k in zip(own, which)])
                 n, start, item = longest_match(test, own, which)
-                found[d] = {
+                found[d] |= {
                     "covered": [{"start": a, "stop": b} for a, b in spans],
                     "items": sorted({test.items[i] for k in set(which) for i, _ in test.places[k] if test.items[i] is not None}),
                     "longest_words": n,
@@ -168,7 +168,7 @@ def _search_block(items: list, size: int):
 def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, carry=("*",)) -> DataFrame:
     """Every row of ``docs`` as struct ``row`` (its columns ``carry``), with what it shares with the benchmark as struct ``found``.
 
-    covered: runs of words inside windows; items: ids of the items with a window; the longest
+    n_words; covered: runs of words inside windows; items: ids of the items with a window; the longest
     verbatim match of them: words, start, item.  A benchmark of over ``block_bytes`` bytes is
     searched in blocks, one after the other: what a block finds is written before the next is
     read, so that one is at the driver and on the workers at a time.
@@ -184,10 +184,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: st
         hits = found if hits is None else hits.union(found)
     order = F.struct((-F.col("f.longest_words")).alias("n"), F.col("f.longest_start").alias("s"), F.col("f.longest_item").isNull().alias("none"), F.col("f.longest_item").alias("i"))
     one = hits.groupBy("k1", "k2").agg(F.collect_set("f.covered").alias("c"), F.collect_set("f.items").alias("i"), F.min(order).alias("l"))
-    found = F.struct(F.flatten("c").alias("covered"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), (-F.col("l.n")).alias("longest_words"), F.col("l.s").alias("longest_start"), F.col("l.i").alias("longest_item"))
-    none = F.from_json(F.lit('{"covered": [], "items": [], "longest_words": 0}'), FOUND)
-    rows = docs.select(F.struct(*carry).alias("row"), *keys).join(one.select("k1", "k2", found.alias("f")), ["k1", "k2"], "left")
-    return rows.select("row", F.coalesce("f", none).alias("found"))
+    merged = F.struct(F.flatten("c").alias("covered"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), (-F.col("l.n")).alias("longest_words"), F.col("l.s").alias("longest_start"), F.col("l.i").alias("longest_item"))
+    count = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORDS))).cast("long")
+    rows = docs.select(F.struct(*carry).alias("row"), *keys, count.alias("n")).join(one.select("k1", "k2", merged.alias("f")), ["k1", "k2"], "left")
+    own = F.coalesce("f", F.from_json(F.lit('{"covered": [], "items": [], "longest_words": 0}'), FOUND.partition(", ")[2]))
+    names = T.StructType.fromDDL(FOUND).names[1:]
+    return rows.select("row", F.struct(F.col("n").alias("n_words"), *(own[c].alias(c) for c in names)).alias("found"))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,14 +217,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     rows are kept; an empty table gives no rows, an empty benchmark no hits; further columns,
     of any name, are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
-    found = annotate(own, benchmark, size, "text", item_col, item_text_col, block_bytes, ("doc_id", "n_words"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = annotate(own, benchmark, size, "text", item_col, item_text_col, block_bytes, ("doc_id",))
     step = lambda done, x: F.struct((done["n"] + F.greatest(x["stop"] - F.greatest(x["start"], done["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(x["stop"], done["to"]).alias("to"))
     hit = F.aggregate(F.array_sort("found.covered"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("to")), step, lambda done: done["n"])
     items = F.col("found.items")
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
-        F.col("row.n_words").alias("n_words"),
+        F.col("found.n_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
