@@ -27,10 +27,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Costs in nats: of a sign read as a letter, of a separator or sign left out, of runs of a letter read as one or two.
 READ, SKIP, DROP, ONCE, DOUBLE = 0.5, 0.3, 15.0, 1.5, 0.5
 EDGE = ".,;:!?'\"()[]{}«»…—–-*_~`"
-#: Letters and separators have no sign in common and separators are possessive, so that no text is tried in more than one way.
-SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[ .\-_*]++){3,}(?:[^\W_]|[@$!|+(€])(?!\w)")
+#: Letters and separators have no sign in common and separators are possessive, so that no text is tried in more than one way;
+#: where the last letter goes on as a word, the letter before it ends the match, so a failed try is never a long one.
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[ .\-_*]++){3,}(?:[^\W_]|[@$!|+(€])(?![^\W_])")
 #: Single letters whatever parts them, and short parts of words between white space.
-LETTER_RUN = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[\s.\-_*]++){2,}(?:[^\W_]|[@$!|+(€])(?!\w)")
+LETTER_RUN = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€])[\s.\-_*]++){2,}(?:[^\W_]|[@$!|+(€])(?![^\W_])")
 CHUNKS = re.compile(r"(?<!\S)(?:\w{1,5}\s++)+\w{1,5}(?!\w)")
 APART = re.compile(r"[\s.\-_*]+")
 STRETCHED = re.compile(r"(.)\1\1")
@@ -39,6 +40,12 @@ BEGINNINGS = range(4, 9)
 SAMPLE_ROWS = 30_000
 
 
+def _bare(token: str) -> str:
+    """From the first to the last word character; each end is searched from its side, so runs of signs in between aren't tried."""
+    first = re.search(r"\w", token)
+    return token[first.start() : len(token) - re.search(r"\w", token[::-1]).start()] if first else ""
+
+
 def _codes() -> np.ndarray:
     table = np.zeros(0x101, np.int64)
     for c, i in SYMBOL.items():
@@ -146,7 +153,7 @@ class Restorer:
             if not STRETCHED.search(plain):
                 return found
         else:
-            bare = re.sub(r"^\W+|\W+$", "", plain)
+            bare = _bare(plain)
             if bare.isalpha():
                 found.append(bare)
             if len(plain) - len(bare) > 2 and bare.isalpha() or not any(c in SYMBOL for c in plain):
@@ -186,8 +193,8 @@ class Scorer:
                     word = parts[i]
                     if word not in self.starts:
                         continue
-                    for part in parts[i + 1 :]:
-                        word += part
+                    for k in range(i + 1, len(parts)):  # as far as a weighted word begins so
+                        word += parts[k]
                         if word not in self.starts:
                             break
                         if "=" + word in self.weights:

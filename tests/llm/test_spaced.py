@@ -64,3 +64,22 @@ def test_long_runs_take_no_time():
         restorer.summary(text)
         assert time.perf_counter() - began < 20
     assert restorer.weight("1d10t") == 3.0 and restorer.summary("y o u\ti\nd i o t")[0] == 3.0
+
+
+def test_time_is_linear():
+    """Twice the signs take about twice the time, also where a weighted word begins like the runs."""
+    scorer = toxicity.Scorer(toxicity.Model(np.ones((toxicity.N,) * 3), {"=idiot": 3.0, "=ass": 2.0, "=aaaa": 2.0}))
+
+    def took(text):
+        began = time.perf_counter()
+        scorer.seen.clear()
+        scorer.summary(text)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "x" + "-" * n + "y", lambda n: "a " * (n // 2), lambda n: "a_ " * (n // 3) + "bc", lambda n: "-" * n, lambda n: "a_a-" * (n // 4) + "bc", lambda n: "ab " * (n // 3) + "longerword"):
+        half, whole = min(took(make(100_000)) for _ in range(2)), took(make(200_000))
+        assert whole < 2.5 * half + 0.3, make(12)
+
+
+def test_bare():
+    assert [toxicity._bare(x) for x in ("--a-b--", "---", "", "a", "-é1!")] == ["a-b", "", "", "a", "é1"]
