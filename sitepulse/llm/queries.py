@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitepulse.llm import attribution, decontam, idstore, notices, packing, quality, sharding, simhash, suffix, toxicity
+from sitepulse.llm import attribution, decontam, idstore, middle, notices, packing, quality, sharding, simhash, suffix, toxicity
 from sitepulse.llm.common import documents, table
 
 
@@ -59,9 +59,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), 1024, end_id=2)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.arrange(documents(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_feistel_sharding, op2_simhash_pivots, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op6_token_counts, op7_notice_scan, op8_id_store, op9_decontamination, op10_best_fit_packing)
+    for f in (
+        op1_feistel_sharding,
+        op2_simhash_pivots,
+        op3_suffix_dedup,
+        op4_toxicity,
+        op5_quality_rules,
+        op6_token_counts,
+        op7_notice_scan,
+        op8_id_store,
+        op9_decontamination,
+        op10_best_fit_packing,
+        op13_fill_in_middle,
+    )
 }
 
 #: A window is ten words of an item, or the whole of a shorter one; hit words are counted once.  Places of an item's
@@ -120,4 +136,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op9_decontamination": _OP9}
+
+#: Units, cuts and forms as the contract says; the restored text is put together from the pieces, not parsed.
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (
+  SELECT *, array_to_string(u[1 : least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1 :], '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM c
+"""
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op9_decontamination": _OP9, "op13_fill_in_middle": _OP13}
