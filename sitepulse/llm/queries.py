@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitepulse.llm import attribution, decontam, idstore, middle, notices, packing, quality, repair, sharding, simhash, suffix, toxicity
+from sitepulse.llm import attribution, decontam, idstore, middle, notices, packing, quality, repair, sharding, simhash, sketch, suffix, toxicity
 from sitepulse.llm.common import documents, table
 
 
@@ -59,6 +59,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), 1024, end_id=2)
 
 
+def op11_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_versions(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -80,6 +84,7 @@ QUERIES = {
         op8_id_store,
         op9_decontamination,
         op10_best_fit_packing,
+        op11_paragraph_sketch,
         op12_conversation_repair,
         op13_fill_in_middle,
     )
