@@ -129,33 +129,42 @@ def difference_counts(rows: DataFrame, keys: list[str], pairs: list[tuple[str, s
     return joined.select(*rows.columns, F.array(*each).alias("differences"))
 
 
-def counted(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """``difference_counts`` of all rows: those of which a pair is left are tried again with larger tables, as often as it takes."""
-    factor, out = 1, None
-    while True:
-        tried = written(difference_counts(rows, keys, pairs, factor), "sketches")
-        done = ~F.exists("differences", lambda d: d.isNull())
-        out = tried.where(done) if out is None else out.unionByName(tried.where(done))
-        rows = tried.where(~done).drop("differences")
-        if rows.isEmpty():
-            return out
-        factor *= LARGER
-
-
 def likeness(left: str, right: str, difference: Column) -> Column:
     """Share of the paragraphs of both that are shared; 1 for two without any."""
     both = F.size(left) + F.size(right)
     return F.when(both > 0, (both - difference) / both).otherwise(F.lit(1.0))
 
 
+def likenesses(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with ``near``, the likeness of each pair of columns of digests, in their place.
+
+    Rows of which a pair's table was too small keep their digests and are tried again with
+    larger tables, as often as it takes.
+    """
+    held = sorted({name for pair in pairs for name in pair})
+    own, factor, out = [c for c in rows.columns if c not in held], 1, None
+    while True:
+        tried = difference_counts(rows, keys, pairs, factor)
+        near = F.array(*(likeness(left, right, F.get("differences", F.lit(k))) for k, (left, right) in enumerate(pairs)))
+        left_over = F.exists("differences", lambda d: d.isNull())
+        tried = written(tried.select(*own, F.when(~left_over, near).alias("near"), *(F.when(left_over, F.col(c)).alias(c) for c in held)), "sketches")
+        done = tried.where("near IS NOT NULL").select(*own, "near")
+        out = done if out is None else out.unionByName(done)
+        rows = tried.where("near IS NULL").drop("near")
+        if rows.isEmpty():
+            return out
+        factor *= LARGER
+
+
 def _followers(keyed: DataFrame, order: list[str]) -> DataFrame:
-    """(k1, k2, n_chars, and x1, x2 of the next) of each document, those of equal rows once; after the last comes the first.
+    """(k1, k2, doc_id, n_chars, copies, and x1, x2 of the next) of each document, equal rows as one; after the last comes the first.
 
     Rows are numbered over ranges of ids; each looks ahead in its block, to which the first
     row of the next block is added.
     """
-    ordered = keyed.groupBy(*order).agg(F.max("n_chars").alias("n_chars")).repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = written(ordered.select("k1", "k2", "n_chars", F.monotonically_increasing_id().alias("at")), "order")
+    own = ["k1", "k2", "doc_id", "n_chars", "copies"]
+    ordered = keyed.groupBy(*order).agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies")).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = written(ordered.select(*own, F.monotonically_increasing_id().alias("at")), "order")
     part = F.shiftrightunsigned("at", 33)
     sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = {r.part: r.n for r in sizes.collect()}  # a row for each partition
@@ -164,19 +173,19 @@ def _followers(keyed: DataFrame, order: list[str]) -> DataFrame:
         starts.append(total)
         total += before.get(k, 0)
     if not total:
-        return numbered.select("k1", "k2", "n_chars", F.col("k1").alias("x1"), F.col("k2").alias("x2"))
+        return numbered.select(*own, F.col("k1").alias("x1"), F.col("k2").alias("x2"))
     offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<long>")  # a constant
     row = F.get(offsets, part.cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = numbered.select("k1", "k2", "n_chars", row.cast("long").alias("row"))
+    rows = numbered.select(*own, row.cast("long").alias("row"))
     block = F.expr(f"row div {BLOCK}")
     last = F.struct(F.lit((total - 1) // BLOCK).cast("long").alias("block"), F.lit(total).cast("long").alias("row"))
-    own = F.struct(block.alias("block"), F.col("row"))
+    here = F.struct(block.alias("block"), F.col("row"))
     back = F.struct((block - 1).alias("block"), F.col("row"))
-    places = F.when(F.col("row") == 0, F.array(own, last)).when((F.col("row") % BLOCK == 0), F.array(own, back)).otherwise(F.array(own))
-    seen = rows.select("k1", "k2", "n_chars", F.explode(places).alias("p")).select("k1", "k2", "n_chars", "p.*")
+    places = F.when(F.col("row") == 0, F.array(here, last)).when((F.col("row") % BLOCK == 0), F.array(here, back)).otherwise(F.array(here))
+    seen = rows.select(*own, F.explode(places).alias("p")).select(*own, "p.*")
     ahead = Window.partitionBy("block").orderBy("row")
     pairs = seen.select("*", F.lead("k1").over(ahead).alias("x1"), F.lead("k2").over(ahead).alias("x2"))
-    return pairs.where((F.col("row") < total) & (F.expr(f"row div {BLOCK}") == F.col("block"))).select("k1", "k2", "n_chars", "x1", "x2")
+    return pairs.where((F.col("row") < total) & (F.expr(f"row div {BLOCK}") == F.col("block"))).select(*own, "x1", "x2")
 
 
 def differing(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -221,12 +230,13 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", F.xxhash64("doc_id", "t").alias("k1"), F.hash("t", "doc_id").alias("k2"))
     pairs = _followers(keyed.select("doc_id", "k1", "k2", F.length("t").cast("long").alias("n_chars")), ["doc_id", "k1", "k2"])
     pairs = written(pairs, "followers")
-    once = keyed.groupBy("k1", "k2").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("t").alias("t"), F.count("*").alias("copies"))
+    texts = keyed.groupBy("k1", "k2").agg(F.any_value("t").alias("t"))  # both uses below read one exchange, as they take the same columns
     half = F.expr("n_chars div 2").cast("int")
-    heads = once.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "t").join(pairs, ["x1", "x2"]).select("k1", "k2", F.substring("t", F.lit(1), half).alias("head"), digests(F.col("t")).alias("next_digests"))
-    sized = once.join(heads, ["k1", "k2"], "left").withColumn("n_chars", F.length("t").cast("long"))
+    followed = pairs.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "n_chars", F.col("x1").alias("k1"), F.col("x2").alias("k2"))
+    heads = texts.join(followed, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.substring("t", F.lit(1), half).alias("head"), digests(F.col("t")).alias("next_digests"))
+    sized = texts.join(pairs.select("k1", "k2", "doc_id", "n_chars", "copies"), ["k1", "k2"]).join(heads, ["k1", "k2"])
     first = F.substring("t", F.lit(1), (F.col("n_chars") - F.expr("n_chars div 2")).cast("int"))
-    texts = sized.select(
+    versions = sized.select(
         "k1",
         "k2",
         "doc_id",
@@ -237,20 +247,20 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.concat(first, "head").alias("e"),
         F.when(F.col("copies") > 1, F.concat(first, F.substring("t", F.lit(1), half))).alias("e2"),
     )
-    made = texts.select("k1", "k2", "doc_id", "n_chars", "copies", "own", "next_digests", digests(F.col("e")).alias("edited"), F.coalesce(digests(F.col("e2")), F.array().cast("array<bigint>")).alias("edited2"), F.sha2("e", 256).alias("sha"), F.sha2("e2", 256).alias("sha2"))
-    found = counted(made, ["k1", "k2"], [("own", "edited"), ("own", "next_digests"), ("own", "edited2")])
-    near = [likeness("own", other, F.get("differences", F.lit(k))) for k, other in enumerate(("edited", "next_digests", "edited2"))]
-    prints = [fingerprint(F.col(c)) for c in ("own", "edited")]
-    prints.append(F.when(F.col("copies") > 1, fingerprint(F.col("edited2"))))
-    last = found.select("doc_id", "n_chars", "sha", "sha2", *(p.alias(f"f{k}") for k, p in enumerate(prints)), *(x.alias(f"near{k}") for k, x in enumerate(near)), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    followed = F.col("copy") == 1
-    pick = lambda a, b: F.when(followed, a).otherwise(b)
+    again = F.coalesce(digests(F.col("e2")), F.array().cast("array<bigint>"))
+    cut = versions.select("k1", "k2", "doc_id", "n_chars", "copies", "own", "next_digests", digests(F.col("e")).alias("edited"), again.alias("edited2"), F.sha2("e", 256).alias("sha"), F.sha2("e2", 256).alias("sha2"))
+    prints = [fingerprint(F.col("own")), fingerprint(F.col("edited")), F.when(F.col("copies") > 1, fingerprint(F.col("edited2")))]
+    made = cut.select("*", *(p.alias(f"f{k}") for k, p in enumerate(prints)))
+    found = likenesses(made, ["k1", "k2"], [("own", "edited"), ("own", "next_digests"), ("own", "edited2")])
+    last = found.select("doc_id", "n_chars", "sha", "sha2", "f0", "f1", "f2", "near", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    pick = lambda a, b: F.when(F.col("copy") == 1, a).otherwise(b)
+    near = [F.get("near", F.lit(k)) for k in range(3)]
     return last.select(
         "doc_id",
         "n_chars",
         pick(F.col("sha"), F.col("sha2")).alias("edited_sha256"),
         F.col("f0").alias("fingerprint"),
         pick(F.col("f1"), F.col("f2")).alias("edited_fingerprint"),
-        pick(F.col("near0"), F.col("near2")).alias("near_edited"),
-        pick(F.col("near1"), F.lit(1.0)).alias("near_next"),
+        pick(near[0], near[2]).alias("near_edited"),
+        pick(near[1], F.lit(1.0)).alias("near_next"),
     )
