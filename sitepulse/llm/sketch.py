@@ -19,8 +19,8 @@ TABLES, CELLS = 3, 4
 #: Cells of each table of a pair for one paragraph of both; rounds of peeling, which are enough at that load; what a retry multiplies cells by.
 LOAD, ROUNDS, LARGER = 1.0, 6, 4
 LEAST_CELLS = 16
-#: Between paragraphs: line breaks, and the ends of sentences.
-BREAK = r"\n|(?<=[.!?])[\x20\t]+"
+#: Between paragraphs.  Sentences in their place would make six times the cells, more than a task's memory holds.
+BREAK = r"\n"
 LOW = (1 << 32) - 1
 #: Documents of one block in which each looks for the next.
 BLOCK = 10_000
@@ -217,7 +217,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's, by ascending id.  ``near_``: the share of the paragraphs of both that are
     shared, in whatever order, as the peeled difference of their sketches gives it.
 
-    Paragraphs are lines, long ones by sentences.  Null text counts as empty, and two texts
+    Paragraphs are lines.  Null text counts as empty, and two texts
     without paragraphs are wholly alike.  Null ids come first; of one id the order is by a hash
     of the text; of rows that are repeated each but one is followed by itself.  Very long texts
     are taken whole, an only row is followed by itself, an empty table gives no rows, and

@@ -15,14 +15,14 @@ ODD = [
     (30, "a\nb\nc\nd\ne\nf\ng\nh"),
     (31, "a\nb\nc\nd\ne\nf\ng\nh"),
     (32, "a\nb\nc\nd\nx\ny\nz\n" + "a\n" * 50),
-    (33, "One. Two! Three? Four. 日本。 𝒳𝒴𝒵. Seven"),
+    (33, "One.\nTwo!\nThree?\nFour.\n日本。\n𝒳𝒴𝒵.\nSeven"),
     (34, "\n".join(f"line {i} of many" for i in range(3000))),
     (35, "\n".join(f"line {i} of many" for i in range(1500)) + "\nend"),
 ]
 
 
 def paragraphs(text):
-    return Counter(p for p in re.split(r"\n|(?<=[.!?])[ \t]+", text) if re.search(r"[^\x20\x09-\x0D]", p))
+    return Counter(p for p in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", p))
 
 
 def alike(a, b):
@@ -77,7 +77,7 @@ def test_few_rows(spark, rows):
 
 def test_differing_digests(spark):
     """Peeling gives the very digests, and how often."""
-    both = spark.createDataFrame([(1, "a\nb\nc\nc\nd", "a\nb\nx\nc"), (2, "", "p. q"), (3, "same", "same"), (4, "\n".join(f"p{i}" for i in range(400)), "p1")], "id long, l string, r string")
+    both = spark.createDataFrame([(1, "a\nb\nc\nc\nd", "a\nb\nx\nc"), (2, "", "p.\nq"), (3, "same", "same"), (4, "\n".join(f"p{i}" for i in range(400)), "p1")], "id long, l string, r string")
     rows = both.select("id", sketch.digests(F.col("l")).alias("l"), sketch.digests(F.col("r")).alias("r"))
     names = {r.d: r.p for r in spark.createDataFrame([(p,) for p in ("a", "b", "c", "d", "x", "p.", "q", *(f"p{i}" for i in range(400)))], "p string").select("p", F.get(sketch.digests(F.col("p")), F.lit(0)).alias("d")).collect()}
     found = {(r.id, names[r.digest]): r.n for r in sketch.differing(rows, ["id"], "l", "r").collect()}
