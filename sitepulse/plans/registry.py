@@ -14,7 +14,7 @@ from sitepulse.functions import geo, identity, text, url, useragent
 from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
 from sitepulse.params import parse_interval, parse_steps, resolve_period, site_id_valid
 from sitepulse.plans import sql
-from sitepulse.schema import web_events
+from sitepulse.schema import REQUEST, web_events
 from sitepulse.session import shared_dir
 from sitepulse.sources.ingest import enrich, parse_pixel, reject_reason
 from sitepulse.sources.sinks import csv_lines, json_rows
@@ -55,7 +55,8 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sitepulse/{name}-{uuid.uuid4().hex}"
+    """A new folder among those of this application, which are deleted together."""
+    return f"{shared_dir(spark)}/sitepulse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def _store(e: DataFrame) -> EventStore:
@@ -249,6 +250,42 @@ def erase_range(e):
     return _census(store.read())
 
 
+@query(sql.ERASE)
+def erase_hot(e):
+    """Half of the events are stored, half only pushed; one erasure reaches both, and what is left is flushed."""
+    store = _store(e.where("event_id % 2 = 0"))
+    hot = HotTier(store, EngineConfig(flush_event_count=1 << 40, flush_interval_secs=86_400))
+    for k in (1, 3):
+        hot.push(e.where(f"event_id % 4 = {k}").withColumn("site_id", F.concat("site_id", F.lit(PORT))))
+    lifecycle.erase(store, SITE + PORT, "2024-01-10", "2024-01-12", hot)
+    hot.flush()
+    return _census(store.read())
+
+
+class _Died(Exception):
+    pass
+
+
+def _dying(*_):
+    raise _Died
+
+
+@query(sql.CENSUS)
+def flush_once(e):
+    """Flushes whose driver dies after their commit, and before it: each event is stored once."""
+    path, config = _folder(e.sparkSession, "store"), EngineConfig(flush_event_count=1 << 40, flush_interval_secs=86_400)
+    for k, step in enumerate(("publish", "commit", None)):
+        hot = HotTier(EventStore(e.sparkSession, path), config)  # as a driver that starts anew finds it
+        hot.push(e.where(f"event_id % 3 = {k}"))
+        if step:
+            setattr(hot.store.log, step, _dying)
+        try:
+            hot.flush()
+        except _Died:
+            continue
+    return _census(EventStore(e.sparkSession, path).read())
+
+
 @query(sql.COMPACTED)
 def compact_partition(e):
     """A partition of several files, before and after: the rows are the same, in one file."""
@@ -450,43 +487,102 @@ def rate_limit(e):
     return ratelimit.limit(e.select("site_id", "timestamp", "event_id"), 1, tie="event_id").select("event_id", "allowed")
 
 
-def _json_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The requests as JSON bodies in a folder of files, and that folder's stream."""
-    path = _folder(spark, "requests")
-    r = _requests(spark, sf_dir)
+def _written_requests(r: DataFrame, path: str, pixels: bool = False) -> None:
+    """Requests as JSON files; with ``pixels`` every other one has a query string in place of a body."""
     body = F.to_json(F.struct("d", "n", "u", "r", "w", "p", "ra", "rc"))
-    r.select(body.alias("body"), "origin", "user_agent", "x_forwarded_for", "x_real_ip", "received").write.json(path)
-    return streaming.json_source(spark, path), path
+    pairs = F.concat_ws("&", *(F.concat(F.lit(f"{c}="), F.url_encode(F.col(c).cast("string"))) for c in "dnurw"))
+    odd = F.lit(pixels) & (F.col("event_id") % 2 == 1)
+    row = [F.when(~odd, body).alias("body"), F.when(odd, pairs).alias("query"), *(F.col(c) for c in ("origin", "user_agent", "x_forwarded_for", "x_real_ip"))]
+    r.select(*row, F.lpad(F.col("event_id").cast("string"), 20, "0").alias("request_id"), "received").write.mode("append").json(path)
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """The requests through the streams, to the end; the folder of both tables."""
-    source, path = _json_requests(spark, sf_dir)
-    for started in streaming.start_all(source, f"{path}-events", f"{path}-refused", f"{path}-checkpoint", CONFIG, SALT, once=True):
-        started.awaitTermination()
-    return path
+def _streamed(requests: DataFrame, config: EngineConfig, salt, parts: int = 1, pixels: bool = False) -> tuple[EventStore, DataFrame]:
+    """Requests through a stream, to the end: stored events and refused requests.  In parts: the stream is started anew for each."""
+    spark, path = requests.sparkSession, _folder(requests.sparkSession, "requests")
+    store, refused = EventStore(spark, f"{path}-events"), streaming.refused_table(spark, f"{path}-refused")
+    for k in range(parts):
+        _written_requests(requests.where(F.col("event_id") % parts == k) if parts > 1 else requests, path, pixels)
+        streaming.start_all(streaming.json_source(spark, path), store, refused, f"{path}-checkpoint", config, salt, once=True).awaitTermination()
+    return store, refused.read()
 
 
-def _stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(sql.enrich(SALT), _requests)
+def stream_enrich(r):
     """Requests as JSON files, streamed into stored events."""
-    stored = EventStore(spark, f"{_streamed(spark, sf_dir)}-events").read()
-    return stored.groupBy(*KEPT).agg(F.count("*").alias("n"))
+    return _streamed(r, CONFIG, SALT)[0].read().groupBy(*KEPT).agg(F.count("*").alias("n"))
+
 
+@query(sql.REFUSED, _requests)
+def stream_refused(r):
+    """The requests that the same stream refuses, by reason."""
+    return _streamed(r, CONFIG, SALT)[1].groupBy("reject_reason", "site_id").agg(F.count("*").alias("n"))
 
-def _stream_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests that the same streams refuse, by reason."""
-    refused = spark.read.parquet(f"{_streamed(spark, sf_dir)}-refused")
-    return refused.groupBy("reject_reason", "site_id").agg(F.count("*").alias("n"))
 
+@query(sql.both_kinds(SALT), _requests)
+def stream_both_kinds(r):
+    """Bodies and query strings in one stream, which is stopped and started again."""
+    return _streamed(r, CONFIG, SALT, parts=2, pixels=True)[0].read().groupBy(*KEPT).agg(F.count("*").alias("n"))
 
-def _stream_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+@query(sql.salts_by_day(SALT_SECRET), _requests)
+def stream_daily_salt(r):
+    """A stream over many days: each request's visitor id is made under its own day's salt."""
+    stored = _streamed(r, CONFIG, identity.KeySchedule(SALT_SECRET))[0].read()
+    return stored.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), "visitor_id").agg(F.count("*").alias("n"))
+
+
+@query(sql.RATE_REFUSED, _requests)
+def stream_rate_limit(r):
+    """A token a second for each site, between the checks of form and of bots, where many requests come at one time."""
+    limited = replace(CONFIG, rate_limit_per_site=1)
+    return _streamed(r.withColumn("received", F.date_trunc("hour", "received").cast("timestamp_ntz")), limited, SALT)[1].groupBy("reject_reason", "site_id").agg(F.count("*").alias("n"))
+
+
+@query(sql.RATE_REFUSED, _requests)
+def ingest_rate_limit(r):
+    """The same in a batch."""
+    path = _folder(r.sparkSession, "requests")
+    _written_requests(r.withColumn("received", F.date_trunc("hour", "received").cast("timestamp_ntz")), path)
+    found = streaming.judged(r.sparkSession.read.schema(REQUEST).json(path), replace(CONFIG, rate_limit_per_site=1))
+    return found.where("reject_reason IS NOT NULL").groupBy("reject_reason", F.col("d").alias("site_id")).agg(F.count("*").alias("n"))
+
+
+@query(sql.CENSUS, _raw)
+def stream_census(e):
     """Finished events through a stream that writes a table by site and date, and the table's census."""
-    path = _folder(spark, "stream")
-    source = _raw(spark, sf_dir)
-    arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
-    streaming.start(web_events(arriving), f"{path}/events", f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
-    return _census(EventStore(spark, f"{path}/events").read())
+    spark, path = e.sparkSession, _folder(e.sparkSession, "stream")
+    e.write.parquet(f"{path}/in")
+    store = EventStore(spark, f"{path}/events")
+    streaming.start(web_events(spark.readStream.schema(e.schema).parquet(f"{path}/in")), store, f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
+    return _census(store.read())
+
+
+@query(sql.UNION, _raw)
+def stream_flush_by_count(e):
+    """A stream of three batches into the hot tier, of which the second makes it flush."""
+    spark, path = e.sparkSession, _folder(e.sparkSession, "stream")
+    for k in range(3):
+        e.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    hot = HotTier(EventStore(spark, f"{path}/events"), EngineConfig(flush_event_count=e.where("event_id % 3 = 0").count() + 1, flush_interval_secs=86_400))
+    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streaming.start(web_events(arriving), hot, f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
+    both = hot.view().withColumn("tier", F.lit("all")).unionByName(hot.read().withColumn("tier", F.lit("hot")))
+    return both.groupBy("tier", "site_id", "event_name").agg(F.count("*").alias("n"), F.countDistinct("visitor_id").alias("visitors"))
+
+
+@query(sql.VISITOR_SERIES)
+def live_visitors(e):
+    return streaming.live_visitors(e, "1 day")
 
 
-QUERIES |= {"stream_enrich": _stream_enrich, "stream_refused": _stream_refused, "stream_census": _stream_census}
-ORACLE_SQL |= {"stream_enrich": sql.enrich(SALT), "stream_refused": sql.REFUSED, "stream_census": sql.CENSUS}
+@query(sql.VISITOR_SERIES, _raw)
+def stream_visitors(e):
+    """The same in a stream; one event long after the others, of another site, lets all their windows end."""
+    spark, path = e.sparkSession, _folder(e.sparkSession, "stream")
+    e.write.parquet(f"{path}/in")
+    last = e.orderBy("ts").limit(1).withColumns({"ts": F.lit("2100-01-01").cast(e.schema["ts"].dataType), "user_id": F.lit(-1).cast(e.schema["user_id"].dataType)})
+    last.write.mode("append").parquet(f"{path}/in")
+    arriving = web_events(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+    running = streaming.live_visitors(arriving, "1 day").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("bucket < TIMESTAMP_NTZ '2100-01-01 00:00:00'")

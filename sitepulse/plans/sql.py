@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hmac
+from datetime import date, timedelta
 
 from sitepulse.functions.identity import BLOCK
 from sitepulse.schema import web_events_sql
@@ -235,6 +236,24 @@ def enrich_private(salt: str) -> str:
     return f"{_REQUESTS}, x AS (SELECT {columns} FROM j WHERE reject_reason IS NULL) SELECT *, count(*) AS n FROM x GROUP BY ALL"
 
 
+def both_kinds(salt: str) -> str:
+    """``enrich``'s rows, where requests of odd numbers are pixels, which say nothing of revenue."""
+    return enrich(salt).replace("WHEN event_type = 'purchase' THEN value END AS ra", "WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN value END AS ra")
+
+
+def salts_by_day(secret: str, first: str = "2024-01-01", days: int = 400) -> str:
+    """Events by day and the visitor's id under that day's salt."""
+    rows = []
+    for k in range(days):
+        day = date.fromisoformat(first) + timedelta(k)
+        key = hmac.new(b"sitepulse-visitor-salt", f"{secret}:{day}".encode(), "sha256").hexdigest().encode().ljust(BLOCK, b"\0")
+        inner, outer = (bytes(b ^ pad for b in key).hex() for pad in (0x36, 0x5C))
+        rows.append(f"(DATE '{day}', '{inner}', '{outer}')")
+    return f"""{_REQUESTS}, s AS (SELECT * FROM (VALUES {", ".join(rows)}) AS t(day, inner_key, outer_key))
+SELECT strftime(ts, '%Y-%m-%d') AS date, sha256(unhex(outer_key) || unhex(sha256(unhex(inner_key) || encode(ip || '|' || ua)))) AS visitor_id, count(*) AS n
+FROM j JOIN s ON CAST(ts AS DATE) = day WHERE reject_reason IS NULL GROUP BY 1, 2"""
+
+
 REFUSED = _REQUESTS + " SELECT reject_reason, d AS site_id, count(*) AS n FROM j WHERE reject_reason IS NOT NULL GROUP BY 1, 2"
 PIXEL = """SELECT event_id, 'site-' || (event_id % 3) || '.example' AS d, CASE WHEN event_id % 2 = 0 THEN 'sign up' ELSE 'pageview' END AS n, 'https://h.example/p/' || (event_id % 10) AS u,
 CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 2000 AS INT) END AS w FROM events"""
@@ -244,3 +263,13 @@ f AS (SELECT site_id, event_id, r, t, CAST(0 AS DOUBLE) AS tokens, TRUE AS allow
   UNION ALL SELECT site_id, event_id, r, t, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
   FROM (SELECT o.*, least(CAST(1 AS DOUBLE), f.tokens + (o.t - f.t)) AS filled FROM f JOIN o ON o.site_id = f.site_id AND o.r = f.r + 1))
 SELECT event_id, allowed FROM f"""
+#: Requests of good form, one after the other in each site, take a token; bots are refused after that.
+RATE_REFUSED = _REQUESTS.replace("WITH u AS", "WITH RECURSIVE u AS", 1).replace(", ts FROM events", ", date_trunc('hour', ts) AS ts FROM events") + f""",
+k AS (SELECT *, CASE WHEN reject_reason = 'bot' THEN NULL ELSE reject_reason END AS form, reject_reason = 'bot' AS bot FROM j),
+o AS (SELECT event_id, d, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY d ORDER BY ts, event_id) AS r FROM k WHERE form IS NULL),
+f AS (SELECT d, event_id, r, t, CAST(0 AS DOUBLE) AS tokens, TRUE AS allowed FROM o WHERE r = 1
+  UNION ALL SELECT d, event_id, r, t, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
+  FROM (SELECT o.*, least(CAST(1 AS DOUBLE), f.tokens + (o.t - f.t)) AS filled FROM f JOIN o ON o.d = f.d AND o.r = f.r + 1)),
+z AS (SELECT k.d AS site_id, CASE WHEN form IS NOT NULL THEN form WHEN NOT allowed THEN 'rate' WHEN bot THEN 'bot' END AS reject_reason FROM k LEFT JOIN f USING (event_id))
+SELECT reject_reason, site_id, count(*) AS n FROM z WHERE reject_reason IS NOT NULL GROUP BY 1, 2"""
+VISITOR_SERIES = f"""WITH {_WEB} SELECT site_id, date_trunc('day', "timestamp") AS bucket, count(*) AS n_events, {_PV} AS pageviews, count(DISTINCT visitor_id) AS visitors FROM web GROUP BY 1, 2"""

@@ -18,7 +18,8 @@ EVENT = T.StructType([T.StructField(c, _KINDS.get(c, T.StringType()), c not in _
 
 #: The wire form of an event: short keys, and what the request's headers say.
 PAYLOAD = T.StructType([T.StructField(c, t) for c, t in (*((c, T.StringType()) for c in "dnur"), ("w", T.IntegerType()), ("p", T.StringType()), ("ra", T.DoubleType()), ("rc", T.StringType()))])
-REQUEST = T.StructType([T.StructField(c, T.StringType()) for c in ("body", "origin", "user_agent", "x_forwarded_for", "x_real_ip")] + [T.StructField("received", T.TimestampNTZType())])
+#: A request as it was received: a JSON body or a pixel's query string, headers, and an id of the server's, which breaks ties of time.
+REQUEST = T.StructType([T.StructField(c, T.StringType()) for c in ("body", "query", "origin", "user_agent", "x_forwarded_for", "x_real_ip", "request_id")] + [T.StructField("received", T.TimestampNTZType())])
 
 
 def conform(df: DataFrame) -> DataFrame:

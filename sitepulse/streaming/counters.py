@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 #: Observation of a stream and its metric, where that isn't a reason, to the counter's name.
-COUNTED = {("ingested", "events"): "events_ingested_total", ("limited", "requests"): "rate_limit_rejections_total"}
+COUNTED = {("ingested", "events"): "events_ingested_total", ("limited", "requests"): "rate_limit_rejections_total", ("refused", "rate"): "rate_limit_rejections_total"}
 
 
 class Counters(StreamingQueryListener):
@@ -31,7 +31,7 @@ class Counters(StreamingQueryListener):
                 for metric, n in row.asDict().items():
                     if name == "refused":
                         self.totals[f'requests_refused_total{{reason="{metric}"}}'] += n
-                    elif (name, metric) in COUNTED:
+                    if (name, metric) in COUNTED:
                         self.totals[COUNTED[name, metric]] += n
 
     def onQueryTerminated(self, event) -> None:

@@ -2,64 +2,161 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitepulse.config import EngineConfig
+from sitepulse.functions.identity import KeySchedule
+from sitepulse.functions.useragent import is_bot
+from sitepulse.operators import ratelimit
 from sitepulse.operators.behavior import GAP_SECONDS
 from sitepulse.operators.ratelimit import IDLE_SECONDS, STATE, take
 from sitepulse.schema import REQUEST
-from sitepulse.sources.ingest import REASONS, enrich, parse_json, reject_reason, split
-from sitepulse.sources.store import is_safe_site_id
+from sitepulse.sources.commits import CommittedTable, Files
+from sitepulse.sources.ingest import KEYS, REASONS, enrich, form_reason, parse
+from sitepulse.sources.store import EventStore, HotTier, is_safe_site_id
+
+#: What is kept of a refused request.
+REFUSED = T.StructType(
+    [T.StructField("received", T.TimestampNTZType()), *(T.StructField(c, T.StringType()) for c in ("site_id", "event_name", "url", "request_id", "reject_reason")), T.StructField("date", T.DateType())]
+)
+#: State of stateful streams is kept in RocksDB, which doesn't fill the executors' heap.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def json_source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Requests as they arrive in a folder of JSON files."""
+    """Requests of both kinds as they arrive in a folder of JSON files.
+
+    Which files have been read is in a stream's checkpoint, so one that starts again goes on
+    there and repeats the batch that it was in.
+    """
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def enriched(requests: DataFrame, config: EngineConfig, salt: str, ranges: DataFrame | None = None) -> DataFrame:
-    """Events of the requests that pass all checks."""
-    taken, _ = split(parse_json(requests), config)
-    return enrich(taken, config, salt, ranges)
+def refused_table(spark: SparkSession, path: str) -> CommittedTable:
+    """Refused requests by reason and day."""
+    return CommittedTable(spark, path, REFUSED, ("reject_reason", "date"))
 
 
-def refused(requests: DataFrame, config: EngineConfig) -> DataFrame:
-    """The other requests: received, the payload's site, name and URL, and ``reject_reason``; 'path' if only the site can't name a folder."""
-    reason = F.coalesce(reject_reason(config), F.when(~is_safe_site_id(F.col("d")), "path"))
-    judged = parse_json(requests).withColumn("reject_reason", reason)
-    return judged.where("reject_reason IS NOT NULL").select("received", F.col("d").alias("site_id"), F.col("n").alias("event_name"), F.col("u").alias("url"), "reject_reason")
+def _limited(keyed: DataFrame, capacity: int, forget: bool) -> DataFrame:
+    """``keyed`` requests with reason 'rate' where their site has no token left.
 
+    Rows whose ``reject_reason`` isn't null take no token and pass as they are.  forget: a bucket
+    that's idle for five minutes is full, and its state goes.  That wakes the stream without new
+    requests, so one that takes in what there is and stops leaves it.
+    """
 
-def _started(rows: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool, *by: str):
-    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd").partitionBy(*by)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(batches))
+        unjudged = found["reject_reason"].isna()
+        if unjudged.any():
+            mine = found[unjudged].sort_values(["received", "request_id"], kind="stable")
+            times = mine["received"].to_numpy("datetime64[us]").astype("int64") / 1e6
+            tokens, refilled = state.get if state.exists else (float(capacity), float(times[0]))
+            reasons = []
+            for now in times.tolist():
+                now = max(now, refilled)
+                tokens, ok = take(tokens, refilled, now, capacity)
+                refilled = now
+                reasons.append(None if ok else "rate")
+            state.update((tokens, refilled))
+            if forget:
+                state.setTimeoutDuration(IDLE_SECONDS * 1000)
+            found = pd.concat([found[~unjudged], mine.assign(reject_reason=reasons)])
+        yield found
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("site").applyInPandasWithState(run, keyed.schema, STATE, "append", timeout)
+
+
+def judged(requests: DataFrame, config: EngineConfig, forget: bool = True) -> DataFrame:
+    """Raw requests with ``reject_reason``: form first, then the site's rate, then bots, then sites that can't name a folder.
+
+    Only a request of good form takes a token, and a bot's does.  A stream keeps a bucket for
+    each site, without a watermark, since no request may be dropped for being late: one that's
+    older than its site's last takes a token of that moment.  In a batch of the stream a site's
+    requests are taken by time, then request id; its task holds those of one batch.
+    """
+    own = REQUEST.names
+    parsed = parse(requests.select(*own)).withColumn("reject_reason", form_reason(config))
+    if config.rate_limit_per_site:
+        # what is refused already is spread over keys of its own, which no site can have
+        key = F.when(F.col("reject_reason").isNull(), F.col("d")).otherwise(F.concat(F.lit("\n"), F.pmod(F.xxhash64("body", "query", "request_id"), F.lit(256))))
+        keyed = parsed.select(*own, "reject_reason", key.alias("site"))
+        if requests.isStreaming:
+            limited = _limited(keyed, config.rate_limit_per_site, forget)
+        else:
+            some = keyed.where("reject_reason IS NULL")
+            taken = ratelimit.limit(some, config.rate_limit_per_site, "site", "received", "request_id")
+            limited = taken.withColumn("reject_reason", F.when(~F.col("allowed"), "rate")).drop("allowed").unionByName(keyed.where("reject_reason IS NOT NULL"))
+        parsed = parse(limited.select(*own, "reject_reason"))
+    bot = F.when(is_bot(F.col("user_agent")), "bot") if config.filter_bots else F.lit(None)
+    return parsed.withColumn("reject_reason", F.coalesce("reject_reason", bot, F.when(~is_safe_site_id(F.col("d")), "path"))).select(*own, *KEYS, "reject_reason")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    taken = F.col("reject_reason").isNull()
+    return rows.observe("ingested", F.count_if(taken).alias("events")).observe("refused", *(F.count_if(F.col("reject_reason") == r).alias(r) for r in (*REASONS, "path")))
+
+
+def _refused(rows: DataFrame) -> DataFrame:
+    return rows.where("reject_reason IS NOT NULL").select("received", F.col("d").alias("site_id"), F.col("n").alias("event_name"), F.col("u").alias("url"), "request_id", "reject_reason", F.to_date("received").alias("date"))
+
+
+def _each_batch(rows: DataFrame, checkpoint: str, config: EngineConfig, once: bool, write: Callable[[DataFrame, str, int], None]):
+    """Start a stream whose batches ``write`` takes with the stream's name, which its checkpoint keeps, and their number."""
+    spark, known = rows.sparkSession, []
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        if not known:
+            known.append("stream-" + re.search(r'"id"\s*:\s*"([^"]+)"', Files(spark, checkpoint).get("metadata"))[1])
+        write(batch, known[0], number)
+
+    writer = rows.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.flush_interval_secs} seconds")
     return writer.start()
 
 
-def start(events: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool = False):
-    """Write events into a partitioned table, exactly once, every ``flush_interval_secs``, or what there is and stop.
+def start(events: DataFrame, store: EventStore | HotTier, checkpoint: str, config: EngineConfig, once: bool = False):
+    """Write finished events, each batch once, every ``flush_interval_secs``, or what there is and stop.
 
-    Events whose site can't name a folder aren't written: ``start_refused`` keeps them.
+    Into a store they go at once, and those whose site can't name a folder aren't written; into
+    a hot tier until it's full or old enough.
     """
-    rows = events.where(is_safe_site_id(F.col("site_id"))).withColumn("date", F.to_date("timestamp"))
-    return _started(rows.observe("ingested", F.count("*").alias("events")), path, checkpoint, config, once, "site_id", "date")
+    into = store.push if isinstance(store, HotTier) else store.append
+    return _each_batch(events.observe("ingested", F.count("*").alias("events")), checkpoint, config, once, lambda batch, source, number: into(batch, source, number))
 
 
-def start_refused(rows: DataFrame, path: str, checkpoint: str, config: EngineConfig, once: bool = False):
-    """Write what ``refused`` gives into a table by reason, likewise."""
-    counts = [F.count_if(F.col("reject_reason") == r).alias(r) for r in (*REASONS, "path")]
-    return _started(rows.observe("refused", *counts), path, checkpoint, config, once, "reject_reason")
+def start_all(requests: DataFrame, store: EventStore | HotTier, refused: CommittedTable, checkpoint: str, config: EngineConfig, salt: str | KeySchedule, ranges: DataFrame | None = None, once: bool = False):
+    """Requests to events: each is stored once as an event or once as refused, with its reason.
 
+    Each batch is judged once and held while both tables are written.  With a schedule of keys a
+    batch gets those of its requests' days, so ids change at midnight, whatever day the stream
+    began, and the secret is in no plan.
+    """
+    into = store.push if isinstance(store, HotTier) else store.append
+
+    def write(batch: DataFrame, source: str, number: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            into(enrich(batch.where("reject_reason IS NULL"), config, salt, ranges), source, number)
+            refused.write(_refused(batch), source, number)
+        finally:
+            batch.unpersist()
 
-def start_all(requests: DataFrame, path: str, refused_path: str, checkpoint: str, config: EngineConfig, salt: str, ranges: DataFrame | None = None, once: bool = False) -> list:
-    """Both streams of one source, so that each request is in one of the two tables."""
-    kept = start(enriched(requests, config, salt, ranges), path, f"{checkpoint}/events", config, once)
-    return [kept, start_refused(refused(requests, config), refused_path, f"{checkpoint}/refused", config, once)]
+    if config.rate_limit_per_site:
+        requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return _each_batch(_counts(judged(requests, config, not once)), checkpoint, config, once, write)
 
 
 def stop(query, timeout: float | None = None) -> None:
@@ -82,7 +179,7 @@ def live_sessions(events: DataFrame, late: str = "1 minute", gap_seconds: int =
 
 
 def live_timeseries(events: DataFrame, by: str = "1 hour", late: str = "1 minute") -> DataFrame:
-    """Events, pageviews and about how many visitors each site had in tumbling windows; streams can't count them exactly."""
+    """Events, pageviews and about how many visitors each site had in tumbling windows; ``live_visitors`` counts them exactly."""
     stamped = events.withColumn("at", F.col("timestamp").cast("timestamp"))
     if events.isStreaming:
         stamped = stamped.withWatermark("at", late)
@@ -92,6 +189,21 @@ def live_timeseries(events: DataFrame, by: str = "1 hour", late: str = "1 minute
     )
 
 
+def live_visitors(events: DataFrame, by: str = "1 hour", late: str = "1 minute") -> DataFrame:
+    """Exact visitors, events and pageviews of each site in tumbling windows, as the batch series has them.
+
+    Two stateful steps: counts of each (site, window, visitor), then of each (site, window).  A
+    busy site's visitors are spread over all tasks by the first; the second adds up its parts.
+    A window comes out once the watermark has passed it.
+    """
+    stamped = events.withColumn("at", F.col("timestamp").cast("timestamp"))
+    if events.isStreaming:
+        stamped = stamped.withWatermark("at", late)
+    each = stamped.groupBy("site_id", "visitor_id", F.window("at", by).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_name") == "pageview").alias("p"))
+    grouped = each.groupBy("site_id", F.window(F.window_time("w"), by).alias("w"))
+    return grouped.agg(F.sum("n").alias("n_events"), F.sum("p").alias("pageviews"), F.count("*").alias("visitors")).select("site_id", F.col("w.start").cast("timestamp_ntz").alias("bucket"), "n_events", "pageviews", "visitors")
+
+
 def deduplicated(events: DataFrame, keys: list[str], within: str = "1 hour") -> DataFrame:
     """Without repeats of ``keys`` inside the watermark."""
     return events.withColumn("at", F.col("timestamp").cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark(keys).drop("at")

@@ -11,6 +11,7 @@ from sitepulse.operators.ratelimit import limit, take
 from sitepulse.schema import EVENT, conform
 from sitepulse.sources import ingest, sinks
 from sitepulse.sources.store import EventStore, HotTier
+from sitepulse.streaming.ingest import refused_table
 
 PV = "pageview"
 
@@ -85,7 +86,7 @@ def test_erase_site_with_port(spark, tmp_path):
 
 def test_erase_says_what_is_left(spark, tmp_path, monkeypatch):
     store, _ = filled(spark, tmp_path / "t")
-    monkeypatch.setattr(store, "delete", lambda path: True)
+    monkeypatch.setattr(store.files, "delete", lambda path: True)
     with pytest.raises(RuntimeError):
         lifecycle.erase(store, "001", "2024-01-15", "2024-01-16")
 
@@ -105,6 +106,94 @@ def test_hot_tier(spark, tmp_path):
     assert hot.push(one) == 2 and store.read().count() == 5 and hot.view().count() == 6
 
 
+class Died(Exception):
+    pass
+
+
+def dying(*_):
+    raise Died
+
+
+@pytest.mark.parametrize("step", ["publish", "commit", "stage"])
+def test_flush_that_dies(spark, tmp_path, step):
+    """Wherever a driver dies, the next one finds each event once."""
+    path, config = str(tmp_path / "t"), EngineConfig(flush_event_count=100)
+    rows = events(spark, [("v", "2024-01-15 10:00", PV, f"/{i}") for i in range(3)], "s").unionByName(events(spark, [("v", "2024-01-15 10:00", PV, "/x")], "../x"))
+    hot = HotTier(EventStore(spark, path), config)
+    hot.push(rows)
+    setattr(hot.store if step == "stage" else hot.store.log, step, dying)
+    with pytest.raises(Died):
+        hot.flush()
+    store = EventStore(spark, path)
+    again = HotTier(store, config)
+    assert again.view().count() == 4 and again.pending == (0 if step == "publish" else 3)
+    again.flush()
+    assert (store.read().count(), again.read().count(), again.view().count()) == (3, 1, 4)
+    assert sorted(r.pathname for r in store.read().collect()) == ["/0", "/1", "/2"] and store.files.children("_log") == []
+    store.log.sweep()
+    assert store.files.children("_staging") == [] and again.view().count() == 4
+
+
+def test_publish_that_dies_half_way(spark, tmp_path, monkeypatch):
+    store = EventStore(spark, str(tmp_path / "t"))
+    moves, move = [], store.files.move
+
+    def some(source, target):
+        if "_log" not in target and moves:
+            raise Died
+        if "_log" not in target:
+            moves.append(target)
+        move(source, target)
+
+    monkeypatch.setattr(store.files, "move", some)
+    with pytest.raises(Died):
+        store.append(events(spark, [("v", f"2024-01-{d} 10:00", PV, "/") for d in (15, 16, 17)], "s"))
+    assert EventStore(spark, store.path).read().count() == 3
+
+
+def test_batch_of_a_source_is_taken_once(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "t"))
+    hot = HotTier(store, EngineConfig(flush_event_count=2))
+    one = events(spark, [("v", "2024-01-15 10:00", PV, "/")], "s")
+    assert hot.push(one, "a", 0) == 0 and hot.push(one, "a", 0) == 0 and hot.pending == 1
+    assert hot.push(one, "a", 1) == 2 and hot.push(one, "a", 1) == 0 and hot.push(one, "a", 0) == 0 and hot.push(one, "b", 0) == 0
+    assert hot.view().count() == 3
+    store.append(one, "c", 5)
+    store.append(one, "c", 5)
+    store.append(one, "c", 4)
+    assert hot.view().count() == 4
+
+
+def test_erase_reaches_everything(spark, tmp_path):
+    """Stored, pushed, unsafe and refused rows; what is left is flushed as before."""
+    store, _ = filled(spark, tmp_path / "t")
+    hot = HotTier(store, EngineConfig(flush_event_count=1000))
+    rows = [("v1", "2024-01-15 10:00", PV, "/"), ("v2", "2024-01-17 10:00", PV, "/")]
+    hot.push(events(spark, rows, "001"), "stream", 3)
+    hot.push(events(spark, rows, "b.example"))
+    hot.push(events(spark, rows, "a..b"))
+    refused = refused_table(spark, str(tmp_path / "refused"))
+    bad = spark.createDataFrame([(datetime(2024, 1, d), s, "n", "https://h/secret", str(d), "bot", date(2024, 1, d)) for d in (15, 18) for s in ("001", "b.example")], refused.schema)
+    refused.write(bad)
+    done = lifecycle.erase(store, "001", "2024-01-15", "2024-01-16", hot, refused)
+    assert (done["records_deleted"], done["hot_records_deleted"], done["refused_deleted"], done["partitions_deleted"]) == (3, 1, 1, 2)
+    assert hot.pending == 3 and sorted((r.site_id, r.timestamp.day) for r in hot.read().collect()) == [("001", 17), ("a..b", 15), ("a..b", 17), ("b.example", 15), ("b.example", 17)]
+    assert sorted((r.site_id, r.received.day) for r in refused.read().collect()) == [("001", 18), ("b.example", 15), ("b.example", 18)]
+    assert lifecycle.erase(store, "a..b", "2024-01-15", "2024-01-15", hot, refused)["hot_records_deleted"] == 1
+    assert hot.push(events(spark, rows, "001"), "stream", 3) == 0 and hot.pending == 3  # what was erased doesn't come back by a repeated batch
+    assert hot.flush() == 3
+    assert not store.read().where("site_id = '001' AND date = DATE '2024-01-15'").count() and hot.read().count() == 1
+
+
+def test_stores_of_streams_can_be_changed(spark, tmp_path):
+    """Cleanup and erasure of what a stream has written leave a table that can be read."""
+    store = EventStore(spark, str(tmp_path / "t"))
+    store.append(events(spark, [("v", "2024-01-15 10:00", PV, "/"), ("v", "2024-02-15 10:00", PV, "/")], "s"), "stream", 0)
+    assert lifecycle.cleanup(store, 10, date(2024, 2, 16)) == 1 and store.read().count() == 1
+    store.append(events(spark, [("v", "2024-02-16 10:00", PV, "/")], "s"), "stream", 1)
+    assert lifecycle.erase(store, "s", "2024-02-15", "2024-02-15")["records_deleted"] == 1 and store.read().count() == 1
+
+
 def test_migrations(spark, tmp_path):
     store, ran = EventStore(spark, str(tmp_path / "t")), []
     assert store.schema_version() == 0 and store.migrate() == [1] and store.migrate() == [] and store.schema_version() == 1
