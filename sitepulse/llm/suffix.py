@@ -266,12 +266,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"), text.cast("binary").alias("t"))
 
 
+#: A run, or a finished span, which travels with the runs.
 EXCHANGED = "bucket int, k1 long, k2 int, start int, stop int, least int, run binary"
 SPANS = "k1 long, k2 int, start int, stop int, least int"
 
 
 def _sorted_runs(lengths: list[int], buckets: int):
-    """Tasks' side of the sort: suffixes at the given places of each text into runs, one for each bucket.  Each length has its own buckets."""
+    """Tasks' side of the sort: suffixes at the given places of each text into runs, one for each bucket.
+
+    A place is the anchor of all lengths up to one; its suffix, with as much around as that one
+    needs, serves them all.
+    """
     gram = gram_size(lengths[0])
     names = [f.split()[0] for f in EXCHANGED.split(", ")]
 
@@ -283,9 +288,9 @@ def _sorted_runs(lengths: list[int], buckets: int):
             while j < len(rows) and rows[j][:3] == rows[i][:3]:
                 j += 1
             bucket, text, right, k1, k2, place = rows[i]
-            least = lengths[bucket // buckets]
-            if j - i > 1 and len(text) >= least:  # equal suffixes of one task: their reach is known, and one stands for all
-                spans += [(r[3] % buckets, r[3], r[4], r[5] - (len(text) - right), r[5] + right, least) for r in rows[i:j]]
+            held = [n for n in lengths if n <= len(text)]
+            if j - i > 1 and held:  # equal suffixes of one task: their reach is known, and one stands for all
+                spans += [(r[3] % buckets, r[3], r[4], r[5] - (len(text) - right), r[5] + right, held[-1]) for r in rows[i:j]]
             runs.setdefault(bucket, []).append((text, right, j - i > 1, k1, k2, place))
             i = j
         columns = [list(c) for c in zip(*spans)] or [[]] * 6
@@ -299,11 +304,10 @@ def _sorted_runs(lengths: list[int], buckets: int):
         for batch in batches:
             for k1, k2, text, places in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 for p, level in ((x["place"], x["level"]) for x in places):
-                    bucket = zlib.crc32(text[p : p + gram]) % buckets
-                    for number, least in enumerate(lengths[: level + 1]):
-                        right = text[p : p + least]
-                        rows.append((number * buckets + bucket, right + text[max(0, p - least + gram) : p][::-1], len(right), k1, k2, p))
-                        size += len(rows[-1][1])
+                    bucket, most = zlib.crc32(text[p : p + gram]) % buckets, lengths[level]
+                    right = text[p : p + most]
+                    rows.append((bucket, right + text[max(0, p - most + gram) : p][::-1], len(right), k1, k2, p))
+                    size += len(rows[-1][1])
                 if size > RUN_BYTES:
                     yield from flush(rows)
                     rows, size = [], 0
@@ -313,21 +317,24 @@ def _sorted_runs(lengths: list[int], buckets: int):
     return run
 
 
-def _merged(lengths: list[int], buckets: int):
+def _merged(lengths: list[int]):
     """The other side: merge the runs of each bucket and give what repeats as spans; finished spans pass."""
     gram = gram_size(lengths[0])
     names = [f.split()[0] for f in SPANS.split(", ")]
 
-    def resolve(runs: list[Run], least: int):
+    def resolve(runs: list[Run]):
         spans: list[tuple] = []
         group: list[list] = []  # text, right, twice, holders, shared
 
         def close():
             if len(group) > 1 or group and group[0][2]:
-                found = reaches([g[0] for g in group], [g[1] for g in group], [g[4] for g in group], [g[2] for g in group], least)
-                for (_, _, _, holders, _), (before, after) in zip(group, found):
-                    if after:
-                        spans.extend((k1, k2, place - before, place + after, least) for k1, k2, place in holders)
+                known = [(0, 0)] * len(group)
+                for least in reversed(lengths):
+                    found = reaches([g[0] for g in group], [g[1] for g in group], [g[4] for g in group], [g[2] for g in group], least)
+                    for (_, _, _, holders, _), (before, after), longer in zip(group, found, known):
+                        if after and (before, after) != longer:
+                            spans.extend((k1, k2, place - before, place + after, least) for k1, k2, place in holders)
+                    known = found
 
         for shared, run in merge(runs):
             row, text = run.row, run.text
@@ -358,11 +365,11 @@ def _merged(lengths: list[int], buckets: int):
             for b, data in zip(coded.column(0).to_pylist(), coded.column(6)):
                 if b != bucket:
                     if held:
-                        yield rows(resolve(held, lengths[bucket // buckets]))
+                        yield rows(resolve(held))
                     bucket, held = b, []
                 held.append(Run(data.as_py()))
         if held:
-            yield rows(resolve(held, lengths[bucket // buckets]))
+            yield rows(resolve(held))
 
     return run
 
@@ -473,7 +480,7 @@ def repeated_spans(keyed: DataFrame, *lengths: int) -> DataFrame:
     total = chosen.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     runs = keyed.join(chosen, ["k1", "k2"]).select("doc_id", "k1", "k2", "t", "places").mapInArrow(_sorted_runs(lengths, buckets), EXCHANGED)
-    merged = runs.repartition(buckets * len(lengths), "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(lengths, buckets), SPANS)
+    merged = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(lengths), SPANS)
     if not hot.isEmpty():
         merged = merged.union(_hot_spans(keyed, each.join(hot, "gram", "left_semi").select("k1", "k2", "place", "level"), lengths, gram))
     return merged.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "least")).alias("spans"))
