@@ -7,6 +7,8 @@ library matches the whole notice within its bound and gives the span and the edi
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +73,52 @@ class NoticeSearch:
             self.automaton.add_word(seed, (len(seed), found))
         self.automaton.make_automaton()
 
+    def _stretches(self, number: int, text: str, low: int, high: int):
+        """A window in parts of bounded length, which begin and end with words; any match lies whole in one."""
+        span = len(self.notices[number].text) + self.notices[number].edits + 1
+        while high - low > 8 * span:
+            cut = text.find(" ", low + 8 * span, high)
+            if cut < 0:
+                break
+            yield low, cut
+            back = text.rfind(" ", low, cut - span)  # the next part begins where a match that ends after the cut may
+            low = (back if back >= 0 else text.find(" ", cut - span, cut + 1)) + 1
+        yield low, high
+
+    def _matches(self, number: int, text: str, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of a window's matches, the best first; those that overlap a better one don't count.
+
+        Each part's best waits in a heap.  What is taken changes only the parts around it, so the
+        time is in proportion to the window.
+        """
+        heap, taken = [], []
+
+        def search(a: int, b: int) -> None:
+            m = self.patterns[number].search(text, a, b) if a < b else None
+            if m:
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in self._stretches(number, text, low, high):
+            search(a, b)
+        out = []
+        while heap:
+            edits, start, end, a, b = heapq.heappop(heap)
+            first = bisect.bisect_left(taken, (a, a))
+            around = taken[max(0, first - 1) : bisect.bisect_right(taken, (b, b))]  # ends as starts: taken ones don't overlap
+            if any(s < end and start < e for s, e in around):
+                at = a
+                for s, e in around:
+                    if s < b and e > a:
+                        search(at, s)
+                        at = max(at, e)
+                search(at, b)
+                continue
+            out.append((edits, start, end))
+            bisect.insort(taken, (start, end))
+            search(a, start)
+            search(end, b)
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice number, edits), in order; of one notice's overlapping matches the one of fewest edits, then the first."""
         windows: dict[int, list[tuple[int, int]]] = {}
@@ -90,13 +138,8 @@ class NoticeSearch:
                     merged[-1][1] = max(merged[-1][1], high)
                 else:
                     merged.append([low, high])
-            todo = merged
-            while todo:  # the best match of a window, then those of what is before and after it
-                low, high = todo.pop()
-                m = self.patterns[number].search(text, low, high)
-                if m:
-                    out.append((m.start(), m.end(), number, sum(m.fuzzy_counts)))
-                    todo += [[low, m.start()], [m.end(), high]]
+            for low, high in merged:
+                out += [(start, end, number, edits) for edits, start, end in self._matches(number, text, low, high)]
         return sorted(out)
 
 

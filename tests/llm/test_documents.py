@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,6 +111,12 @@ def test_quality_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rules_are_timed_on_one_sample(spark):
+    docs = spark.range(4000).select(F.concat_ws(" ", F.sequence(F.lit(0), F.col("id") % 60)).alias("text"))
+    shares = [{rule.name: share for rule, share, _ in quality.order_rules(docs)} for _ in range(2)]
+    assert shares[0] == shares[1] and 0.1 < shares[0]["short"] < 0.6
+
+
 def test_rule_order_leaves_verdict(spark):
     df = frame(spark)
     text = F.coalesce("text", F.lit(""))
@@ -462,6 +469,23 @@ def test_notices_equal_brute_force():
             assert sum(n == number for *_, n, _ in found) == len(fuzzy(text, notice)), (text, notice)
 
 
+def test_notices_take_linear_time():
+    search, took = notices.NoticeSearch(), []
+    for n in (5_000, 10_000):
+        text = " ".join(["all rigts reserved"] * n)
+        began = time.perf_counter()
+        found = search.spans(text)
+        took.append(time.perf_counter() - began)
+        assert len([x for x in found if search.notices[x[2]].label == "reserved"]) == n
+    assert took[1] < 4 and took[1] < 3 * took[0] + 0.2
+
+
+def test_notices_in_long_words():
+    search = notices.NoticeSearch()
+    text = "x" * 3000 + " all rights reservd " + "y" * 5000 + " all rights reserved z"
+    assert [(text[a:b], e) for a, b, n, e in search.spans(text) if search.notices[n].label == "reserved"] == [("all rights reservd", 1), ("all rights reserved", 0)]
+
+
 ITEMS = [
     (1, "the quick brown fox jumps over the lazy dog and then"),
     (2, "same text here"),
