@@ -133,38 +133,34 @@ RULES = (
 )
 
 
-#: Rows on which rules are timed, about; each rule is run on so many copies of them, once more if it took less than so many seconds.
-SAMPLE_ROWS, COPIES, SURE = 200, 4, 0.4
+#: Rows on which rules are timed, about; copies of them that a rule is run on; runs of which the fastest counts, after one that compiles.
+SAMPLE_ROWS, COPIES, RUNS = 200, 4, 2
 
 
 def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[tuple[Rule, float, float]]:
     """Rules with their rejected share and seconds on a sample of about ``sample_rows`` rows, most rejections per cost first.
 
-    The sample is drawn evenly from all of ``docs`` and written once.  Each rule is run by itself
-    over copies of it, so that it outweighs the job around, whose own time is that of a rule which
-    costs nothing.  Ties, and an empty sample, keep the given order.
+    The sample is drawn evenly from all of ``docs``, the same each time, and written once with
+    its words split, which every order needs alike.  A rule's cost is its own: what its job over
+    copies of the sample takes longer than one that reads the same and judges nothing.  Runs of
+    all rules take turns.  Ties, and an empty sample, keep the given order.
     """
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    sample = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).sample(share, seed=5).repartition(1), "sample")
-    copies = sample.select("t", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
-
-    def run(condition: Column) -> tuple[float, int, int]:
-        least = None
-        while True:  # the first run compiles
+    drawn = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).sample(fraction=share, seed=5)
+    sample = written(drawn.withColumn("w", words(F.col("t"))).repartition(1), "sample")
+    copies = sample.select("t", "w", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    nothing = (F.length("t") < 0) | (F.size("w") < -1)
+    jobs = [copies.agg(F.count("*").alias("rows"), F.count_if(condition).alias("rejected")) for condition in (nothing, *(nothing | rule.of(F.col("t"), F.col("w")) for rule in rules))]
+    took, rows = [[] for _ in jobs], []
+    for turn in range(RUNS + 1):
+        for k, job in enumerate(jobs):
             began = time.perf_counter()
-            row = copies.agg(F.count("*").alias("rows"), F.count_if(condition).alias("rejected")).first()
-            took = time.perf_counter() - began
-            if least is not None or took > SURE:
-                return min(took, least or took), row["rejected"], row["rows"]
-            least = took
-
-    floor, _, rows = run(F.length("t") < 0)
-    if not rows:
-        return [(rule, 0.0, 0.0) for rule in rules]
-    found = []
-    for rule in rules:
-        took, rejected, _ = run(let(words(F.col("t")), lambda ws: rule.of(F.col("t"), ws)))  # noqa: B023
-        found.append((rule, rejected / rows, max(took - floor, 1e-4) / COPIES))
+            row = job.first()
+            if not row["rows"]:
+                return [(rule, 0.0, 0.0) for rule in rules]
+            (took[k] if turn else rows).append(time.perf_counter() - began if turn else row)
+    least = [min(x) for x in took]
+    found = [(rule, row["rejected"] / row["rows"], max(own - least[0], 1e-4) / COPIES) for rule, row, own in zip(rules, rows[1:], least[1:])]
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
