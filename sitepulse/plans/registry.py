@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepulse.config import EngineConfig
-from sitepulse.functions import geo, identity, text, url, useragent
+from sitepulse.functions import geo, identity, mmdb, text, url, useragent
 from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
 from sitepulse.params import parse_interval, parse_steps, resolve_period, site_id_valid
 from sitepulse.plans import sql
+from sitepulse.plans.places import database
 from sitepulse.schema import REQUEST, web_events
 from sitepulse.session import shared_dir
+from sitepulse.sources.commits import Files
 from sitepulse.sources.ingest import enrich, parse_pixel, reject_reason
 from sitepulse.sources.sinks import csv_lines, json_rows
 from sitepulse.sources.store import EventStore, HotTier
@@ -406,16 +408,26 @@ def geo_range_lookup(e):
     return geo.locate(e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("192.168.1.1")).otherwise(ip).alias("ip")), ranges, "ip")
 
 
+def _addresses(n):
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(n % 4)), F.lit("::"), F.lower(F.hex(n % 7)))
+    wide = F.concat(F.lit("2A0"), n % 3, F.lit(":0:0:0:0:0:0:"), F.lower(F.hex(n % 500)))
+    return F.when(n % 5 == 0, six).when(n % 5 == 1, wide).when(n % 5 == 2, F.lit("fe80::1")).when(n % 5 == 3, F.concat(F.lit("::ffff:81.2."), n % 256, F.lit(".9"))).otherwise(F.lit("not an address"))
+
+
 @query(sql.GEO6, _raw)
 def geo_network_lookup(e):
     """IPv6 and IPv4 addresses in the networks of an address database that was exported as CSV."""
     spark, path = e.sparkSession, _folder(e.sparkSession, "places")
     spark.createDataFrame(sql.NETWORKS, "network string, country_code string, region string, city string").coalesce(1).write.option("header", True).csv(path)
-    n = F.col("event_id")
-    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(n % 4)), F.lit("::"), F.lower(F.hex(n % 7)))
-    wide = F.concat(F.lit("2A0"), n % 3, F.lit(":0:0:0:0:0:0:"), F.lower(F.hex(n % 500)))
-    ip = F.when(n % 5 == 0, six).when(n % 5 == 1, wide).when(n % 5 == 2, F.lit("fe80::1")).when(n % 5 == 3, F.concat(F.lit("::ffff:81.2."), n % 256, F.lit(".9"))).otherwise(F.lit("not an address"))
-    return geo.locate(e.select("event_id", ip.alias("ip")), geo.read_ranges(spark, path), "ip")
+    return geo.locate(e.select("event_id", _addresses(F.col("event_id")).alias("ip")), geo.read_ranges(spark, path), "ip")
+
+
+@query(sql.GEO6, _raw)
+def geo_database_lookup(e):
+    """The same places from the binary file."""
+    spark, folder = e.sparkSession, _folder(e.sparkSession, "places")
+    Files(spark, folder).put("places.mmdb", database([(n, c, r or None, t or None) for n, c, r, t in sql.NETWORKS]))
+    return geo.locate(e.select("event_id", _addresses(F.col("event_id")).alias("ip")), mmdb.read_database(spark, f"{folder}/places.mmdb"), "ip")
 
 
 # ingestion

@@ -64,12 +64,12 @@ class Files:
     def make(self, path: str) -> None:
         self.fs.mkdirs(self.place(path))
 
-    def put(self, path: str, text: str) -> None:
+    def put(self, path: str, content: str | bytes) -> None:
         """A file that is there whole or not at all."""
         aside = f"{path}.writing"
         out = self.fs.create(self.place(aside), True)
         try:
-            out.write(text.encode())
+            out.write(bytearray(content.encode() if isinstance(content, str) else content))
         finally:
             out.close()
         self.move(aside, path)
