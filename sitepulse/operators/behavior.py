@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitepulse.session import scratch_folder
+
 GAP_SECONDS = 30 * 60
 
 
@@ -30,10 +32,42 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str | Non
     return events.withColumn("__new", F.coalesce(fresh, F.lit(0))).withColumn("session", F.sum("__new").over(running)).drop("__new")
 
 
-def session_rows(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str | None = None) -> DataFrame:
-    """A row for each session: visitor_id, session, started, ended, n_events, pageviews, seconds."""
+def sessionize_by_range(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str | None = None) -> DataFrame:
+    """``sessionize`` for visitors of any size: events are dealt by ranges of (visitor, time), so one with a third of all is shared by tasks.
+
+    Sessions are numbered inside each part of a visitor.  A part's first session goes on from
+    the part before unless there's a gap in between; how many sessions came before it follows
+    from the parts' ends alone, of which a visitor has as many as there are ranges.
+    """
+    spark = events.sparkSession
+    keys = ["visitor_id", "timestamp", *([tie] if tie else [])]
+    path = scratch_folder(spark, "ranges")
+    events.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    order = Window.partitionBy("__part", "visitor_id").orderBy(*keys[1:])
+    micros, most = _micros(F.col("timestamp")), gap_seconds * 1_000_000
+    fresh = (micros - F.lag(micros).over(order) > most).cast("int")
+    marked = rows.withColumn("__new", F.coalesce(fresh, F.lit(0)))
+    ends = rows.groupBy("visitor_id", "__part").agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
+    ends = ends.withColumn("n", F.count("*").over(Window.partitionBy("visitor_id"))).where("n > 1")  # at most one visitor goes over each border
+    inside = marked.join(F.broadcast(ends.select("visitor_id", "__part")), ["visitor_id", "__part"], "left_semi").groupBy("visitor_id", "__part").agg(F.sum("__new").alias("new"))
+    parts = Window.partitionBy("visitor_id").orderBy("__part")
+    carried = ends.join(inside, ["visitor_id", "__part"]).withColumn("gap", F.coalesce((F.col("first") - F.lag("last").over(parts) > most).cast("int"), F.lit(0)))
+    before = F.coalesce(F.sum(F.col("new")).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("gap").over(parts.rowsBetween(Window.unboundedPreceding, 0))
+    carried = carried.select("visitor_id", "__part", before.alias("__before"))
+    local = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = marked.withColumn("session", local).join(F.broadcast(carried), ["visitor_id", "__part"], "left")
+    return numbered.select(*events.columns, (F.col("session") + F.coalesce("__before", F.lit(0))).alias("session"))
+
+
+def session_rows(events: DataFrame, gap_seconds: int = GAP_SECONDS, tie: str | None = None, by_range: bool = False) -> DataFrame:
+    """A row for each session: visitor_id, session, started, ended, n_events, pageviews, seconds.
+
+    by_range: for visitors of very many events; see ``sessionize_by_range``.
+    """
     pageview = F.col("event_name") == "pageview"
-    grouped = sessionize(events, gap_seconds, tie).groupBy("visitor_id", "session")
+    found = sessionize_by_range(events, gap_seconds, tie) if by_range else sessionize(events, gap_seconds, tie)
+    grouped = found.groupBy("visitor_id", "session")
     rows = grouped.agg(
         F.min("timestamp").alias("started"),
         F.max("timestamp").alias("ended"),

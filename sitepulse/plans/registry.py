@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 from datetime import date
 
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 
 from sitepulse.config import EngineConfig
 from sitepulse.functions import geo, identity, mmdb, text, url, useragent
-from sitepulse.operators import behavior, lifecycle, metrics, ratelimit
+from sitepulse.operators import behavior, lifecycle, metrics, ratelimit, rollups
 from sitepulse.params import parse_interval, parse_steps, resolve_period, site_id_valid
 from sitepulse.plans import sql
 from sitepulse.plans.places import database
 from sitepulse.schema import REQUEST, web_events
-from sitepulse.session import shared_dir
+from sitepulse.session import scratch_folder as _folder
 from sitepulse.sources.commits import Files
 from sitepulse.sources.ingest import enrich, parse_pixel, reject_reason
 from sitepulse.sources.sinks import csv_lines, json_rows
@@ -56,11 +55,6 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder among those of this application, which are deleted together."""
-    return f"{shared_dir(spark)}/sitepulse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def _store(e: DataFrame) -> EventStore:
     """The events in a store of their own, under sites with a port."""
     store = EventStore(e.sparkSession, _folder(e.sparkSession, "store"))
@@ -131,6 +125,13 @@ def session_rows(e):
     return rounded(rows.select("visitor_id", F.col("session").cast("long").alias("session"), "started", "ended", "n_events", "pageviews", "seconds"), "seconds")
 
 
+@query(sql.SESSION_ROWS)
+def session_rows_by_range(e):
+    """The same where a visitor's events may lie in many tasks."""
+    rows = behavior.session_rows(metrics.in_range(e, *RANGE), tie="event_id", by_range=True)
+    return rounded(rows.select("visitor_id", F.col("session").cast("long").alias("session"), "started", "ended", "n_events", "pageviews", "seconds"), "seconds")
+
+
 @query(sql.SESSION_WINDOWS)
 def session_window_sessions(e):
     return streaming.live_sessions(metrics.in_range(e, *RANGE))
@@ -151,6 +152,23 @@ for _name in metrics.DIMENSIONS:
     ORACLE_SQL[f"breakdown_{_name}"] = sql.breakdown(metrics.DIMENSIONS[_name], 5)
 
 
+@query(sql.ROLLUP, _raw)
+def rollup_breakdowns(e):
+    """A stream keeps daily sketches; breakdowns of a range come from them alone: exact pageviews, visitors within the bound."""
+    spark, path = e.sparkSession, _folder(e.sparkSession, "rollup")
+    for k in range(2):
+        e.where(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    table = rollups.table(spark, f"{path}/daily")
+    arriving = web_events(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    streaming.start_rollup(arriving, table, f"{path}/checkpoint", CONFIG, once=True).awaitTermination()
+    found = rollups.breakdown(table.read(), *RANGE)
+    exact = metrics.in_range(web_events(e), *RANGE)
+    dims = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(c), F.lit(metrics.UNKNOWN)).alias("value")) for d, c in metrics.DIMENSIONS.items()]
+    counts = exact.select("visitor_id", F.explode(F.array(*dims)).alias("x")).groupBy("x.dimension", "x.value").agg(F.countDistinct("visitor_id").alias("exact"))
+    close = F.abs(F.col("visitors") - F.col("exact")) <= F.greatest(F.lit(1.0), rollups.ERROR * F.col("exact"))
+    return found.where(F.col("dimension") != "all").join(counts, ["dimension", "value"], "full").select("dimension", "value", "n_events", "pageviews", close.alias("close"))
+
+
 # behaviour
 
 

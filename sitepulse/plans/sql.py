@@ -273,3 +273,5 @@ f AS (SELECT d, event_id, r, t, CAST(0 AS DOUBLE) AS tokens, TRUE AS allowed FRO
 z AS (SELECT k.d AS site_id, CASE WHEN form IS NOT NULL THEN form WHEN NOT allowed THEN 'rate' WHEN bot THEN 'bot' END AS reject_reason FROM k LEFT JOIN f USING (event_id))
 SELECT reject_reason, site_id, count(*) AS n FROM z WHERE reject_reason IS NOT NULL GROUP BY 1, 2"""
 VISITOR_SERIES = f"""WITH {_WEB} SELECT site_id, date_trunc('day', "timestamp") AS bucket, count(*) AS n_events, {_PV} AS pageviews, count(DISTINCT visitor_id) AS visitors FROM web GROUP BY 1, 2"""
+ROLLUP = f"""{_E}, x AS (SELECT *, unnest([{", ".join(f"{{'dimension': '{d}', 'value': coalesce({c}, '(unknown)')}}" for d, c in (("pages", "pathname"), ("sources", "referrer_source"), ("countries", "country_code"), ("browsers", "browser"), ("os", "os"), ("devices", "device_type")))}]) AS k FROM e)
+SELECT k.dimension AS dimension, k.value AS value, count(*) AS n_events, {_PV} AS pageviews, TRUE AS close FROM x GROUP BY 1, 2"""

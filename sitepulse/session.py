@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among those of this application in the shared one, which can be deleted together."""
+    return f"{shared_dir(spark)}/sitepulse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks."""
     return (

@@ -18,6 +18,7 @@ from sitepulse.functions.useragent import is_bot
 from sitepulse.operators import ratelimit
 from sitepulse.operators.behavior import GAP_SECONDS
 from sitepulse.operators.ratelimit import IDLE_SECONDS, STATE, take
+from sitepulse.operators.rollups import daily
 from sitepulse.schema import REQUEST
 from sitepulse.sources.commits import CommittedTable, Files
 from sitepulse.sources.ingest import KEYS, REASONS, enrich, form_reason, parse
@@ -159,6 +160,11 @@ def start_all(requests: DataFrame, store: EventStore | HotTier, refused: Committ
     return _each_batch(_counts(judged(requests, config, not once)), checkpoint, config, once, write)
 
 
+def start_rollup(events: DataFrame, table: CommittedTable, checkpoint: str, config: EngineConfig, once: bool = False):
+    """Add each batch of finished events to a stored rollup, once."""
+    return _each_batch(events, checkpoint, config, once, lambda batch, source, number: table.write(daily(batch.where(is_safe_site_id(F.col("site_id")))), source, number))
+
+
 def stop(query, timeout: float | None = None) -> None:
     """Take in what has arrived, then stop."""
     query.processAllAvailable()

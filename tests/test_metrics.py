@@ -1,5 +1,6 @@
 import pytest
 from events import SITE, events
+from pyspark.sql import functions as F
 
 from sitepulse.operators import behavior, metrics
 from sitepulse.params import parse_steps
@@ -144,3 +145,44 @@ def test_windows_share_one_exchange(spark):
     plan = behavior.funnel_depth(e, parse_steps(STEPS), 60, "event_id")._jdf.queryExecution().executedPlan().toString()
     before_join = plan.split("Window")[-1]
     assert before_join.count("Exchange hashpartitioning(visitor_id") == 1
+
+
+@pytest.mark.parametrize("partitions", ["1", "13"])
+def test_sessions_of_a_very_large_visitor(spark, partitions):
+    """Most events are one visitor's; its sessions go over borders of tasks, of which none holds all."""
+    import random
+
+    rng, rows, at = random.Random(4), [], 0
+    for i in range(4000):
+        at += rng.choice([1, 60, 1800, 1801, 4000])
+        rows.append((i, "big" if rng.random() < 0.8 else f"v{rng.randrange(30)}", at, rng.choice(["pageview", "click"])))
+    e = spark.createDataFrame(rows, "event_id long, visitor_id string, s long, event_name string").select("event_id", "visitor_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("timestamp"), "event_name")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for tie in ("event_id", None):
+            assert sorted(map(tuple, behavior.sessionize_by_range(e, tie=tie).select("event_id", "session").collect())) == sorted(map(tuple, behavior.sessionize(e, tie=tie).select("event_id", "session").collect()))
+        parts = e.repartitionByRange("visitor_id", "timestamp").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert parts <= 4000 / int(partitions) * 1.6
+        assert sorted(map(tuple, behavior.session_rows(e, by_range=True).collect())) == sorted(map(tuple, behavior.session_rows(e).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert behavior.session_rows(e.limit(0), by_range=True).count() == 0
+
+
+def test_rollup_unites_days(spark, tmp_path):
+    from sitepulse.operators import rollups
+
+    e = events(spark, [(f"v{i % 40}", f"2024-01-{15 + i % 3} 10:00", "pageview" if i % 2 else "click", f"/{i % 4}") for i in range(400)])
+    table = rollups.table(spark, str(tmp_path / "r"))
+    for k in range(2):
+        assert table.write(rollups.daily(e.where(f"event_id % 2 = {k}")), "s", k)
+    assert not table.write(rollups.daily(e), "s", 1)
+    for found in (table.read(), rollups.compacted(table.read())):
+        whole = rollups.breakdown(found, SITE, "2024-01-15", "2024-01-17").where("dimension = 'all'").first()
+        exact = e.where("timestamp < TIMESTAMP_NTZ '2024-01-17 00:00:00'")
+        assert (whole.n_events, whole.pageviews) == (exact.count(), exact.where("event_name = 'pageview'").count())
+        assert abs(whole.visitors - exact.select("visitor_id").distinct().count()) <= 1
+        assert rollups.breakdown(found, SITE, "2024-01-15", "2024-01-18").where("dimension = 'pages'").count() == 4
