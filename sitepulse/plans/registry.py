@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 from datetime import date
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sitepulse.config import EngineConfig
 from sitepulse.functions import geo, identity, mmdb, text, url, useragent
+from sitepulse.functions import sql as sql_functions
 from sitepulse.operators import behavior, lifecycle, metrics, ratelimit, rollups
-from sitepulse.params import parse_interval, parse_steps, resolve_period, site_id_valid
+from sitepulse.params import check_limit, parse_interval, parse_steps, resolve_period, site_id_valid
 from sitepulse.plans import sql
 from sitepulse.plans.places import database
 from sitepulse.schema import REQUEST, web_events
@@ -21,6 +23,7 @@ from sitepulse.sources.ingest import enrich, parse_pixel, reject_reason
 from sitepulse.sources.sinks import csv_lines, json_rows
 from sitepulse.sources.store import EventStore, HotTier
 from sitepulse.streaming import ingest as streaming
+from sitepulse.streaming.counters import Counters, write_text
 
 SITE, START, END = "site-1.example", "2024-01-08", "2024-01-22"
 RANGE = (SITE, START, END)
@@ -169,6 +172,12 @@ def rollup_breakdowns(e):
     return found.where(F.col("dimension") != "all").join(counts, ["dimension", "value"], "full").select("dimension", "value", "n_events", "pageviews", close.alias("close"))
 
 
+@query(sql.breakdown(metrics.DIMENSIONS["browsers"], 10))
+def breakdown_default_limit(e):
+    """As many rows as a query gives that names no limit."""
+    return metrics.breakdown(e, "browsers", *RANGE, limit=check_limit(None))
+
+
 # behaviour
 
 
@@ -270,6 +279,17 @@ def erase_range(e):
     return _census(store.read())
 
 
+@query(sql.CENSUS)
+def migrated_table(e):
+    """A store brought to the latest version, and its table for SQL users."""
+    store = EventStore(e.sparkSession, _folder(e.sparkSession, "store"))
+    store.migrate()
+    store.append(e)
+    e.sparkSession.sql("DROP TABLE IF EXISTS sitepulse_example")  # an earlier run's, whose files stay
+    store.create_table("sitepulse_example")
+    return e.sparkSession.sql("SELECT site_id, date_format(date, 'yyyy-MM-dd') AS date, count(*) AS n FROM sitepulse_example GROUP BY ALL ORDER BY ALL")
+
+
 @query(sql.ERASE)
 def erase_hot(e):
     """Half of the events are stored, half only pushed; one erasure reaches both, and what is left is flushed."""
@@ -448,6 +468,25 @@ def geo_database_lookup(e):
     return geo.locate(e.select("event_id", _addresses(F.col("event_id")).alias("ip")), mmdb.read_database(spark, f"{folder}/places.mmdb"), "ip")
 
 
+@query(sql.PATHNAME, _pages)
+def sql_pathname(p):
+    """The same by the function that SQL users call."""
+    sql_functions.register(p.sparkSession)
+    return p.select("page_id", F.expr("sp_url_pathname(url)").alias("pathname"))
+
+
+@query(sql.UTM, _pages)
+def sql_utm(p):
+    sql_functions.register(p.sparkSession)
+    return p.select("page_id", *(F.expr(f"sp_url_{name}(url)").alias(name) for name in url.UTM))
+
+
+@query(sql.UA_PARSE, _agents)
+def sql_agents(a):
+    sql_functions.register(a.sparkSession)
+    return a.select("event_id", *(F.expr(f"sp_ua_{name}(ua)").alias(name) for name in ("browser", "browser_version", "os", "os_version")))
+
+
 # ingestion
 
 
@@ -505,6 +544,16 @@ def enrich_private(r):
     return found.groupBy("site_id", "visitor_id", "timestamp", "referrer", "browser", "browser_version", "os", "os_version", "device_type", "screen_size").agg(F.count("*").alias("n"))
 
 
+@query(sql.PRECISION, _requests)
+def place_precision(r):
+    """Enriched events know the country alone, though the ranges have regions and cities."""
+    ranges = r.sparkSession.createDataFrame(sql.RANGES, "ip_start long, ip_end long, country_code string, region string, city string")
+    n = F.col("event_id")
+    ip = F.concat_ws(".", F.lit("81"), n % 4, n % 256, F.lit("7"))
+    found = enrich(r.withColumn("x_forwarded_for", ip), replace(CONFIG, geoip_precision="country"), SALT, ranges)
+    return found.groupBy("country_code", "region", "city").agg(F.count("*").alias("n"))
+
+
 @query(sql.PIXEL, _raw)
 def pixel_requests(e):
     n = F.col("event_id")
@@ -536,6 +585,24 @@ def _streamed(requests: DataFrame, config: EngineConfig, salt, parts: int = 1, p
     return store, refused.read()
 
 
+@query(sql.COUNTERS, _requests)
+def stream_counters(r):
+    """What the streams of a session count, in the text form for a scraper, read back."""
+    spark, counters = r.sparkSession, Counters()
+    spark.streams.addListener(counters)
+    try:
+        _streamed(r, CONFIG, SALT)
+        expected, until = r.count(), time.monotonic() + 30
+        while sum(v for k, v in counters.totals.items() if k.startswith(("events_", "requests_"))) < expected and time.monotonic() < until:
+            time.sleep(0.1)  # the listener hears of a batch a little later
+    finally:
+        spark.streams.removeListener(counters)
+    path = _folder(spark, "metrics")
+    write_text(spark, counters.text(), path)
+    lines = spark.read.text(path).where("value NOT LIKE '#%'")
+    return lines.select(F.substring_index("value", " ", 1).alias("name"), F.substring_index("value", " ", -1).cast("long").alias("n")).where("n > 0")
+
+
 @query(sql.enrich(SALT), _requests)
 def stream_enrich(r):
     """Requests as JSON files, streamed into stored events."""

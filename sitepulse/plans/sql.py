@@ -275,3 +275,8 @@ SELECT reject_reason, site_id, count(*) AS n FROM z WHERE reject_reason IS NOT N
 VISITOR_SERIES = f"""WITH {_WEB} SELECT site_id, date_trunc('day', "timestamp") AS bucket, count(*) AS n_events, {_PV} AS pageviews, count(DISTINCT visitor_id) AS visitors FROM web GROUP BY 1, 2"""
 ROLLUP = f"""{_E}, x AS (SELECT *, unnest([{", ".join(f"{{'dimension': '{d}', 'value': coalesce({c}, '(unknown)')}}" for d, c in (("pages", "pathname"), ("sources", "referrer_source"), ("countries", "country_code"), ("browsers", "browser"), ("os", "os"), ("devices", "device_type")))}]) AS k FROM e)
 SELECT k.dimension AS dimension, k.value AS value, count(*) AS n_events, {_PV} AS pageviews, TRUE AS close FROM x GROUP BY 1, 2"""
+COUNTERS = _REQUESTS + """ SELECT 'sitepulse_events_ingested_total' AS name, count(*) AS n FROM j WHERE reject_reason IS NULL
+UNION ALL SELECT 'sitepulse_requests_refused_total{reason="' || reject_reason || '"}', count(*) FROM j WHERE reject_reason IS NOT NULL GROUP BY reject_reason"""
+PRECISION = f"""WITH g AS (SELECT * FROM (VALUES {_RANGE_ROWS}) AS t(a, b, country_code, region, city)),
+i AS (SELECT 81 * 16777216 + (event_id % 4) * 65536 + (event_id % 256) * 256 + 7 AS n FROM events)
+SELECT country_code, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS city, count(*) AS n FROM i LEFT JOIN g ON i.n BETWEEN a AND b GROUP BY 1"""
