@@ -8,7 +8,6 @@ where each document ends as an Elias-Fano code with sampled select, about
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from sitepulse.llm.bpe import PieceEncoder
 from sitepulse.llm.common import text_or_empty
-from sitepulse.session import shared_dir
+from sitepulse.session import scratch_folder
 
 SELECT_EVERY = 256
 MASK = (1 << 64) - 1
@@ -174,4 +173,5 @@ def ids_of(spark, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataF
 
 
 def new_store(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/sitepulse/{name}-{uuid.uuid4().hex}"
+    """A new folder among those of this application, which are deleted together."""
+    return scratch_folder(spark, name)
