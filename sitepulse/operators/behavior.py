@@ -93,12 +93,50 @@ def _with_all(events: DataFrame, depth: DataFrame, name: str) -> DataFrame:
     return visitors.join(depth, "visitor_id", "left").select("visitor_id", F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
-def funnel_depth(events: DataFrame, steps: list[Column], window_seconds: int, tie: str | None = None) -> DataFrame:
+def _depth_by_range(rows: DataFrame, n: int, most: int, tie: str | None) -> DataFrame:
+    """visitor_id and ``step`` of events with flags c1 to cn, for visitors of any size.
+
+    Events are dealt by ranges of (visitor, time).  What a part of a visitor does is a map of the
+    latest starts of chains that have reached each step: ``made`` are those of chains that begin
+    in it, ``done`` when a chain at step j is at step k at the earliest.  A start is carried on if
+    that's within the window.  Such maps compose, so a visitor's parts, of which there are as many as ranges at
+    most, are folded in order; events don't meet in one task.
+    """
+    spark, keys = rows.sparkSession, ["visitor_id", "timestamp", *([tie] if tie else [])]
+    path = scratch_folder(spark, "ranges")
+    rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    before = Window.partitionBy("__part", "visitor_id").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    found = spark.read.parquet(path).withColumn("at", _micros(F.col("timestamp"))).withColumn("s1", F.when(F.col("c1"), F.col("at")))
+    for k in range(2, n + 1):
+        found = found.withColumn("m", F.max(f"s{k - 1}").over(before)).withColumn(f"s{k}", F.when(F.col(f"c{k}") & (F.col("at") - F.col("m") <= most), F.col("m")))
+    ways = [(j, k) for j in range(1, n) for k in range(j + 1, n + 1)]
+    for j, k in ways:
+        reached = F.lit(True) if k == j + 1 else F.coalesce(F.max(f"f{j}_{k - 1}").over(before), F.lit(False))
+        found = found.withColumn(f"f{j}_{k}", F.col(f"c{k}") & reached)
+    made = F.array(*(F.max(f"s{k}") for k in range(1, n + 1))).alias("made")
+    done = F.array(F.lit(None).cast("long"), *(F.min(F.when(F.col(f"f{j}_{k}"), F.col("at"))) for j, k in ways)).alias("done")
+    parts = found.groupBy("visitor_id", "__part").agg(made, done)
+    place = {way: i for i, way in enumerate(ways, 1)}
+
+    def after(starts: Column, part: Column) -> Column:
+        start = lambda k: F.get(starts, F.lit(k - 1))
+        carried = lambda j, k: F.when(F.get(part["done"], F.lit(place[j, k])) - start(j) <= most, start(j))
+        return F.array(*(F.greatest(start(k), F.get(part["made"], F.lit(k - 1)), *(carried(j, k) for j in range(1, k))) for k in range(1, n + 1)))
+
+    ordered = F.array_sort(F.collect_list(F.struct("__part", "made", "done")))
+    deepest = lambda starts: F.greatest(F.lit(0), *(F.when(F.get(starts, F.lit(k - 1)).isNotNull(), k) for k in range(1, n + 1)))
+    nothing = F.array(*(F.lit(None).cast("long") for _ in range(n)))
+    return parts.groupBy("visitor_id").agg(F.aggregate(ordered, nothing, after, deepest).alias("step"))
+
+
+def funnel_depth(events: DataFrame, steps: list[Column], window_seconds: int, tie: str | None = None, by_range: bool = False) -> DataFrame:
     """visitor_id and ``step``: the most steps that different events took in order, the last within the window of the first.
 
     For each event, the latest start of a chain that reached step k before it decides
-    whether it takes step k + 1.
+    whether it takes step k + 1.  by_range: for visitors of very many events; see ``_depth_by_range``.
     """
+    if by_range:
+        return _with_all(events, _depth_by_range(_matching(events, steps, tie), len(steps), window_seconds * 1_000_000, tie), "step")
     before = _order(events, tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = _matching(events, steps, tie).withColumn("at", _micros(F.col("timestamp"))).withColumn("s1", F.when(F.col("c1"), F.col("at")))
     for k in range(2, len(steps) + 1):
@@ -108,8 +146,13 @@ def funnel_depth(events: DataFrame, steps: list[Column], window_seconds: int, ti
     return _with_all(events, rows.groupBy("visitor_id").agg(F.max(reached).alias("step")), "step")
 
 
-def sequence_reached(events: DataFrame, steps: list[Column], tie: str | None = None) -> DataFrame:
-    """visitor_id and ``step``: how many of the steps the visitor's events match as a subsequence from the first on."""
+def sequence_reached(events: DataFrame, steps: list[Column], tie: str | None = None, by_range: bool = False) -> DataFrame:
+    """visitor_id and ``step``: how many of the steps the visitor's events match as a subsequence from the first on.
+
+    by_range: for visitors of very many events, as a funnel whose window never ends.
+    """
+    if by_range:
+        return _with_all(events, _depth_by_range(_matching(events, steps, tie), len(steps), 1 << 62, tie), "step")
     before = _order(events, tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = _matching(events, steps, tie).withColumn("r1", F.col("c1"))
     for k in range(2, len(steps) + 1):

@@ -78,11 +78,11 @@ def breakdown(events: DataFrame, dimension: str, site_id: str, start: str, end:
     return grouped.agg(F.countDistinct("visitor_id").alias("visitors"), F.count_if(is_pageview()).alias("pageviews")).orderBy(F.desc("visitors"), "value").limit(limit)
 
 
-def funnel(events: DataFrame, steps: list[Column], window_seconds: int, site_id: str, start: str, end: str, tie: str | None = None) -> DataFrame:
+def funnel(events: DataFrame, steps: list[Column], window_seconds: int, site_id: str, start: str, end: str, tie: str | None = None, by_range: bool = False) -> DataFrame:
     """Visitors by the deepest step they reached, 0 for those that never entered."""
     if not steps:
         return events.sparkSession.createDataFrame([], "step int, visitors long")
-    depth = behavior.funnel_depth(in_range(events, site_id, start, end), steps, window_seconds, tie)
+    depth = behavior.funnel_depth(in_range(events, site_id, start, end), steps, window_seconds, tie, by_range)
     return depth.groupBy("step").agg(F.count("*").alias("visitors")).orderBy("step")
 
 
@@ -93,11 +93,11 @@ def funnel_cumulative(events: DataFrame, steps: list[Column], window_seconds: in
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("step"), F.col(f"n{k}").alias("visitors")) for k in range(1, len(steps) + 1)))).alias("x")).select("x.*")
 
 
-def sequence_match(events: DataFrame, steps: list[Column], site_id: str, start: str, end: str, tie: str | None = None) -> DataFrame:
+def sequence_match(events: DataFrame, steps: list[Column], site_id: str, start: str, end: str, tie: str | None = None, by_range: bool = False) -> DataFrame:
     """converting_visitors, total_visitors and conversion_rate."""
     if len(steps) < 2:
         raise ValueError("a sequence has two steps at least")
-    reached = behavior.sequence_reached(in_range(events, site_id, start, end), steps, tie)
+    reached = behavior.sequence_reached(in_range(events, site_id, start, end), steps, tie, by_range)
     matched = F.count_if(F.col("step") == len(steps))
     return reached.agg(matched.alias("converting_visitors"), F.count("*").alias("total_visitors"), _ratio(matched, F.count("*")).alias("conversion_rate"))
 

@@ -196,6 +196,17 @@ def sequence_match(e):
     return rounded(metrics.sequence_match(e, parse_steps(SEQUENCE, 2), *RANGE, tie="event_id"), "conversion_rate")
 
 
+@query(sql.FUNNEL)
+def funnel_by_range(e):
+    """The same where a visitor's events may lie in many tasks."""
+    return metrics.funnel(e, parse_steps(FUNNEL), FUNNEL_SECONDS, *RANGE, tie="event_id", by_range=True)
+
+
+@query(sql.SEQUENCE)
+def sequence_by_range(e):
+    return rounded(metrics.sequence_match(e, parse_steps(SEQUENCE, 2), *RANGE, tie="event_id", by_range=True), "conversion_rate")
+
+
 @query(sql.FLOW)
 def flow_next_page(e):
     return metrics.flow(e, PAGE, *RANGE, tie="event_id")

@@ -186,3 +186,28 @@ def test_rollup_unites_days(spark, tmp_path):
         assert (whole.n_events, whole.pageviews) == (exact.count(), exact.where("event_name = 'pageview'").count())
         assert abs(whole.visitors - exact.select("visitor_id").distinct().count()) <= 1
         assert rollups.breakdown(found, SITE, "2024-01-15", "2024-01-18").where("dimension = 'pages'").count() == 4
+
+
+@pytest.mark.parametrize("partitions", ["1", "13"])
+def test_funnel_of_a_very_large_visitor(spark, partitions):
+    """Chains go over borders of tasks; windows end before, at and after them."""
+    import random
+
+    rng, rows, at = random.Random(9), [], 0
+    for i in range(1500):
+        at += rng.choice([0, 1, 5, 60])
+        rows.append((i, "big" if rng.random() < 0.6 else f"v{rng.randrange(60)}", at, rng.choice("abcdx")))
+    e = spark.createDataFrame(rows, "event_id long, visitor_id string, s long, event_name string").select("event_id", "visitor_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("timestamp"), "event_name")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for names, window in (("abcd", 3), ("abcd", 60), ("aab", 10), ("dcba", 400), ("a", 5)):
+            steps = [F.col("event_name") == x for x in names]
+            got = [sorted(map(tuple, behavior.funnel_depth(e, steps, window, "event_id", by_range).collect())) for by_range in (True, False)]
+            assert got[0] == got[1] and len(got[0]) == len({r[1] for r in rows})
+        steps = [F.col("event_name") == x for x in "dxcbadxcba"]
+        assert sorted(map(tuple, behavior.sequence_reached(e, steps, "event_id", True).collect())) == sorted(map(tuple, behavior.sequence_reached(e, steps, "event_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
