@@ -215,36 +215,43 @@ def merge(runs: list[Run]):
             node //= 2
 
 
-def reaches(texts: list[bytes], rights: list[int], shared: list[int], full: list[bool], least: int) -> list[tuple[int, int]]:
-    """How far repeats reach before and after each of some different suffixes of one gram: (0, 0) if nowhere.
+def reaches(texts: list[bytes], rights: list[int], shared: list[int], full: list[bool], lengths: list[int]) -> list[list[tuple[int, int]]]:
+    """For each of ``lengths``, how far repeats reach before and after each of some different suffixes of one gram: (0, 0) if nowhere.
 
     texts: sorted, each ``right`` bytes from the anchor on and the bytes before it backwards.
     shared: with the suffix before.  full: it occurs twice just so, and reaches as far as it goes.
     """
     n = len(texts)
-    out = [(len(t) - r, r) if f and len(t) >= least else (0, 0) for t, r, f in zip(texts, rights, full)]
+    outs = [[(len(t) - r, r) if f and len(t) >= least else (0, 0) for t, r, f in zip(texts, rights, full)] for least in lengths]
     if n < 2:
-        return out
+        return outs
     lefts = [t[r:] for t, r in zip(texts, rights)]
     if n <= PAIRS:
         for i in range(n):
-            ahead = least
+            ahead = lengths[-1]
             for j in range(i + 1, n):
                 ahead = min(ahead, shared[j])
                 if full[i] and full[j]:
                     continue
                 after = min(ahead, rights[i], rights[j])
-                if after + min(len(lefts[i]), len(lefts[j])) < least:
+                if after + min(len(lefts[i]), len(lefts[j])) < lengths[0]:
                     continue
                 before = common_prefix(lefts[i], lefts[j])
-                if before + after >= least:
-                    for k in (i, j):
-                        out[k] = max(out[k][0], before), max(out[k][1], after)
-        return out
+                for least, out in zip(lengths, outs):
+                    if before + after >= least:
+                        for k in (i, j):
+                            out[k] = max(out[k][0], before), max(out[k][1], after)
+        return outs
     right, ahead = np.array(rights), np.array(shared)
     order = sorted(range(n), key=lefts.__getitem__)
     behind = np.array([0] + [common_prefix(lefts[a], lefts[b]) for a, b in zip(order, order[1:])])
     left = np.array([len(x) for x in lefts])
+    return [_by_classes(out, full, right, left, ahead, behind, order, least) for out, least in zip(outs, lengths)]
+
+
+def _by_classes(out, full, right, left, ahead, behind, order, least: int) -> list[tuple[int, int]]:
+    """The same for many suffixes: at each offset those that agree before and after are one class."""
+    n = len(out)
     first, last = np.full(n, -1), np.full(n, -1)
     for offset in range(min(int(left.max()), least) + 1):
         can = np.flatnonzero((left >= offset) & (right >= least - offset))
@@ -328,13 +335,11 @@ def _merged(lengths: list[int]):
 
         def close():
             if len(group) > 1 or group and group[0][2]:
-                known = [(0, 0)] * len(group)
-                for least in reversed(lengths):
-                    found = reaches([g[0] for g in group], [g[1] for g in group], [g[4] for g in group], [g[2] for g in group], least)
-                    for (_, _, _, holders, _), (before, after), longer in zip(group, found, known):
-                        if after and (before, after) != longer:
-                            spans.extend((k1, k2, place - before, place + after, least) for k1, k2, place in holders)
-                    known = found
+                every = reaches([g[0] for g in group], [g[1] for g in group], [g[4] for g in group], [g[2] for g in group], lengths)
+                for (_, _, _, holders, _), *found in zip(group, *every):
+                    for k, (before, after) in enumerate(found):
+                        if after and (before, after) not in found[k + 1 :]:  # a span of a greater length counts for the lesser ones too
+                            spans.extend((k1, k2, place - before, place + after, lengths[k]) for k1, k2, place in holders)
 
         for shared, run in merge(runs):
             row, text = run.row, run.text
