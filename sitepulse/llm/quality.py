@@ -164,6 +164,19 @@ def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, te
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
+#: Orders that this process has measured, by table and rules; an order decides the speed alone, never a verdict.
+_MEASURED: dict[tuple, list[Rule]] = {}
+
+
+def _ordered(docs: DataFrame, rules, sample_rows: int, text_col: str) -> list[Rule]:
+    """The rules in their measured order, which is kept for a table: the same plan over the same files."""
+    key = (docs.sparkSession.sparkContext.applicationId, docs.semanticHash(), tuple(rule.name for rule in rules), sample_rows, text_col)
+    if key not in _MEASURED:
+        _MEASURED[key] = [rule for rule, _, _ in order_rules(docs, rules, sample_rows, text_col)]
+    found = {rule.name: rule for rule in rules}
+    return [found[rule.name] for rule in _MEASURED[key]]
+
+
 def cascade(rules, text: Column, word_array: Column) -> Column:
     """Name of the first rule that rejects, or null; later rules aren't evaluated."""
     chain = None
@@ -179,7 +192,7 @@ def keep(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, text_col:
     Null and empty texts have no words and are rejected as short; repeated rows are judged
     each for itself; an empty table stays empty.
     """
-    ordered = [rule for rule, _, _ in order_rules(docs, rules, sample_rows, text_col)]
+    ordered = _ordered(docs, rules, sample_rows, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.where(let(words(text), lambda ws: cascade(ordered, text, ws)).isNull())
 
@@ -189,7 +202,7 @@ def report(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, id_col:
     these; the cascade runs the others, and only for rows that the base rules keep.
     """
     others = [rule for rule in rules if rule not in BASE_RULES]
-    ordered = [rule for rule, _, _ in order_rules(docs, others, sample_rows, text_col)]
+    ordered = _ordered(docs, others, sample_rows, text_col)
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def base_failed(figures: Column) -> Column:
