@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more), the least doc_id.
 
-    Null and empty texts are copies of each other; of equal rows one stays; long texts are
+    Candidates are found by SimHash fingerprints in pivot tables, and by MinHash bands what differs in more bits.  Null and empty texts are copies of each other; of equal rows one stays; long texts are
     compared whole; an empty table stays empty.
     """
     ship(spark)

@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Candidates share a band of their MinHash signatures; each is verified by the similarity of its
-whole shingle sets.  In a band's bucket texts are first held against a center, which unites a
+Candidates have SimHash fingerprints of their shingle sets within a few bits, found by pivot
+tables, or share a band of their MinHash signatures, as at a similarity of 0.8 about 10 of 64
+bits differ, more than pivots can divide by.  Each is verified by the similarity of its whole
+shingle sets.  In a band's bucket texts are first held against a center, which unites a
 large group of copies with as many comparisons as it has members, and for some rounds those
 that are still apart against further centers.  What is apart after that isn't given up: texts of
 small buckets are compared in all pairs, those of large ones joined by their rarest shingles.
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 
 from sitepulse.llm.common import text_or_empty, written
 from sitepulse.llm.components import connected_components
-from sitepulse.llm.simhash import SEED, rows_of
+from sitepulse.llm.simhash import SEED, links, majority, rows_of
 
 #: A pair of similarity 0.8 shares one of the bands, of so many hashes each, with a probability of 0.9998, of 0.5 with 0.64, of 0.2 with 0.03.
 BANDS, BAND = 16, 4
+#: Bits in which fingerprints of candidates differ at most; those of copies with one change in 100 shingles mostly do.
+BITS = 2
 #: Rounds of centers before the rest is joined exactly.  Buckets of up to so many texts that are apart are compared in all pairs.
 ROUNDS, SMALL = 4, 12
 #: Bits of the bitmap that keeps texts without a candidate at home: 1 MB.
@@ -132,6 +136,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(both.mapInArrow(compare, "u long, v long"), "similar")
 
 
+def _close(signed: DataFrame, bits: int) -> DataFrame:
+    """Candidates (u, v) by the fingerprints of ``signed`` (h, fp): what joins all texts whose fingerprints are within ``bits``, by pivot tables.
+
+    The texts of one fingerprint are paired with the least of them, and those of the pairs of
+    fingerprints that join all of these with each other.
+    """
+    first = written(signed.groupBy("fp").agg(F.min("h").alias("least")), "fingerprints")
+    same = signed.join(first, "fp").where("h <> least").select(F.col("least").alias("u"), F.col("h").alias("v"))
+    left, right = (first.select(F.col("fp").alias(c), F.col("least").alias(f"h{c}")) for c in "uv")
+    near = links(first, bits, pairs_found=True).distinct().join(left, "u").join(right, "v")
+    return written(same.union(near.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))).distinct(), "close")
+
+
 def _apart(members: DataFrame, turn: int) -> DataFrame:
     """Of ``members`` (h, key, root) each bucket with more than one root: key, k (its members), its center c and the center's root r.
 
@@ -193,7 +210,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str
     """doc_id, h (hash of the text) and root (the least h of its component) of every row.
 
     Texts whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more are
-    linked; all of them that share a band, which a pair of 0.8 does with a probability of 0.9998.  Null text counts as empty; texts without words are copies of each other; very long
+    linked: candidates of SimHash fingerprints, and all of them that share a band, which a pair of 0.8 does with
+    a probability of 0.9998.  Null text counts as empty; texts without words are copies of each other; very long
     texts are taken whole; null ids and repeated rows are kept; an empty table gives no rows;
     further columns, of any name, are ignored.
     """
@@ -202,21 +220,30 @@ def near_copies(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str
     def sign(batches):
         minhash = MinHash()
         for batch in batches:
-            keys = [minhash.keys(shingles(t, size)) for t in batch.column(1).to_pylist()]
+            keys, fps = [], []
+            for t in batch.column(1).to_pylist():
+                own = shingles(t, size)
+                keys.append(minhash.keys(own))
+                fps.append(majority(own))
             offsets = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["h", "keys"])
-
-    signed = written(texts.mapInArrow(sign, "h long, keys array<long>"), "signatures")
-    signed = written(signed.groupBy("h").agg(F.first("keys").alias("keys")).withColumn("root", F.col("h")), "distinct")
-    links = tested = roots = sets = None
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "keys", "fp"])
+
+    signed = written(texts.mapInArrow(sign, "h long, keys array<long>, fp long"), "signatures")
+    signed = written(signed.groupBy("h").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp")).withColumn("root", F.col("h")), "distinct")
+    close = _close(signed.select("h", "fp"), BITS)
+    signed = signed.drop("fp")
+    similar = tested = roots = sets = None
     for turn in range(ROUNDS):
         own = signed if roots is None else written(signed.drop("root").join(roots, "h", "left").select("h", "keys", F.coalesce("root", "h").alias("root")), "rooted")
         members = own.select("h", "root", F.explode("keys").alias("key"))
         apart = written(_apart(members, turn), "apart")
-        if apart.isEmpty():
+        if apart.isEmpty() and (turn or close.isEmpty()):
             break
         pairs = members.join(apart, "key").where("root <> r").select(F.least("h", "c").alias("u"), F.greatest("h", "c").alias("v"))
+        if not turn:
+            pairs = pairs.union(close)
         if turn == 1:  # what the first center has left of small buckets, once and for all
             crowd = members.join(apart.where(F.col("k") <= SMALL).select("key"), "key")
             other = crowd.select("key", F.col("h").alias("c"), F.col("root").alias("r"))
@@ -228,15 +255,15 @@ def near_copies(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str
         found = _verified(pairs, sets, least)
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
+            similar = found if similar is None else similar.union(found)
+            roots = connected_components(similar).select(F.col("node").alias("h"), F.col("component").alias("root"))
         elif turn > 1:
             break
     if sets is not None:
         found = _crowds(signed, roots, sets, tested, least)
         if found is not None:
-            links = found if links is None else links.union(found)
-            roots = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
+            similar = found if similar is None else similar.union(found)
+            roots = connected_components(similar).select(F.col("node").alias("h"), F.col("component").alias("root"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col).cast("string")).alias("h"))
     return rows.withColumn("root", F.col("h")) if roots is None else rows.join(roots, "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 

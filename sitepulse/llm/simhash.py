@@ -41,13 +41,16 @@ def fingerprint(text: str, size: int = 3) -> int:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
-    n = len(starts)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, n)
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: the bits that over half of them have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,10 +128,11 @@ def route(tree: Node, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64),) * 2
 
 
-def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray | None = None, pairs_found: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, least fingerprint of its part) that join all pairs within ``bits``.
 
-    With ``against``, only pairs of one fingerprint from each side.
+    With ``against``, only pairs of one fingerprint from each side.  pairs_found: the links are
+    pairs within ``bits`` themselves, as few as join the same parts.
     """
     split = len(fps)
     all_fps = fps if against is None else np.concatenate([fps, against])
@@ -139,6 +143,7 @@ def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray |
     first = np.arange(split)[np.argsort(table[:split, 0], kind="stable")]
     column = table[second, 0].astype(np.int64)
     tight, width = np.uint8(2 * bits), np.uint8(bits)
+    joined: list[tuple[int, int]] = []
     for at in range(0, len(first), 256):
         own = first[at : at + 256]
         low = np.searchsorted(column, int(table[own[0], 0]) - bits, "left")
@@ -153,8 +158,10 @@ def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray |
             keep = (table[i, k] - table[j, k] + width) <= tight
             i, j = i[keep], j[keep]
         keep = np.bitwise_count(all_fps[i] ^ all_fps[j]) <= bits
-        a, b = label[i[keep]], label[j[keep]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        i, j = i[keep], j[keep]
+        a, b = label[i], label[j]
+        i, j, a, b = (x[a != b] for x in (i, j, a, b))
+        pairs, at_pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
         if pairs.shape[1]:
             parent = {}
 
@@ -163,22 +170,26 @@ def forest(fps: np.ndarray, pivots: np.ndarray, bits: int, against: np.ndarray |
                     parent[x] = x = parent.get(up, up)
                 return x
 
-            for a, b in pairs.T.tolist():
+            for (a, b), x, y in zip(pairs.T.tolist(), i[at_pair].tolist(), j[at_pair].tolist()):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
+                    joined.append((x, y))
             move = np.arange(len(label))
             move[list(parent)] = [root(x) for x in parent]
             label = move[label]
     signed = all_fps.view(np.int64)
+    if pairs_found:
+        ends = np.array(joined, np.int64).reshape(-1, 2)
+        return signed[ends[:, 0]], signed[ends[:, 1]]
     least = np.full(len(label), np.iinfo(np.int64).max)
     np.minimum.at(least, label, signed)
     out = least[label]
     return signed[signed != out], out[signed != out]
 
 
-def links(fps: DataFrame, bits: int = 2, leaf: int = LEAF, sample_rows: tuple[int, int] = SAMPLE, pivots_checked: int = 16) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs within ``bits``."""
+def links(fps: DataFrame, bits: int = 2, leaf: int = LEAF, sample_rows: tuple[int, int] = SAMPLE, pivots_checked: int = 16, pairs_found: bool = False) -> DataFrame:
+    """Links (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs within ``bits``; pairs_found: all links are such pairs."""
     total = fps.count()
     every = max(4, -(-total // min(max(sample_rows[0], total // SHARE), sample_rows[1])))
     sample = np.array([r.fp for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).collect()], np.int64).view(np.uint64)
@@ -209,7 +220,7 @@ def links(fps: DataFrame, bits: int = 2, leaf: int = LEAF, sample_rows: tuple[in
         if parts.min() != parts.max():
             at = parts == parts.min()
             values, side = np.unique(cell.column("fp").to_numpy()[at]), np.unique(cell.column("fp").to_numpy()[~at])
-        u, v = forest(values.view(np.uint64), pivots[-pivots_checked:], bits, None if side is None else side.view(np.uint64))
+        u, v = forest(values.view(np.uint64), pivots[-pivots_checked:], bits, None if side is None else side.view(np.uint64), pairs_found)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     named = dealt.select("fp", F.explode(cells("leaf", "fp")).alias("c")) if large else dealt.select("fp", F.concat("leaf", F.lit("/0/0/0")).alias("c"))

@@ -101,3 +101,46 @@ def test_stage_of_the_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in found.collect()) == kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_fingerprints_alone_unite_close_copies(spark, sf_dir, monkeypatch):
+    """The stage without bands: copies whose SimHash fingerprints are within two bits, through the pivot tables, verified."""
+    import corpus_pipeline
+    from sitepulse.llm.simhash import majority
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        changed = [*base[:399], "changed"]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(changed)), (10 * i + 2, " ".join(base[:200]))]
+    close = []
+    fps = [majority(jaccard.shingles(t)) for _, t in rows]
+    for a in range(len(rows)):
+        close += [(rows[a][0], rows[b][0]) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len(close) >= 30 and all(a == b + 1 for a, b in close)
+    none = jaccard._apart
+    monkeypatch.setattr(jaccard, "_apart", lambda members, turn: none(members, turn).where("false"))
+    found = corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir)
+    assert sorted(r.doc_id for r in found.collect()) == sorted({i for i, _ in rows} - {a for a, _ in close})
+
+
+def test_found_pairs_are_within_bits():
+    from sitepulse.llm.simhash import forest
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60, np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(6))]))
+    pivots = rng.integers(0, 1 << 63, 16, np.uint64)
+    for against in (None, fps[1::2]):
+        own = fps if against is None else fps[::2]
+        u, v = forest(own, pivots, 2, against, True)
+        assert len(u) > 60 and (np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= 2).all()
+        label = {}
+        for links in ((u, v), forest(own, pivots, 2, against)):
+            part = {x: x for x in np.concatenate(links).tolist()}
+            for a, b in zip(*(x.tolist() for x in links)):
+                a, b = part[a], part[b]
+                part = {k: min(a, b) if x in (a, b) else x for k, x in part.items()}
+            label[len(label)] = part
+        assert label[0] == label[1]
