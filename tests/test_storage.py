@@ -106,6 +106,18 @@ def test_hot_tier(spark, tmp_path):
     assert hot.push(one) == 2 and store.read().count() == 5 and hot.view().count() == 6
 
 
+def test_push_sorts_nothing(spark, tmp_path):
+    """A task that writes both parts of a push holds no rows."""
+    hot = HotTier(EventStore(spark, str(tmp_path / "t")), EngineConfig(flush_event_count=9, flush_interval_secs=60))
+    rows = [("v", "2024-01-15 10:00", PV, "/")]
+    hot.push(events(spark, rows, "../x").unionByName(events(spark, rows, "s")).coalesce(1))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [p for p in (done.apply(k).physicalPlanDescription() for k in range(done.size())) if str(tmp_path) in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert plans and not any("Sort" in p for p in plans)
+    assert hot.read().count() == 2 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 class Died(Exception):
     pass
 
