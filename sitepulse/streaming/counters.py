@@ -11,6 +11,16 @@ from pyspark.sql.streaming import StreamingQueryListener
 #: Observation of a stream and its metric, where that isn't a reason, to the counter's name.
 COUNTED = {("ingested", "events"): "events_ingested_total", ("limited", "requests"): "rate_limit_rejections_total", ("refused", "rate"): "rate_limit_rejections_total"}
 
+#: What batches count that a stream's own plan can't observe, by stream and batch; of the last ones.
+_NOTED: dict[tuple[str, int], dict[str, dict[str, int]]] = {}
+
+
+def note(source: str, batch: int, metrics: dict[str, dict[str, int]]) -> None:
+    """Metrics by observation of a batch that is being written, for the listeners that hear of its end."""
+    _NOTED[source, batch] = metrics
+    while len(_NOTED) > 1000:
+        del _NOTED[next(iter(_NOTED))]
+
 
 class Counters(StreamingQueryListener):
     """Adds up what the session's streams observe: events taken, requests refused by reason, requests over the limit, and streams that failed."""
@@ -27,8 +37,10 @@ class Counters(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         with self._lock:
-            for name, row in (event.progress.observedMetrics or {}).items():
-                for metric, n in row.asDict().items():
+            observed = {name: row.asDict() for name, row in (event.progress.observedMetrics or {}).items()}
+            noted = _NOTED.get((f"stream-{event.progress.id}", event.progress.batchId), {}) if event.progress.numInputRows else {}
+            for name, metrics in (observed | noted).items():
+                for metric, n in metrics.items():
                     if name == "refused":
                         self.totals[f'requests_refused_total{{reason="{metric}"}}'] += n
                     if (name, metric) in COUNTED:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,13 +24,12 @@ from sitepulse.schema import REQUEST
 from sitepulse.sources.commits import CommittedTable, Files
 from sitepulse.sources.ingest import KEYS, REASONS, enrich, form_reason, parse
 from sitepulse.sources.store import EventStore, HotTier, is_safe_site_id
+from sitepulse.streaming.counters import note
 
 #: What is kept of a refused request.
 REFUSED = T.StructType(
     [T.StructField("received", T.TimestampNTZType()), *(T.StructField(c, T.StringType()) for c in ("site_id", "event_name", "url", "request_id", "reject_reason")), T.StructField("date", T.DateType())]
 )
-#: State of stateful streams is kept in RocksDB, which doesn't fill the executors' heap.
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def json_source(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -46,68 +46,70 @@ def refused_table(spark: SparkSession, path: str) -> CommittedTable:
     return CommittedTable(spark, path, REFUSED, ("reject_reason", "date"))
 
 
-def _limited(keyed: DataFrame, capacity: int, forget: bool) -> DataFrame:
-    """``keyed`` requests with reason 'rate' where their site has no token left.
+class Buckets:
+    """What each site's bucket (site, tokens, refilled, seen) is after the last two batches of a stream, a folder of its checkpoint for each.
 
-    Rows whose ``reject_reason`` isn't null take no token and pass as they are.  forget: a bucket
-    that's idle for five minutes is full, and its state goes.  That wakes the stream without new
-    requests, so one that takes in what there is and stops leaves it.
+    A batch that comes again finds what was before it.  forget: a bucket that no request came
+    to for five minutes is full, and goes.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        found = pd.concat(list(batches))
-        unjudged = found["reject_reason"].isna()
-        if unjudged.any():
-            mine = found[unjudged].sort_values(["received", "request_id"], kind="stable")
-            times = mine["received"].to_numpy("datetime64[us]").astype("int64") / 1e6
-            tokens, refilled = state.get if state.exists else (float(capacity), float(times[0]))
-            reasons = []
-            for now in times.tolist():
-                now = max(now, refilled)
-                tokens, ok = take(tokens, refilled, now, capacity)
-                refilled = now
-                reasons.append(None if ok else "rate")
-            state.update((tokens, refilled))
-            if forget:
-                state.setTimeoutDuration(IDLE_SECONDS * 1000)
-            found = pd.concat([found[~unjudged], mine.assign(reject_reason=reasons)])
-        yield found
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return keyed.groupBy("site").applyInPandasWithState(run, keyed.schema, STATE, "append", timeout)
-
-
-def judged(requests: DataFrame, config: EngineConfig, forget: bool = True) -> DataFrame:
+    SCHEMA = "site string, tokens double, refilled double, seen double"
+
+    def __init__(self, spark: SparkSession, checkpoint: str, forget: bool):
+        self.spark, self.forget = spark, forget
+        self.files = Files(spark, f"{checkpoint}/buckets")
+
+    def _saved(self) -> list[int]:
+        return sorted(int(n) for n in self.files.children("") if self.files.exists(f"{n}/_SUCCESS"))
+
+    def before(self, number: int) -> DataFrame:
+        last = max((n for n in self._saved() if n < number), default=None)
+        if last is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        found = self.spark.read.schema(self.SCHEMA).parquet(f"{self.files.root}/{last}")
+        return found.where(F.col("seen") >= time.time() - IDLE_SECONDS) if self.forget else found
+
+    def save(self, judged: DataFrame, before: DataFrame, number: int) -> None:
+        new = judged.where("turn IS NOT NULL").groupBy(F.col("d").alias("site")).agg(F.max(F.struct("turn", "tokens", "refilled")).alias("b"))
+        new = new.select("site", "b.tokens", "b.refilled", F.lit(time.time()).alias("seen"))
+        before.join(new, "site", "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{self.files.root}/{number}")
+        for n in self._saved():
+            if n < number - 1 and n != max(k for k in self._saved() if k < number):
+                self.files.delete(str(n))
+
+
+def judged(requests: DataFrame, config: EngineConfig, buckets: DataFrame | None = None) -> DataFrame:
     """Raw requests with ``reject_reason``: form first, then the site's rate, then bots, then sites that can't name a folder.
 
-    Only a request of good form takes a token, and a bot's does.  A stream keeps a bucket for
-    each site, without a watermark, since no request may be dropped for being late: one that's
-    older than its site's last takes a token of that moment.  In a batch of the stream a site's
-    requests are taken by time, then request id; its task holds those of one batch.
+    Only a request of good form takes a token, and a bot's does.  No request is dropped for
+    being late: one that's older than its site's last takes a token of that moment.  A site's
+    requests are taken by time, then request id, in one task that sorts them as Spark does and
+    holds one bucket.  The rate is for tables, such as a batch of a stream; buckets: where their
+    sites' buckets stand, which rows that took their turn then have after them.
     """
-    own = REQUEST.names
+    own, state = REQUEST.names, []
     parsed = parse(requests.select(*own)).withColumn("reject_reason", form_reason(config))
     if config.rate_limit_per_site:
-        # what is refused already is spread over keys of its own, which no site can have
-        key = F.when(F.col("reject_reason").isNull(), F.col("d")).otherwise(F.concat(F.lit("\n"), F.pmod(F.xxhash64("body", "query", "request_id"), F.lit(256))))
-        keyed = parsed.select(*own, "reject_reason", key.alias("site"))
-        if requests.isStreaming:
-            limited = _limited(keyed, config.rate_limit_per_site, forget)
-        else:
-            some = keyed.where("reject_reason IS NULL")
-            taken = ratelimit.limit(some, config.rate_limit_per_site, "site", "received", "request_id")
-            limited = taken.withColumn("reject_reason", F.when(~F.col("allowed"), "rate")).drop("allowed").unionByName(keyed.where("reject_reason IS NOT NULL"))
-        parsed = parse(limited.select(*own, "reject_reason"))
+        keyed = parsed.select(*own, "reject_reason", F.col("d").alias("site"))
+        some = keyed.where("reject_reason IS NULL")
+        taken = ratelimit.limit(some, config.rate_limit_per_site, "site", "received", "request_id", buckets)
+        taken = taken.withColumn("reject_reason", F.when(~F.col("allowed"), "rate")).drop("allowed")
+        state = ["tokens", "refilled", "turn"] if buckets is not None else []
+        limited = taken.unionByName(keyed.where("reject_reason IS NOT NULL"), allowMissingColumns=True)
+        parsed = parse(limited.select(*own, "reject_reason", *state))
     bot = F.when(is_bot(F.col("user_agent")), "bot") if config.filter_bots else F.lit(None)
-    return parsed.withColumn("reject_reason", F.coalesce("reject_reason", bot, F.when(~is_safe_site_id(F.col("d")), "path"))).select(*own, *KEYS, "reject_reason")
+    return parsed.withColumn("reject_reason", F.coalesce("reject_reason", bot, F.when(~is_safe_site_id(F.col("d")), "path"))).select(*own, *KEYS, "reject_reason", *state)
+
+
+def _numbers() -> dict[str, list]:
+    """What is counted of judged requests, by observation."""
+    return {"ingested": [F.count_if(F.col("reject_reason").isNull()).alias("events")], "refused": [F.count_if(F.col("reject_reason") == r).alias(r) for r in (*REASONS, "path")]}
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    taken = F.col("reject_reason").isNull()
-    return rows.observe("ingested", F.count_if(taken).alias("events")).observe("refused", *(F.count_if(F.col("reject_reason") == r).alias(r) for r in (*REASONS, "path")))
+    for name, metrics in _numbers().items():
+        rows = rows.observe(name, *metrics)
+    return rows
 
 
 def _refused(rows: DataFrame) -> DataFrame:
@@ -141,23 +143,31 @@ def start(events: DataFrame, store: EventStore | HotTier, checkpoint: str, confi
 def start_all(requests: DataFrame, store: EventStore | HotTier, refused: CommittedTable, checkpoint: str, config: EngineConfig, salt: str | KeySchedule, ranges: DataFrame | None = None, once: bool = False):
     """Requests to events: each is stored once as an event or once as refused, with its reason.
 
-    Each batch is judged once and held while both tables are written.  With a schedule of keys a
+    Each batch is judged once and held while both tables are written.  A rate limit is judged
+    batch by batch, as only a batch can be sorted; its buckets and counts are kept beside.  With a schedule of keys a
     batch gets those of its requests' days, so ids change at midnight, whatever day the stream
     began, and the secret is in no plan.
     """
     into = store.push if isinstance(store, HotTier) else store.append
 
+    limited = bool(config.rate_limit_per_site)
+
     def write(batch: DataFrame, source: str, number: int) -> None:
+        if limited:
+            buckets = Buckets(batch.sparkSession, checkpoint, not once)
+            before = buckets.before(number)
+            batch = judged(batch, config, before)
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             into(enrich(batch.where("reject_reason IS NULL"), config, salt, ranges), source, number)
             refused.write(_refused(batch), source, number)
+            if limited:
+                buckets.save(batch, before, number)
+                note(source, number, {name: row.asDict() for name, row in batch.agg(*(F.struct(*m).alias(n) for n, m in _numbers().items())).first().asDict().items()})
         finally:
             batch.unpersist()
 
-    if config.rate_limit_per_site:
-        requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return _each_batch(_counts(judged(requests, config, not once)), checkpoint, config, once, write)
+    return _each_batch(requests if limited else _counts(judged(requests, config)), checkpoint, config, once, write)
 
 
 def start_rollup(events: DataFrame, table: CommittedTable, checkpoint: str, config: EngineConfig, once: bool = False):

@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from sitepulse.config import EngineConfig
 from sitepulse.functions.identity import KeySchedule, keyed_id
 from sitepulse.operators import behavior
@@ -85,6 +87,23 @@ def test_rate_limit_is_a_stage(spark, tmp_path):
     assert {(r.request_id, r.reject_reason) for r in found.collect() if r.reject_reason} == {("0", "empty"), ("1", "bot"), ("3", "rate"), ("50", "rate")}
 
 
+def test_a_site_larger_than_a_batch_is_limited_in_parts(spark, tmp_path):
+    """No task gathers a site: the plan has Spark's sort and a map over small batches, and buckets go on from where they stood."""
+    from sitepulse.operators.ratelimit import limit
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.createDataFrame([(datetime(2024, 1, 15, 10, 0, k // 4), str(k), "s") for k in range(40)], "received timestamp_ntz, request_id string, site string")
+        zero = spark.createDataFrame([("s", 0.0, 0.0)], "site string, tokens double, refilled double")
+        allowed = [limit(rows, 1, "site", "received", "request_id", b).where("allowed").count() for b in (None, zero.where("false"))]
+        assert allowed == [10, 10]
+        again = limit(rows, 1, "site", "received", "request_id", zero.withColumn("refilled", F.unix_timestamp(F.lit("2024-01-15 10:00:00")).cast("double"))).collect()
+        assert sum(r.allowed for r in again) == 9 and sorted(r.turn for r in again) == list(range(1, 41))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_refused_requests_are_kept_and_counted(spark, tmp_path):
     import time
 
